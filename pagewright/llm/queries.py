@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import boilerplate, canonical
+from pagewright.llm import boilerplate, canonical, truncation
 from pagewright.runtime import table
 
 
@@ -35,5 +35,24 @@ def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.without_lines(s, "segment_id", "raw_text", _p6_lines(spark, d).where(boilerplate.excessive("cluster")))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_canonical, p6_found, p6_cleaned)}
+def p9_marked(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with text: whether it was cut, why that is assumed, and whether it ends at a field limit."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text", "title")
+    return truncation.truncated(docs, "doc_id", "source", "text", "title")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_marked(spark, d).where("cut").select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_rates(p9_marked(spark, d), "source")
+
+
+def p9_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The field limits of each source."""
+    return truncation.length_spikes(table(spark, d, "documents").select("source", "text"), "source", "text")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_canonical, p6_found, p6_cleaned, p9_found, p9_marked, p9_rates, p9_limits)}
 SQL: dict[str, str] = {}
