@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import boilerplate, canonical, truncation
+from pagewright.llm import boilerplate, canonical, leakage, truncation
 from pagewright.runtime import table
 
 
@@ -35,6 +35,24 @@ def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.without_lines(s, "segment_id", "raw_text", _p6_lines(spark, d).where(boilerplate.excessive("cluster")))
 
 
+def _p8_pairs(spark: SparkSession, d: str, edited: bool) -> DataFrame:
+    return leakage.leaked(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "test_items"), "item_id", "text", edited)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p8_pairs(spark, d, False).select("doc_id", "item_id").distinct()
+
+
+def p8_alignments(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a passage of a test item, edited copies included, with the alignment's score."""
+    return _p8_pairs(spark, d, True)
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which test items leaked, and into how many documents."""
+    return _p8_pairs(spark, d, False).groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"), F.max("run").alias("longest_run"))
+
+
 def p9_marked(spark: SparkSession, d: str) -> DataFrame:
     """Every document with text: whether it was cut, why that is assumed, and whether it ends at a field limit."""
     docs = table(spark, d, "documents").select("doc_id", "source", "text", "title")
@@ -54,5 +72,5 @@ def p9_limits(spark: SparkSession, d: str) -> DataFrame:
     return truncation.length_spikes(table(spark, d, "documents").select("source", "text"), "source", "text")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_canonical, p6_found, p6_cleaned, p9_found, p9_marked, p9_rates, p9_limits)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_canonical, p6_found, p6_cleaned, p8_found, p8_alignments, p8_items, p9_found, p9_marked, p9_rates, p9_limits)}
 SQL: dict[str, str] = {}
