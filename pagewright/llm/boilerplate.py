@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ MIN_SHARE = 0.005
 SIMILARITY = 0.8
 #: Characters in a shingle; lines of running Japanese have no word breaks.
 SHINGLE = 5
-BANDS, ROWS = 5, 3
+BANDS, ROWS = 5, 4
 _HIDDEN = re.compile(r"[\s­᠎​-‏‪-‮⁠-⁤︀-️﻿]+")
 _MASKS = re.compile(r"[0-9]+(?:[年月日/.:-][0-9]+)*|[A-ZÀ-Þ][a-zà-ÿ]+|[ァ-ヺー]{2,}")
 
@@ -99,20 +100,26 @@ def _lines(b: pa.RecordBatch) -> tuple[list, list, list, list, list]:
     return out
 
 
-def line_clusters(df: DataFrame, doc: str, source: str, text: str) -> DataFrame:
-    """Lines that stand in clusters of near-copies within their source, with the documents of each.
+def _within(sources: list[str], texts: list[str]) -> np.ndarray:
+    """64-bit identity of each text within its source."""
+    return np.fromiter((xxhash.xxh3_64_intdigest((s + "\n" + t).encode("utf-8", "surrogatepass")) for s, t in zip(sources, texts)), np.uint64, len(texts)).view(np.int64)
 
-    Result: doc, source, line_no, key, cluster, key_docs (distinct documents of the source with this
-    very key), cluster_docs (with any line of the cluster), source_docs (distinct documents of the
-    source, those with null text included). Lines are split at each line feed; lines whose key has
-    fewer than MIN_CHARS characters are left out, and so are lines of buckets that hold fewer than
-    MIN_DOCS lines, as they can't be excessive. Rows with a null document or source are ignored;
-    repeated rows count once.
+
+def repeated_lines(df: DataFrame, doc: str, source: str, text: str) -> DataFrame:
+    """Lines of clusters that stand in too many documents of their source.
+
+    Result: doc, source, line_no, key_docs (distinct documents of the source with this very line),
+    cluster_docs (with any line of its cluster of near-copies), source_docs (distinct documents of the
+    source, those with null text included). Too many are MIN_DOCS and MIN_SHARE of the source's
+    documents. Lines are split at each line feed; lines whose key has fewer than MIN_CHARS characters
+    don't count. Rows with a null document or source are ignored; repeated rows count once; an empty
+    table gives an empty result.
 
     Masked keys are hashed into MinHash bands per source. Buckets are counted first (partial sums
-    before the shuffle), so only lines of buckets that are large enough travel with their text. In a
-    bucket the most frequent masked line is the representative; lines at least SIMILARITY like it
-    (Jaccard of SHINGLE-character shingles) join its cluster, any other line is a cluster of its own.
+    before the shuffle), so only lines of buckets with MIN_DOCS lines go further, as identities; the
+    text of a masked line travels once. In a bucket the most frequent masked line is the
+    representative; lines at least SIMILARITY like it (Jaccard of SHINGLE-character shingles) join
+    its cluster, any other line is a cluster of its own.
     """
     base = df.select(F.col(f"`{doc}`").cast("string").alias("doc"), F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{text}`").cast("string").alias("t"))
     base = base.where("doc is not null and source is not null")
@@ -130,45 +137,53 @@ def line_clusters(df: DataFrame, doc: str, source: str, text: str) -> DataFrame:
     ship = shipped_hashes(big, "h")
 
     def in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()
         for b in batches:
             ids, src, no, key, mask = _lines(b)
             bands = band_hashes(src, mask)
             hit = np.ones(bands.shape, bool) if ship is None else np.isin(bands, ship)
             rows = np.flatnonzero(hit.any(axis=1)).tolist()
             pick = lambda c: [c[i] for i in rows]
-            found = [bands[i][hit[i]].tolist() for i in rows]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pick(ids), pa.string()), pa.array(pick(src), pa.string()), pa.array(pick(no), pa.int32()), pa.array(pick(key), pa.string()), pa.array(pick(mask), pa.string()), pa.array(found, pa.list_(pa.int64()))],
-                names=["doc", "source", "line_no", "key", "mask", "bands"],
-            )
-
-    lines = texts.mapInArrow(in_buckets, "doc string, source string, line_no int, key string, mask string, bands array<bigint>")
-    if ship is None:
-        spread = lines.withColumn("h", F.explode("bands")).join(big, "h")
-        lines = spread.groupBy("doc", "source", "line_no", "key", "mask").agg(F.collect_set("h").alias("bands"))
-    lines = cut(lines.distinct())
-
-    forms = lines.groupBy("source", "mask").agg(F.count("*").alias("n"), F.first("bands").alias("bands"))
-    placed = forms.select("source", "mask", "n", F.explode("bands").alias("h"))
+            src, mask = pick(src), pick(mask)
+            form = _within(src, mask)
+            new = [f not in told and not told.add(f) for f in form.tolist()]
+            found = [bands[i][hit[i]].tolist() if fresh else None for i, fresh in zip(rows, new)]
+            shown = [m if fresh else None for m, fresh in zip(mask, new)]
+            arrays = [pa.array(pick(ids), pa.string()), pa.array(src, pa.string()), pa.array(pick(no), pa.int32()), pa.array(_within(src, pick(key))), pa.array(form), pa.array(shown, pa.string()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "source", "line_no", "key", "form", "mask", "bands"])
+
+    lines = cut(texts.mapInArrow(in_buckets, "doc string, source string, line_no int, key long, form long, mask string, bands array<bigint>"))
+    forms = lines.groupBy("form").agg(F.count("*").alias("n"), F.max("mask").alias("mask"), F.first("bands", ignorenulls=True).alias("bands"))
+    if ship is None:  # all lines came along: keep the forms of large buckets only
+        wanted = forms.select("form", F.explode("bands").alias("h")).join(big, "h").groupBy("form").agg(F.collect_set("h").alias("h"))
+        forms = forms.join(wanted, "form").select("form", "n", "mask", F.col("h").alias("bands"))
+    forms = cut(forms)
+    placed = forms.select("form", "n", F.explode("bands").alias("h"))
     # a bucket's representative: one row each, found with partial aggregation
-    heads = placed.groupBy("h").agg(F.max(F.struct("n", "mask")).alias("top")).select("h", F.col("top.mask").alias("head"), F.col("top.n").alias("head_n"))
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - SHINGLE + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(SHINGLE)))
-    near = placed.join(heads, "h").select("source", "mask", "head", "head_n").distinct()
-    like = F.size(F.array_intersect(grams(F.col("mask")), grams(F.col("head")))) / F.size(F.array_union(grams(F.col("mask")), grams(F.col("head"))))
-    near = near.where((F.col("mask") == F.col("head")) | (like >= SIMILARITY))
-    chosen = near.groupBy("source", "mask").agg(F.max(F.struct("head_n", "head"))["head"].alias("head"))
-    tagged = lines.join(chosen, ["source", "mask"], "left").select("doc", "source", "line_no", "key", F.coalesce("head", "mask").alias("cluster"))
-
-    def docs(by: str) -> DataFrame:
-        return tagged.select("source", by, "doc").distinct().groupBy("source", by).agg(F.count("*").alias(f"{by}_docs"))
-
-    out = tagged.join(docs("key"), ["source", "key"]).join(docs("cluster"), ["source", "cluster"]).join(sizes, "source")
-    return out.select(F.col("doc").alias(doc), F.col("source").alias(source), "line_no", "key", "cluster", "key_docs", "cluster_docs", "source_docs")
-
-
-def excessive(by: str) -> F.Column:
-    """Whether a line's `key` or `cluster` stands in too many documents of its source."""
-    return (F.col(f"{by}_docs") >= MIN_DOCS) & (F.col(f"{by}_docs") >= MIN_SHARE * F.col("source_docs"))
+    heads = placed.groupBy("h").agg(F.max(F.struct("n", "form")).alias("top")).select("h", F.col("top.form").alias("head"), F.col("top.n").alias("head_n"))
+    near = placed.select("h", "form").join(heads, "h").where("form <> head").select("form", "head", "head_n").distinct()
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - SHINGLE + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(SHINGLE))))
+    near = near.join(forms.select("form", "mask", F.size(grams(F.col("mask"))).alias("size")), "form")
+    pairs = near.join(forms.select(F.col("form").alias("head"), F.col("mask").alias("head_mask"), F.size(grams(F.col("mask"))).alias("head_size")), "head")
+    pairs = pairs.where(F.least("size", "head_size") >= SIMILARITY * F.greatest("size", "head_size"))  # else no overlap can be large enough
+    both = F.size(F.array_intersect(grams(F.col("mask")), grams(F.col("head_mask"))))
+    like = pairs.where(both >= SIMILARITY * (F.col("size") + F.col("head_size") - both))
+    chosen = like.groupBy("form").agg(F.max(F.struct("head_n", "head"))["head"].alias("head"))
+    slim = lines.select("form", "key", "source", F.xxhash64("doc").alias("doc"))
+    slim = slim.join(chosen, "form", "left").select("form", "key", "source", "doc", F.coalesce("head", "form").alias("cluster"))
+    need = F.greatest(F.lit(MIN_DOCS), F.col("source_docs") * MIN_SHARE)
+    docs = slim.groupBy("cluster", "source", "doc").agg(F.lit(1)).groupBy("cluster", "source").agg(F.count("*").alias("cluster_docs"))
+    often = docs.join(sizes, "source").where(F.col("cluster_docs") >= need).select("cluster", "cluster_docs", "source_docs")
+    inside = slim.join(often, "cluster")
+    keys = inside.groupBy("form", "key", "doc").agg(F.first("cluster_docs").alias("cluster_docs"), F.first("source_docs").alias("source_docs"))
+    keys = keys.groupBy("form", "key").agg(F.count("*").alias("key_docs"), F.first("cluster_docs").alias("cluster_docs"), F.first("source_docs").alias("source_docs"))
+    out = lines.select("doc", "source", "line_no", "key").join(keys.drop("form"), "key").distinct()
+    return out.select(F.col("doc").alias(doc), F.col("source").alias(source), "line_no", "key_docs", "cluster_docs", "source_docs")
+
+
+def exact(lines: DataFrame) -> DataFrame:
+    """Of repeated lines those that stand in too many documents by themselves, without near-copies."""
+    return lines.where((F.col("key_docs") >= MIN_DOCS) & (F.col("key_docs") >= MIN_SHARE * F.col("source_docs")))
 
 
 def without_lines(df: DataFrame, doc: str, text: str, drop: DataFrame, to: str = "clean_text") -> DataFrame:

@@ -21,18 +21,17 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p6_lines(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate.line_clusters(table(spark, d, "segments"), "segment_id", "book_id", "raw_text")
+    return boilerplate.repeated_lines(table(spark, d, "segments"), "segment_id", "book_id", "raw_text")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    lines = _p6_lines(spark, d).where(boilerplate.excessive("cluster")).where(boilerplate.excessive("key"))
-    return lines.select("segment_id", "line_no").distinct()
+    return boilerplate.exact(_p6_lines(spark, d)).select("segment_id", "line_no").distinct()
 
 
 def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """Every segment without the lines of excessive clusters."""
     s = table(spark, d, "segments").select("segment_id", "book_id", "raw_text").distinct()
-    return boilerplate.without_lines(s, "segment_id", "raw_text", _p6_lines(spark, d).where(boilerplate.excessive("cluster")))
+    return boilerplate.without_lines(s, "segment_id", "raw_text", _p6_lines(spark, d))
 
 
 def _p8_pairs(spark: SparkSession, d: str, edited: bool) -> DataFrame:
