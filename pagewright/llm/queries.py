@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import boilerplate, canonical, leakage, truncation
+from pagewright.llm import boilerplate, canonical, leakage, packing, truncation
 from pagewright.runtime import table
 
 
@@ -34,6 +34,16 @@ def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.without_lines(s, "segment_id", "raw_text", _p6_lines(spark, d))
 
 
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in bins of every container kind."""
+    counts = packing.token_counts(table(spark, d, "documents"), "doc_id", "text")
+    return packing.pack(counts, "doc_id", table(spark, d, "containers"), "container_id", "capacity_tokens")
+
+
+def p7_unused(spark: SparkSession, d: str) -> DataFrame:
+    return packing.unused(p7_packed(spark, d), "container_id")
+
+
 def _p8_pairs(spark: SparkSession, d: str, edited: bool) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "test_items"), "item_id", "text", edited)
 
@@ -71,5 +81,5 @@ def p9_limits(spark: SparkSession, d: str) -> DataFrame:
     return truncation.length_spikes(table(spark, d, "documents").select("source", "text"), "source", "text")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_canonical, p6_found, p6_cleaned, p8_found, p8_alignments, p8_items, p9_found, p9_marked, p9_rates, p9_limits)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_canonical, p6_found, p6_cleaned, p7_packed, p7_unused, p8_found, p8_alignments, p8_items, p9_found, p9_marked, p9_rates, p9_limits)}
 SQL: dict[str, str] = {}
