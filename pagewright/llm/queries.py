@@ -5,10 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import boilerplate, canonical, leakage, packing, truncation
+from pagewright.llm import boilerplate, canonical, leakage, ocrnoise, packing, truncation
 from pagewright.runtime import table
 
 
+def _p2_titles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    titles = table(spark, d, "books").select(F.col("book_id").alias("book"), "title")
+    spans = table(spark, d, "segments").selectExpr("book_id as book", "section_path[0] as title", "explode(source_spans.page) as page")
+    return titles, spans.where("page is not null and title is not null").select("book", "page", "title").distinct()
+
+
+def _p2_regions(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "region_sessions").selectExpr("session_id", "book_id", "cast(nullif(regexp_extract(file_name, '([0-9]+)', 1), '') as int) as page", "explode(regions) as r")
+    return s.select("session_id", F.col("r.rectangle.rect_id").alias("rect_id"), "book_id", "page", F.col("r.text").alias("text"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocrnoise.find_noise(_p2_regions(spark, d), ["session_id", "rect_id"], "book_id", "page", "text", *_p2_titles(spark, d))
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Every region with text, as continuous paragraphs."""
+    return ocrnoise.repair(_p2_regions(spark, d), ["session_id", "rect_id"], "book_id", "page", "text", *_p2_titles(spark, d))
+
+
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    """raw_text of every segment, as continuous paragraphs."""
+    s = table(spark, d, "segments").selectExpr("segment_id", "book_id", "source_spans[0].page as page", "raw_text").distinct()
+    return ocrnoise.repair(s, ["segment_id"], "book_id", "page", "raw_text", *_p2_titles(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = canonical.same_on_the_page(table(spark, d, "segments"), "segment_id", "raw_text")
     return pairs.toDF("segment_id_1", "segment_id_2")
@@ -81,5 +107,5 @@ def p9_limits(spark: SparkSession, d: str) -> DataFrame:
     return truncation.length_spikes(table(spark, d, "documents").select("source", "text"), "source", "text")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_canonical, p6_found, p6_cleaned, p7_packed, p7_unused, p8_found, p8_alignments, p8_items, p9_found, p9_marked, p9_rates, p9_limits)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p2_segments, p4_found, p4_canonical, p6_found, p6_cleaned, p7_packed, p7_unused, p8_found, p8_alignments, p8_items, p9_found, p9_marked, p9_rates, p9_limits)}
 SQL: dict[str, str] = {}
