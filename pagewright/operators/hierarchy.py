@@ -12,11 +12,11 @@ LEVELS = 6
 
 
 def resolve_hierarchy(df: DataFrame, node: str, parent: str, order: str | None = None, paths: bool = False, levels: int = LEVELS) -> DataFrame:
-    """One row for each distinct ``node``: node, root_id, depth, cycle and, with ``paths``, path (root first).
+    """One row for each distinct ``node``: node, root_id, depth, cycle, on_cycle and, with ``paths``, path (root first).
 
     A node whose parent is null or absent is a root of depth 0. A node on a cycle, or whose parents
     lead into one, has the smallest node of that cycle as root_id, depth -1, cycle true and a null
-    path. Rows with a null node are ignored. Of several parents given for a node the one of the
+    path; on_cycle tells the two apart. Rows with a null node are ignored. Of several parents given for a node the one of the
     latest ``order`` row counts (the largest parent if there is no order or a tie). Other columns are
     dropped; an empty table gives an empty result.
 
@@ -62,10 +62,10 @@ def _finish(done: list[DataFrame], rest: DataFrame, node: str, paths: bool) -> D
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    out = out.withColumn("cycle", F.lit(False))
+    out = out.withColumns({"cycle": F.lit(False), "on_cycle": F.lit(False)})
     if not rest.isEmpty():
-        out = out.unionByName(_cycles(rest).select("id", "root_id", F.lit(-1).alias("depth"), F.lit(None).cast("array<string>").alias("path"), F.lit(True).alias("cycle")))
-    return out.select(F.col("id").alias(node), "root_id", "depth", "cycle", *(["path"] if paths else []))
+        out = out.unionByName(_cycles(rest).select("id", "root_id", F.lit(-1).alias("depth"), F.lit(None).cast("array<string>").alias("path"), F.lit(True).alias("cycle"), "on_cycle"))
+    return out.select(F.col("id").alias(node), "root_id", "depth", "cycle", "on_cycle", *(["path"] if paths else []))
 
 
 def _jump(left: DataFrame, base: DataFrame, paths: bool) -> tuple[list[DataFrame], DataFrame]:
@@ -114,7 +114,7 @@ def _jump(left: DataFrame, base: DataFrame, paths: bool) -> tuple[list[DataFrame
 
 
 def _cycles(rest: DataFrame) -> DataFrame:
-    """(id, root_id): for nodes whose parents never end, the smallest node of the cycle they run into.
+    """(id, root_id, on_cycle): for nodes whose parents never end, the smallest node of the cycle they run into.
 
     Pointers are doubled until the set they point to stops shrinking: then it is exactly the nodes on
     cycles. The smallest node of each cycle is found by doubling along the cycle itself.
@@ -137,7 +137,8 @@ def _cycles(rest: DataFrame) -> DataFrame:
         if not step.where("better").limit(1).count():
             break
     ends = ring.select(F.col("id").alias("to"), F.col("least").alias("root_id"))
-    return far.join(ends, F.col("up") == F.col("to")).select("id", "root_id")
+    on = ring.select("id", F.lit(True).alias("on_cycle"))
+    return far.join(ends, F.col("up") == F.col("to")).join(on, "id", "left").select("id", "root_id", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
 
 
 def descendants(resolved: DataFrame, node: str) -> DataFrame:
