@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pagewright.functions.jsonindex import ARR, OBJ, JsonIndex, decoded
+from pagewright.runtime import spread
 
 #: child kind -> the key its containers stand under, the keys that tell a single child from a map of children.
 CHILDREN = {
@@ -145,6 +146,7 @@ def flatten_records(df: DataFrame, payload: str = "payload", fields: bool = True
     added = [c.split()[0] for c in FLAT_SCHEMA.split(", ")]
     keep = [c for c in df.columns if c not in added and c != payload]
     df = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{payload}`").cast("string").alias("__payload"))
+    df = spread(df, "__payload")
     out = df.select(*[F.col(f"`{c}`") for c in keep]).schema
     for f in StructType.fromDDL(FLAT_SCHEMA):
         if fields or f.name != "fields":

@@ -40,3 +40,15 @@ def shipped_hashes(keys: DataFrame, column: str, limit: int = MAX_SHIPPED_HASHES
     distinct = keys.select(F.col(column).cast("long").alias("h")).where("h is not null").distinct()
     rows = distinct.limit(limit + 1).toArrow().column("h").to_numpy()
     return None if len(rows) > limit else np.sort(rows.astype(np.int64))
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` over all cores before work in Python, where its scan has fewer parts than there are cores.
+
+    A large table has more parts than cores and is left as it is; only small files are dealt out.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *by)
