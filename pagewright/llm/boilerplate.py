@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.runtime import cut, shipped_hashes
+from pagewright.runtime import cut, shipped_hashes, spread
 
 MIN_CHARS = 10
 MIN_DOCS = 5
@@ -124,7 +124,7 @@ def repeated_lines(df: DataFrame, doc: str, source: str, text: str) -> DataFrame
     base = df.select(F.col(f"`{doc}`").cast("string").alias("doc"), F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{text}`").cast("string").alias("t"))
     base = base.where("doc is not null and source is not null")
     sizes = base.groupBy("source").agg(F.countDistinct("doc").alias("source_docs"))
-    texts = base.where("t is not null and t <> ''")
+    texts = spread(base.where("t is not null and t <> ''"), "doc")
 
     def bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

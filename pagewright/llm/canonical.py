@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.runtime import spread
+
 # Letters of other alphabets drawn like a Latin letter.
 LOOK_ALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ν": "v", "ο": "o",
@@ -137,7 +139,7 @@ def same_on_the_page(df: DataFrame, node: str, text: str) -> DataFrame:
                     raws.append(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(keys, pa.binary()), pa.array(raws, pa.binary())], names=["id", "form", "raw"])
 
-    given = df.select(F.col(f"`{node}`").cast("string").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).where("id is not null and t is not null")
+    given = df.select(F.col(f"`{node}`").cast("string").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).where("id is not null and t is not null").transform(spread, "id")
     rows = given.mapInArrow(run, "id string, form binary, raw binary")
     mixed = rows.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
     members = rows.join(mixed, "form").distinct()

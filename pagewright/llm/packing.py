@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.runtime import cut
+from pagewright.runtime import cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Bins open at a time. A group of items is as large as would fill so many bins.
@@ -78,7 +78,7 @@ def _parts(text: str) -> Iterator[str]:
 
 def token_counts(df: DataFrame, item: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """(item, tokens) for each distinct row: tokens of the whole text, null for a null text."""
-    given = df.select(F.col(f"`{item}`").alias(item), F.col(f"`{text}`").cast("string").alias("t")).where(f"`{item}` is not null")
+    given = df.select(F.col(f"`{item}`").alias(item), F.col(f"`{text}`").cast("string").alias("t")).where(f"`{item}` is not null").transform(spread, item)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = None
