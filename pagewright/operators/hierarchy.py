@@ -146,5 +146,5 @@ def descendants(resolved: DataFrame, node: str) -> DataFrame:
 
     Nodes on or behind cycles have no path and give no pair.
     """
-    up = resolved.where("path is not null").select(F.col(node), F.posexplode("path").alias("at", "ancestor"), F.size("path").alias("n"))
-    return up.where("at < n - 1").select("ancestor", node, (F.col("n") - 1 - F.col("at")).alias("distance"))
+    up = resolved.where("path is not null").select(F.col(node), F.posexplode("path").alias("__at", "ancestor"), F.size("path").alias("__size"))
+    return up.where("__at < __size - 1").select("ancestor", node, (F.col("__size") - 1 - F.col("__at")).alias("distance"))
