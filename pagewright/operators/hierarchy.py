@@ -9,6 +9,8 @@ from pagewright.runtime import cut
 
 #: Levels walked one join at a time; longer chains are jumped in doubling steps.
 LEVELS = 6
+#: Children of one parent that go into one partition.
+HOT_CHILDREN = 200_000
 
 
 def resolve_hierarchy(df: DataFrame, node: str, parent: str, order: str | None = None, paths: bool = False, levels: int = LEVELS) -> DataFrame:
@@ -20,8 +22,8 @@ def resolve_hierarchy(df: DataFrame, node: str, parent: str, order: str | None =
     latest ``order`` row counts (the largest parent if there is no order or a tie). Other columns are
     dropped; an empty table gives an empty result.
 
-    The frontier is joined level by level from the roots; edges are laid out by parent once, so each
-    level only moves the frontier. Chains that go on after ``levels`` levels are followed by frontier
+    The frontier is joined level by level from the roots; edges are laid out by parent once (a parent of
+    very many children over several partitions), so each level only moves the frontier. Chains that go on after ``levels`` levels are followed by frontier
     joins that double the distance they know, and what no join reaches is on or behind a cycle.
     """
     spark = df.sparkSession
@@ -30,32 +32,35 @@ def resolve_hierarchy(df: DataFrame, node: str, parent: str, order: str | None =
     pick = df.where(F.col(f"`{node}`").isNotNull()).groupBy(F.col(f"`{node}`").cast("string").alias("id")).agg(F.max(link)["p"].alias("parent"))
     known = pick.select(F.col("id").alias("known"))
     linked = pick.join(known, F.col("parent") == F.col("known"), "left").select("id", F.col("known").alias("parent"))
-    edges = cut(linked.repartition(n, "parent"))
+    linked = cut(linked)
+    # children of one parent may be any share of all rows: such parents get several salts
+    hot = cut(linked.where("parent is not null").groupBy("parent").agg(F.count("*").alias("n")).where(F.col("n") > HOT_CHILDREN).select(F.col("parent").alias("hot"), F.ceil(F.col("n") / HOT_CHILDREN).alias("salts")))
+    salted = linked.join(hot, F.col("parent") == F.col("hot"), "left")
+    salted = salted.select("id", "parent", F.coalesce(F.pmod(F.xxhash64("id"), "salts"), F.lit(0).cast("long")).alias("salt"))
+    edges = cut(salted.where("parent is not null").repartition(n, "parent", "salt"))
 
     path = F.array("id") if paths else F.lit(None).cast("array<string>")
-    level = edges.where("parent is null").select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), path.alias("path"))
+    level = linked.where("parent is null").select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), path.alias("path"))
     done = [level]
-    children = edges.where("parent is not null")
-    left = children
+    children = edges.select("id", "parent")
+    deep = True
     for d in range(1, levels + 1):
-        up = done[-1].select(F.col("id").alias("up"), "root_id", "path")
+        up = done[-1].select(F.col("id").alias("up"), "root_id", "path").join(hot, F.col("up") == F.col("hot"), "left")
+        up = up.withColumn("at_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1)))
         grown = F.concat("path", F.array("id")) if paths else F.col("path")
-        level = cut(children.join(up, F.col("parent") == F.col("up")).select("id", "root_id", F.lit(d).alias("depth"), grown.alias("path")))
-        if level.isEmpty():
+        level = cut(edges.join(up, (F.col("parent") == F.col("up")) & (F.col("salt") == F.col("at_salt"))).select("id", "root_id", F.lit(d).alias("depth"), grown.alias("path")))
+        deep = not level.isEmpty()
+        if not deep:
             break
         done.append(level)
-    else:
-        reached = done[0]
-        for x in done[1:]:
-            reached = reached.unionByName(x)
-        left = cut(children.join(reached.select(F.col("id").alias("up")), F.col("id") == F.col("up"), "left_anti"))
-        long, rest = _jump(left, done[-1], paths)
-        return _finish(done + long, rest, node, paths)
     reached = done[0]
     for x in done[1:]:
         reached = reached.unionByName(x)
-    rest = cut(children.join(reached.select(F.col("id").alias("up")), F.col("id") == F.col("up"), "left_anti"))
-    return _finish(done, rest, node, paths)
+    left = cut(children.join(reached.select(F.col("id").alias("up")), F.col("id") == F.col("up"), "left_anti"))
+    if deep:
+        far, left = _jump(left, done[-1], paths)
+        done += far
+    return _finish(done, left, node, paths)
 
 
 def _finish(done: list[DataFrame], rest: DataFrame, node: str, paths: bool) -> DataFrame:

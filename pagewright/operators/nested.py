@@ -22,6 +22,8 @@ CHILDREN = {
 }
 FLAT_SCHEMA = "child string, child_no int, parent_no int, parent_key string, child_key string, fields map<string,string>"
 _MAX_ENCODINGS = 3
+#: Bytes of JSON indexed at once; an index takes some forty times its text.
+_INDEX_BYTES = 2_000_000
 
 
 def _members(ix: JsonIndex) -> dict[int, list[int]]:
@@ -70,8 +72,20 @@ def _children(ix: JsonIndex) -> Iterator[tuple]:
 
 def flatten_batch(payloads: list[str | None], fields: bool = True) -> Iterator[tuple]:
     """(row, kind, child_no, parent_no, parent_key, child_key, fields) for each child of each complete payload."""
-    rows = [i for i, p in enumerate(payloads) if p is not None]
-    texts = [decoded(payloads[i]) for i in rows]
+    rows, texts, size = [], [], 0
+    for i, p in enumerate(payloads):
+        if p is not None:
+            t = decoded(p)
+            if rows and size + len(t) > _INDEX_BYTES:
+                yield from _flatten_slice(rows, texts, fields)
+                rows, texts, size = [], [], 0
+            rows.append(i)
+            texts.append(t)
+            size += len(t)
+    yield from _flatten_slice(rows, texts, fields)
+
+
+def _flatten_slice(rows: list[int], texts: list[bytes], fields: bool) -> Iterator[tuple]:
     for _ in range(_MAX_ENCODINGS):
         if not rows:
             return

@@ -1,5 +1,6 @@
 import random
 
+from pagewright.operators import hierarchy
 from pagewright.operators.hierarchy import descendants, resolve_hierarchy
 
 
@@ -43,6 +44,13 @@ def test_matches_brute_force(spark):
     assert pairs == {(a, x, len(path) - 1 - i) for x, (_, d, path, _) in want.items() if d > 0 for i, a in enumerate(path[:-1])}
 
 
+def test_children_of_one_parent_over_several_partitions(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "HOT_CHILDREN", 7)
+    rows = [("r", None, 1, ""), ("q", "r", 1, "")] + [(f"a{i}", "r", 1, "") for i in range(40)] + [(f"b{i}", "a3", 1, "") for i in range(30)]
+    got = {r.n: r.depth for r in resolved(spark, rows).collect()}
+    assert len(got) == 72 and sum(d == 2 for d in got.values()) == 30
+
+
 def test_only_cycles_and_empty(spark):
     assert {(r.n, r.root_id, r.depth) for r in resolved(spark, [("b", "a", 1, ""), ("a", "b", 1, "")]).collect()} == {("a", "a", -1), ("b", "a", -1)}
     assert resolved(spark, []).count() == 0
