@@ -21,6 +21,8 @@ SIMILARITY = 0.8
 #: Characters in a shingle; lines of running Japanese have no word breaks.
 SHINGLE = 5
 BANDS, ROWS = 5, 4
+#: Characters hashed at once.
+_SLICE_CHARS = 500_000
 _HIDDEN = re.compile(r"[\s­᠎​-‏‪-‮⁠-⁤︀-️﻿]+")
 _MASKS = re.compile(r"[0-9]+(?:[年月日/.:-][0-9]+)*|[A-ZÀ-Þ][a-zà-ÿ]+|[ァ-ヺー]{2,}")
 
@@ -55,8 +57,18 @@ _SALTS = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E37
 
 def band_hashes(groups: list[str], texts: list[str]) -> np.ndarray:
     """(len(texts), BANDS) signed 64-bit band keys of MinHash signatures; equal keys only within a group."""
-    if not texts:
-        return np.zeros((0, BANDS), np.int64)
+    out, a = [np.zeros((0, BANDS), np.int64)], 0
+    while a < len(texts):  # in slices of bounded size; a single longer text is a slice of its own
+        b, size = a + 1, len(texts[a])
+        while b < len(texts) and size + len(texts[b]) <= _SLICE_CHARS:
+            size += len(texts[b])
+            b += 1
+        out.append(_band_hashes(groups[a:b], texts[a:b]))
+        a = b
+    return np.concatenate(out)
+
+
+def _band_hashes(groups: list[str], texts: list[str]) -> np.ndarray:
     chars = np.frombuffer("".join(t.ljust(SHINGLE) for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lens = np.fromiter((max(len(t), SHINGLE) for t in texts), np.int64, len(texts))
     starts = np.concatenate(([0], np.cumsum(lens)[:-1]))

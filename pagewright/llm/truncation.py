@@ -105,7 +105,8 @@ def truncated(df: DataFrame, doc: str, source: str, text: str, title: str | None
     lengths = F.explode(F.sequence(F.col("length") - SLACK, F.col("length")))
     bytes_ = limits.where("unit = 'bytes'").select(F.col("source").alias("bs"), lengths.alias("bl")).distinct()
 
-    x = ends.join(formula, "short", "left").join(trail, "words", "left").join(titles, "tail", "left")
+    # at most 1 / CLOSING_SHARE formulas and 1 / TRAIL_SHARE pairs of words can pass their shares
+    x = ends.join(F.broadcast(formula), "short", "left").join(F.broadcast(trail), "words", "left").join(titles, "tail", "left")
     x = x.join(chars, F.col("source").eqNullSafe(F.col("cs")) & (F.col("chars") == F.col("cl")), "left")
     x = x.join(bytes_, F.col("source").eqNullSafe(F.col("bs")) & (F.col("bytes") == F.col("bl")), "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
