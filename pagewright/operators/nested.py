@@ -36,7 +36,8 @@ def _members(ix: JsonIndex) -> dict[int, list[int]]:
 
 
 def _children(ix: JsonIndex) -> Iterator[tuple]:
-    """(record, kind, token, name token or -1, owner token) of every child, with nested lists taken apart."""
+    """(record, kind, token, name token or -1) of every child, with nested lists taken apart."""
+    inside = np.flatnonzero(ix.value & (ix.cont >= 0))
     marks = {}
     for kind, (_, keys) in CHILDREN.items():
         has = np.zeros(ix.pos.size, bool)
@@ -55,19 +56,15 @@ def _children(ix: JsonIndex) -> Iterator[tuple]:
             for t, nm in zip(todo[single].tolist(), name[single].tolist()):
                 yield int(ix.rec[t]), kind, t, nm
             opened = todo[((k == ARR) | (k == OBJ)) & ~single]
-            if not opened.size:
-                return_to = np.zeros(0, np.int64)
-            else:
-                is_open = np.zeros(ix.pos.size, bool)
-                is_open[opened] = True
-                inside = np.flatnonzero(ix.value & (ix.cont >= 0))
-                return_to = inside[is_open[ix.cont[inside]]]
-            if kind == "entity" and return_to.size:  # a map from names to anything: its keys are the names
-                mapped = ix.kind[ix.cont[return_to]] == OBJ
-                for t in return_to[mapped].tolist():
+            is_open = np.zeros(ix.pos.size, bool)
+            is_open[opened] = True
+            inner = inside[is_open[ix.cont[inside]]]
+            if kind == "entity":  # a map from names to anything: its keys are the names
+                mapped = ix.kind[ix.cont[inner]] == OBJ
+                for t in inner[mapped].tolist():
                     yield int(ix.rec[t]), kind, int(ix.key_of[t]), -1
-                return_to = return_to[~mapped]
-            todo, name = return_to, ix.key_of[return_to] if return_to.size else return_to
+                inner = inner[~mapped]
+            todo, name = inner, ix.key_of[inner]
 
 
 def flatten_batch(payloads: list[str | None], fields: bool = True) -> Iterator[tuple]:

@@ -121,3 +121,51 @@ def flatten_tree(nodes: DataFrame) -> DataFrame:
     """Rows in reading order: (id, depth, place) from (id, path of ids from the root), parents before children, siblings by id."""
     w = Window.partitionBy("root").orderBy("path")
     return nodes.withColumn("root", F.get("path", F.lit(0))).select("id", "root", (F.size("path") - 1).alias("depth"), F.row_number().over(w).alias("place"))
+
+
+def result_problem(result: object, schema: list[dict] | None = None) -> str | None:
+    """The first thing wrong with a typed result, with its path; None if it is well formed.
+
+    Without ``schema`` a result is {types: [{type_name, items}]} with items of strings; with one it has
+    matched_types, of declared types with exactly their fields, and open unmatched_types.
+    """
+    if not isinstance(result, dict):
+        return "result: not an object"
+    declared = {t["type_name"]: set(t["fields"]) for t in schema or []}
+    for part in ["types"] if schema is None else ["matched_types", "unmatched_types"]:
+        if not isinstance(result.get(part), list):
+            return f"{part}: not a list"
+        for i, t in enumerate(result[part]):
+            at = f"{part}[{i}]"
+            if not isinstance(t, dict) or not isinstance(t.get("type_name"), str):
+                return f"{at}.type_name: not a string"
+            if part == "matched_types" and t["type_name"] not in declared:
+                return f"{at}.type_name: not declared"
+            if not isinstance(t.get("items"), list):
+                return f"{at}.items: not a list"
+            for j, item in enumerate(t["items"]):
+                if not isinstance(item, dict) or not all(isinstance(k, str) and isinstance(v, str) for k, v in item.items()):
+                    return f"{at}.items[{j}]: not an object of strings"
+                if part == "matched_types" and set(item) != declared[t["type_name"]]:
+                    return f"{at}.items[{j}]: other fields than declared"
+    return None
+
+
+def result_schema(schema: list[dict] | None = None) -> dict:
+    """The JSON Schema of a typed result, open or over declared types."""
+    text = {"type": "string"}
+    item = {"type": "object", "additionalProperties": text}
+    group = lambda name, of: {"type": "object", "properties": {"type_name": name, "items": {"type": "array", "items": of}}, "required": ["type_name", "items"], "additionalProperties": False}
+    if schema is None:
+        return {"type": "object", "properties": {"types": {"type": "array", "items": group(text, item)}}, "required": ["types"]}
+    closed = [group({"const": t["type_name"]}, {"type": "object", "properties": {f: text for f in t["fields"]}, "required": t["fields"], "additionalProperties": False}) for t in schema]
+    parts = {"matched_types": {"type": "array", "items": {"anyOf": closed}}, "unmatched_types": {"type": "array", "items": group(text, item)}}
+    return {"type": "object", "properties": parts, "required": list(parts), "additionalProperties": False}
+
+
+def fingerprint(value: object) -> str:
+    """Digest of a value's canonical JSON."""
+    import hashlib
+    import json
+
+    return hashlib.sha256(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()

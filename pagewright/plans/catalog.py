@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry
-from pagewright.operators import evaluate, handoff, hierarchy, layout, normalize, pages, perf, review, segments, sessions, typed, validate, views
+from pagewright.operators import classify, evaluate, handoff, hierarchy, layout, normalize, pages, perf, review, segments, sessions, typed, validate, views
 from pagewright.runtime import cut, table
 from pagewright.sources import readers, sinks
 
@@ -124,6 +124,36 @@ def assembly_reasons(s, d):
     return _assembled(s, d).select("book_id", F.explode("review_reasons").alias("reason")).groupBy("book_id", "reason").agg(F.count("*").alias("segments"))
 
 
+def _answers(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    b = cut(_normal(s, d))
+    w = segments.windows(b)
+    keyed = classify.with_texts(w.join(segments.window_keys(w, b, MODEL, RULE, CONTRACT, VERSION), ["book_id", "page"]), b)
+    first = cut(classify.classify(keyed.join(b.where("document_type = 'scenario'").select("book_id", "page").distinct(), ["book_id", "page"], "left_semi")))
+    return classify.classify_or_reuse(keyed, first), b
+
+
+def classified_pages(s, d):
+    """All pages through the default classifier, those of scenarios answered from what an earlier run kept."""
+    a, _ = _answers(s, d)
+    return a.select("book_id", "page", "reused", F.size("proposals").alias("proposals"), "error")
+
+
+def default_segments(s, d):
+    """Segments of the default classifier: one per page."""
+    a, b = _answers(s, d)
+    p = cut(classify.proposals_of(a))
+    out = segments.assemble(segments.checked_proposals(p, b), p, b)
+    return out.select("segment_id", "book_id", "page", "content_type", "audience", F.size("block_ids").alias("blocks"), F.length("normalized_text").alias("chars"), "review_status")
+
+
+def fallback_outline(s, d):
+    return classify.fallback_outline(_blocks(s, d))
+
+
+def outline_samples(s, d):
+    return classify.outline_samples(_blocks(s, d))
+
+
 # --- validation
 
 
@@ -501,7 +531,7 @@ def batch_event_stream(s, d):
 
 _ALL = [
     doc_physical_lines, line_join_decisions, normalized_blocks, normalization_ops, audience_by_page, document_type_by_page, inherited_audience, structure_windows, window_cache_keys,
-    page_chunks, proposal_validity, assembled_segments, assembly_reasons, source_coverage, source_gaps, source_overlaps, source_order_reversals, invalid_references, parent_cycles,
+    page_chunks, proposal_validity, assembled_segments, assembly_reasons, classified_pages, default_segments, fallback_outline, outline_samples, source_coverage, source_gaps, source_overlaps, source_order_reversals, invalid_references, parent_cycles,
     player_visibility, validation_errors, exit_codes, review_queue, review_markdown, apply_review_decisions, flagged_segments, source_hashes, retrieval_view, topic_view, structure_metrics,
     ranking_scores, ranking_metrics, schema_union, gamedata_pivot, typed_rows_routed, json_lines, cache_outcomes, cache_summary, resume_worklist, stale_outputs, stem_collisions, session_merge,
     undone_regions, region_markdown, next_draw_order, perf_by_step, perf_by_file, perf_waits, redact_secrets, handoff_summary, handoff_reports, handoff_tasks, rect_clamp, card_area_filter,

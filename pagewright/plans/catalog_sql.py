@@ -153,6 +153,11 @@ SQL: dict[str, str] = {
     "proposal_validity": f"{_PAIRS} select book_id, page, segment_id, coalesce(failure, 'valid') as verdict from claim",
     "assembled_segments": f"with recursive {_NORM}, {_SEG}{_PROP}{_ASM} select segment_id, book_id, page, first_order, content_type, audience, inherited_audience, document_type, blocks, normalized_text, joins, case when len(rl) > 0 then 'required' else 'not_required' end as review_status from asm",
     "assembly_reasons": f"with recursive {_NORM}, {_SEG}{_PROP}{_ASM} select book_id, reason, count(*) as segments from (select book_id, unnest(rl) as reason from asm) group by 1, 2",
+    "classified_pages": f"with {_NORM} select book_id, page, document_type = 'scenario' as reused, cast(1 as int) as proposals, cast(null as varchar) as error from norm group by 1, 2, 3",
+    "default_segments": f"""with {_NORM}, g as (select book_id, page, list(block_id order by draw_order, block_id) as ids, any_value(inherited_audience) as audience, string_agg(normalized_text, chr(10) || chr(10)) as t, bool_or(len(reason_list) > 0) as why from norm group by 1, 2)
+ select book_id || '-' || left(sha256(book_id || '|' || array_to_string(ids, ',') || '|rule.explanation|'), 16) as segment_id, book_id, page, 'rule.explanation' as content_type, audience, cast(len(ids) as int) as blocks, cast(length(t) as int) as chars, case when why then 'required' else 'not_required' end as review_status from g""",
+    "fallback_outline": f"with {_BLK} select book_id, min(page) as start_page, max(page) as end_page, 'unknown' as title, 'unknown' as default_content_type, 'low' as confidence from blk group by 1",
+    "outline_samples": f"with {_BLK} select block_id, page, left(string_split(raw_text, chr(10))[1], 60) as first_line, left(raw_text, 120) as sample from blk",
     "source_coverage": f"with {_BLK}, {_SEG}, {_SPAN}{_RUNS} select book_id, cast(coalesce(sum(case when depth > 0 then b - a end), 0) as bigint) as covered, cast(sum(b - a) as bigint) as total, round(coalesce(sum(case when depth > 0 then b - a end), 0) / sum(b - a), 6) as ratio from runs group by 1",
     "source_gaps": f"with {_BLK}, {_SEG}, {_SPAN}{_RUNS}{_GAPS} select * from gaps",
     "source_overlaps": f"with {_BLK}, {_SEG}, {_SPAN}{_RUNS}{_OVER} select * from overs",

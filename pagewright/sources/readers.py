@@ -17,6 +17,11 @@ MANIFEST = (
     "schema_version int, book_id string, title string, input_glob string, page_pattern string, default_document_type string, default_audience string, "
     "audience_overrides array<struct<start_page: int, end_page: int, audience: string>>, document_type_overrides array<struct<start_page: int, end_page: int, document_type: string>>"
 )
+SEGMENT = (
+    "schema_version int, segment_id string, parent_segment_id string, book_id string, document_type string, section_path array<string>, content_type string, audience string, inherited_audience string, "
+    "source_spans array<struct<page: int, rect_id: string, start: int, end: int>>, raw_text string, normalized_text string, entities array<string>, "
+    "normalization_ops array<struct<type: string, rule_id: string, details: map<string, string>>>, field_confidence map<string, string>, processing map<string, string>, review_status string"
+)
 DECISION = "review_id string, segment_id string, status string, input_hash string, processing_version string, decided_by string, comment string"
 GOLD_QUERY = "query_id string, text string, relevant_ids array<string>, query_type string"
 IMAGE_ENDINGS = (".png", ".jpg", ".jpeg", ".webp", ".gif", ".tif", ".tiff", ".pdf")
@@ -104,3 +109,48 @@ def session_times(lines: DataFrame, path: str, line_no: str, timestamp: str) ->
     """path and the last timestamp in file order of each session log, newest first."""
     last = lines.groupBy(path).agg(F.max_by(timestamp, F.when(F.col(timestamp).isNotNull(), F.col(line_no))).alias("timestamp"))
     return last.orderBy(F.desc("timestamp"), path)
+
+
+def select_session(lines: DataFrame, path: str, timestamp: str, session: str, wanted: str) -> DataFrame:
+    """The newest log whose file name or any record's session is ``wanted``: path and timestamp, at most one row."""
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    hits = lines.groupBy(path).agg(F.bool_or((stem == wanted) | F.coalesce(F.col(session) == wanted, F.lit(False))).alias("hit"), F.max(timestamp).alias("timestamp"))
+    return hits.where("hit").orderBy(F.desc("timestamp"), path).select(path, "timestamp").limit(1)
+
+
+def sessions_or_empty(images_: DataFrame, sessions: DataFrame, name: str = "image_name") -> DataFrame:
+    """Every image with its session's regions, none where it has no session yet."""
+    return images_.join(sessions.select(name, "regions"), name, "left").withColumn("regions", F.coalesce("regions", F.array().cast(sessions.schema["regions"].dataType)))
+
+
+def cached_blocks(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """Stored detections that still fit: unreadable files and those of another image name count as missing. wanted: (stem, image_name)."""
+    kind = "image_name string, image_width int, image_height int, blocks array<struct<x: int, y: int, width: int, height: int>>, detected_at timestamp"
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/.]+)[^/]*$", 1).alias("stem"), F.from_json("value", kind, {"mode": "PERMISSIVE"}).alias("c"))
+    return wanted.join(files.where("c.image_name is not null and c.blocks is not null"), "stem").where("c.image_name = image_name").select("stem", "image_name", "c.image_width", "c.image_height", "c.blocks")
+
+
+def block_regions(df: DataFrame) -> DataFrame:
+    """Recognised blocks as page regions: corners 1 and 3 of the normalised outline in whole pixels, the first 100 characters of their text.
+
+    df: page_width, page_height, text, blocks array<struct<vertices: array<struct<x, y>>, segments: array<struct<start, end>>, confidence>>;
+    blocks with under four corners are left out.
+    """
+    rows = df.select("page_width", "page_height", "text", F.posexplode("blocks").alias("block_no", "b")).where("size(b.vertices) >= 4")
+    at = lambda k, axis, size: (F.get("b.vertices", F.lit(k))[axis] * F.col(size)).cast("int")
+    words = F.array_join(F.transform("b.segments", lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])), "")
+    return rows.select("block_no", at(0, "x", "page_width").alias("left"), at(0, "y", "page_height").alias("top"), at(2, "x", "page_width").alias("right"), at(2, "y", "page_height").alias("bottom"), F.col("b.confidence").alias("confidence"), F.substring(words, 1, 100).alias("snippet"))
+
+
+def joined_recognition(chunks: DataFrame, keys: list[str], replacements: dict[str, str]) -> DataFrame:
+    """Texts of a document's requests in order, one below the other, with fixed literal corrections."""
+    texts = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chunk", "text"))).alias("c"))
+    out = F.array_join(F.transform("c", lambda x: x["text"]), "\n")
+    for old, new in replacements.items():
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return texts.select(*keys, out.alias("text"))
+
+
+def log_folder(path: str) -> str:
+    """The name of a project's log folder: its path with hyphens."""
+    return path.replace("/", "-")

@@ -85,3 +85,71 @@ def managed(manifest: Path) -> list[str]:
     except (OSError, ValueError, KeyError, TypeError):
         return []
     return names if all(isinstance(n, str) and not Path(n).is_absolute() and ".." not in Path(n).parts for n in names) else []
+
+
+#: The sections of a structured page and their fields, in order; lone dashes become hyphens in those marked.
+SECTIONS = {
+    "organizations": ("組織", ["name", "classification", "sub_organizations", "headquarters", "description"], False),
+    "skills": ("技能", ["name", "ruby", "prerequisite", "max_level", "timing", "target", "range", "target_value", "opposed", "description"], True),
+    "equipment": ("装備", ["name", "ruby", "category", "type", "purchase", "concealment", "defense_s", "defense_p", "defense_i", "restriction", "electric_restriction", "slot", "description"], True),
+    "rules": ("ルール", ["depth", "title", "body"], False),
+}
+
+
+def _line(fields: list[str], lists: list[bool], finish: Callable) -> Callable:
+    def line(row):
+        cells = [F.array_join(row[f], ", ") if is_list else row[f].cast("string") for f, is_list in zip(fields, lists)]
+        return F.concat_ws("\t", *[finish(F.coalesce(c, F.lit(""))) for c in cells])
+
+    return line
+
+
+def structured_tsv(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the tab-separated text of each page: a block per section that has rows. Null fields are empty, lists joined by commas.
+
+    df has an array of structs per section; rules come as flat rows with their depth, parents first.
+    """
+    from pyspark.sql.types import ArrayType
+
+    from pagewright.operators.typed import dash
+
+    blocks = []
+    for name, (title, fields, dashed) in SECTIONS.items():
+        if name not in df.columns:
+            continue
+        kinds = df.schema[name].dataType.elementType
+
+        lines = F.transform(name, _line(fields, [isinstance(kinds[f].dataType, ArrayType) for f in fields], dash if dashed else lambda v: v))
+        head = "## " + title + "\n" + "\t".join(fields)
+        blocks.append(F.when(F.size(name) > 0, F.concat(F.lit(head + "\n"), F.array_join(lines, "\n"))))
+    text = F.concat_ws("\n\n", *blocks)
+    return df.select(*keys, F.when(text == "", "").otherwise(F.concat(text, F.lit("\n"))).alias("tsv"))
+
+
+def schema_lines(schema: DataFrame) -> DataFrame:
+    """One line per type: its name and fields. schema: type_name, fields."""
+    return schema.select(F.concat_ws("\t", "type_name", F.array_join("fields", "\t")).alias("value"))
+
+
+def card_meta(cards: DataFrame, page: str, order: list[str]) -> DataFrame:
+    """Cards with their file name (three digits, from 1 in order) and confidence to four places, halves to even."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy(page).orderBy(*order))
+    return cards.withColumn("card", n).withColumns({"file": F.concat(F.col(page).cast("string"), F.lit("_"), F.lpad(F.col("card").cast("string"), 3, "0"), F.lit(".png")), "confidence": F.bround("confidence", 4)})
+
+
+def metric_lines(metrics: DataFrame) -> DataFrame:
+    """A row of metrics as lines name=value, ratios to four places."""
+    cells = [F.concat(F.lit(f"{f.name}="), F.format_string("%.4f", f.name) if f.dataType.simpleString() == "double" else F.col(f.name).cast("string")) for f in metrics.schema]
+    return metrics.select(F.concat_ws("\n", *cells).alias("value"))
+
+
+def handoff_markdown(sessions: DataFrame) -> DataFrame:
+    """One page per session: title, tasks as a table, reports, next work. sessions: session, title, tasks (array of id, subject, status), reports, next_work."""
+    from pagewright.operators.handoff import bullets, escape_cell
+
+    rows = F.transform("tasks", lambda t: F.concat(F.lit("| "), t["id"], F.lit(" | "), escape_cell(t["subject"]), F.lit(" | "), t["status"], F.lit(" |")))
+    table = F.concat_ws("\n", F.lit("| id | subject | status |"), F.lit("| --- | --- | --- |"), F.array_join(rows, "\n"))
+    text = F.concat_ws("\n\n", F.concat(F.lit("# "), F.coalesce("title", "session")), F.lit("## Tasks"), table, F.lit("## Next"), bullets(F.col("next_work")), F.lit("## Reports"), F.array_join("reports", "\n\n"))
+    return sessions.select("session", text.alias("markdown"))

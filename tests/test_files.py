@@ -102,3 +102,43 @@ def test_stream_drops_results_of_changed_regions(spark, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         batches.merge_results(batches.table_stream(spark, str(tmp_path / "in"), results.schema, 100), now, ["rect_id"], ["x"], str(tmp_path / "out"), str(tmp_path / "state"))
     assert [r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["read"]
+
+
+def test_logs_are_selected_by_name_or_session(spark):
+    logs = spark.createDataFrame([("/l/a.jsonl", "1", "s1"), ("/l/a.jsonl", "4", None), ("/l/b.jsonl", "3", "s1"), ("/l/c.jsonl", "9", "s2")], "path string, ts string, session string")
+    pick = lambda w: [tuple(r) for r in readers.select_session(logs, "path", "ts", "session", w).collect()]
+    assert pick("s1") == [("/l/a.jsonl", "4")] and pick("b") == [("/l/b.jsonl", "3")] and pick("zz") == []
+    assert readers.log_folder("/home/x/y") == "-home-x-y"
+
+
+def test_stored_detections_that_fit(spark, tmp_path):
+    (tmp_path / "a.blocks.json").write_text(json.dumps({"image_name": "a.png", "image_width": 5, "image_height": 5, "blocks": [{"x": 1, "y": 1, "width": 1, "height": 1}]}))
+    (tmp_path / "b.blocks.json").write_text("{broken")
+    (tmp_path / "c.blocks.json").write_text(json.dumps({"image_name": "c.jpg", "blocks": []}))
+    wanted = spark.createDataFrame([("a", "a.png"), ("b", "b.png"), ("c", "c.png"), ("d", "d.png")], "stem string, image_name string")
+    assert [r.stem for r in readers.cached_blocks(spark, str(tmp_path), wanted).collect()] == ["a"]
+
+
+def test_recognised_blocks(spark):
+    kind = "page_width int, page_height int, text string, blocks array<struct<vertices: array<struct<x: double, y: double>>, segments: array<struct<start: int, end: int>>, confidence: double>>"
+    box = [(0.1, 0.1), (0.9, 0.1), (0.999, 0.5), (0.1, 0.5)]
+    df = spark.createDataFrame([(100, 200, "hello world", [(box, [(0, 5), (5, 11)], 0.91), (box[:3], [(0, 5)], 0.5)])], kind)
+    assert [tuple(r) for r in readers.block_regions(df).collect()] == [(0, 10, 20, 99, 100, 0.91, "hello world")]
+    chunks = spark.createDataFrame([("d", 1, "two ACME"), ("d", 0, "one")], "doc string, chunk int, text string")
+    assert readers.joined_recognition(chunks, ["doc"], {"ACME": "A◎ME"}).first().text == "one\ntwo A◎ME"
+    cards = spark.createDataFrame([("p", 3, 0.12345), ("p", 1, 0.5)], "page string, top int, confidence double")
+    assert [(r.file, r.confidence) for r in sinks.card_meta(cards, "page", ["top"]).orderBy("card").collect()] == [("p_001.png", 0.5), ("p_002.png", 0.1234)]
+    images_ = spark.createDataFrame([("a",), ("b",)], "image_name string")
+    got = readers.sessions_or_empty(images_, spark.createDataFrame([("a", [1])], "image_name string, regions array<int>"))
+    assert {r.image_name: r.regions for r in got.collect()} == {"a": [1], "b": []}
+
+
+def test_texts_of_structured_pages(spark):
+    kind = "page int, organizations array<struct<name: string, classification: string, sub_organizations: array<string>, headquarters: string, description: string>>, rules array<struct<depth: int, title: string, body: string>>"
+    rows = [(1, [("ー", None, ["a", "b"], "h", "d")], [(0, "t", "b"), (1, "u", "c")]), (2, [], [])]
+    got = {r.page: r.tsv for r in sinks.structured_tsv(spark.createDataFrame(rows, kind), ["page"]).collect()}
+    assert got == {1: "## 組織\nname\tclassification\tsub_organizations\theadquarters\tdescription\nー\t\ta, b\th\td\n\n## ルール\ndepth\ttitle\tbody\n0\tt\tb\n1\tu\tc\n", 2: ""}
+    assert sinks.schema_lines(spark.createDataFrame([("t", ["a", "b"])], "type_name string, fields array<string>")).first().value == "t\ta\tb"
+    assert sinks.metric_lines(spark.createDataFrame([(0.5, 2)], "ratio double, n int")).first().value == "ratio=0.5000\nn=2"
+    page = spark.createDataFrame([("s", None, [("1", "a|b", "open")], ["r"], ["a|b"])], "session string, title string, tasks array<struct<id: string, subject: string, status: string>>, reports array<string>, next_work array<string>")
+    assert "| 1 | a\\|b | open |" in sinks.handoff_markdown(page).first().markdown

@@ -58,3 +58,18 @@ def test_collisions_and_trees(spark):
     assert [(r.stem, r.members) for r in typed.collisions(df, "stem", "name").collect()] == [("a", ["a.jpg", "a.png"])]
     tree = spark.createDataFrame([("r", ["r"]), ("b", ["r", "b"]), ("a", ["r", "a"]), ("x", ["r", "a", "x"])], "id string, path array<string>")
     assert [(r.id, r.depth) for r in typed.flatten_tree(tree).orderBy("place").collect()] == [("r", 0), ("a", 1), ("x", 2), ("b", 1)]
+
+
+def test_results_are_checked():
+    item = {"a": "1"}
+    assert typed.result_problem({"types": [{"type_name": "t", "items": [item]}]}) is None
+    for bad, why in [([], "result: not an object"), ({}, "types: not a list"), ({"types": [3]}, "types[0].type_name: not a string"), ({"types": [{"type_name": "t"}]}, "types[0].items: not a list"), ({"types": [{"type_name": "t", "items": [{"a": 1}]}]}, "types[0].items[0]: not an object of strings")]:
+        assert typed.result_problem(bad) == why
+    schema = [{"type_name": "t", "fields": ["a"]}]
+    whole = {"matched_types": [{"type_name": "t", "items": [item]}], "unmatched_types": [{"type_name": "u", "items": [{"z": "1"}]}]}
+    assert typed.result_problem(whole, schema) is None
+    assert typed.result_problem(whole | {"matched_types": [{"type_name": "u", "items": []}]}, schema) == "matched_types[0].type_name: not declared"
+    assert typed.result_problem(whole | {"matched_types": [{"type_name": "t", "items": [{"b": "1"}]}]}, schema) == "matched_types[0].items[0]: other fields than declared"
+    assert typed.result_schema(schema)["properties"]["matched_types"]["items"]["anyOf"][0]["properties"]["type_name"] == {"const": "t"}
+    assert typed.result_schema()["required"] == ["types"]
+    assert typed.fingerprint({"b": 1, "a": 2}) == typed.fingerprint({"a": 2, "b": 1}) != typed.fingerprint({"a": 2})
