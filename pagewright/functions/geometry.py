@@ -63,3 +63,9 @@ def round_half_even(value: Column) -> Column:
 def display_to_natural(value: Column, scale: Column, high: Column) -> Column:
     """A display coordinate in image pixels, halves up, inside the image."""
     return clamp(F.floor(value * scale + 0.5), 0, high)
+
+
+def active_blocks(granularity: Column, paragraphs: Column, vertical: Column, horizontal: Column) -> Column:
+    """The blocks of the wanted granularity, the paragraphs where there are none."""
+    wanted = F.when(granularity == "vertical", vertical).when(granularity == "horizontal", horizontal)
+    return F.when(F.size(wanted) > 0, wanted).otherwise(paragraphs)

@@ -142,3 +142,15 @@ def fallback_outline(blocks: DataFrame) -> DataFrame:
 def outline_samples(blocks: DataFrame, line: int = 60, text: int = 120) -> DataFrame:
     """What an outline is inferred from: the start of each block's first line and of its text."""
     return blocks.select("block_id", "page", F.substring(F.split("raw_text", "\n")[0], 1, line).alias("first_line"), F.substring("raw_text", 1, text).alias("sample"))
+
+
+def outline_problem(outline: dict[str, Any], book_id: str) -> str | None:
+    """Why an outline is refused: another book, a section without title, or one that ends before it starts."""
+    if outline.get("book_id") != book_id:
+        return "another book"
+    for s in outline.get("sections") or []:
+        if not str(s.get("title") or "").strip():
+            return "section without title"
+        if not 1 <= s.get("start_page", 0) <= s.get("end_page", 0):
+            return "section ends before it starts"
+    return None

@@ -153,3 +153,10 @@ def handoff_markdown(sessions: DataFrame) -> DataFrame:
     table = F.concat_ws("\n", F.lit("| id | subject | status |"), F.lit("| --- | --- | --- |"), F.array_join(rows, "\n"))
     text = F.concat_ws("\n\n", F.concat(F.lit("# "), F.coalesce("title", "session")), F.lit("## Tasks"), table, F.lit("## Next"), bullets(F.col("next_work")), F.lit("## Reports"), F.array_join("reports", "\n\n"))
     return sessions.select("session", text.alias("markdown"))
+
+
+def legacy_outputs(folder: str, reserved: tuple[str, ...], skip: tuple[str, ...] = (".stage", ".backup")) -> list[str]:
+    """Tab-separated files below a folder that no manifest names: those of no other mode and of no work folder."""
+    root = Path(folder)
+    found = (p.relative_to(root) for p in root.rglob("*.tsv") if p.is_file())
+    return sorted(str(p) for p in found if p.parts[0] not in skip and not p.name.endswith(reserved))

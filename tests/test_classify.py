@@ -65,3 +65,14 @@ def test_retries_wait_for_rate_limits_only():
     with pytest.raises(KeyError):
         c.with_retries(lambda: {}["x"], sleep=waits.append)
     assert len(waits) == 6
+
+
+def test_outlines_are_checked(spark):
+    good = {"book_id": "b", "sections": [{"title": "t", "start_page": 1, "end_page": 1}]}
+    assert c.outline_problem(good, "b") is None and c.outline_problem(good, "c") == "another book"
+    assert c.outline_problem({"book_id": "b", "sections": [{"title": " "}]}, "b") == "section without title"
+    assert c.outline_problem({"book_id": "b", "sections": [{"title": "t", "start_page": 3, "end_page": 2}]}, "b") == "section ends before it starts"
+    blocks = spark.createDataFrame([("b", 3, "x", "first\nsecond"), ("b", 7, "y", "z" * 300)], "book_id string, page int, block_id string, raw_text string")
+    r = c.fallback_outline(blocks).first()
+    assert (r.start_page, r.end_page, r.title) == (3, 7, "unknown")
+    assert {x.block_id: (x.first_line, len(x["sample"])) for x in c.outline_samples(blocks).collect()} == {"x": ("first", 12), "y": ("z" * 60, 120)}

@@ -142,3 +142,10 @@ def test_texts_of_structured_pages(spark):
     assert sinks.metric_lines(spark.createDataFrame([(0.5, 2)], "ratio double, n int")).first().value == "ratio=0.5000\nn=2"
     page = spark.createDataFrame([("s", None, [("1", "a|b", "open")], ["r"], ["a|b"])], "session string, title string, tasks array<struct<id: string, subject: string, status: string>>, reports array<string>, next_work array<string>")
     assert "| 1 | a\\|b | open |" in sinks.handoff_markdown(page).first().markdown
+
+
+def test_outputs_no_manifest_names(tmp_path):
+    for n in ("a.tsv", "x.docai.tsv", ".stage/b.tsv", "sub/c.tsv", "note.txt"):
+        (tmp_path / n).parent.mkdir(exist_ok=True)
+        (tmp_path / n).write_text("x")
+    assert sinks.legacy_outputs(str(tmp_path), (".docai.tsv",)) == ["a.tsv", "sub/c.tsv"]

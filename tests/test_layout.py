@@ -70,3 +70,8 @@ def test_rectangle_columns(spark):
 
 def row_box(l, t, r, b):
     return F.struct(*[F.lit(v).alias(n) for v, n in ((l, "left"), (t, "top"), (r, "right"), (b, "bottom"))])
+
+
+def test_blocks_of_the_wanted_granularity(spark):
+    df = spark.createDataFrame([("vertical", [1], [2], []), ("horizontal", [1], [2], []), ("paragraph", [1], [2], [3]), ("vertical", [1], None, [3])], "g string, p array<int>, v array<int>, h array<int>")
+    assert [r[0] for r in df.select(g.active_blocks(*[F.col(c) for c in "gpvh"])).collect()] == [[2], [1], [1], [1]]
