@@ -38,6 +38,14 @@ def current_regions(sessions: DataFrame) -> DataFrame:
     return s.select("book_id", "page", "image_name", "image_width", "image_height", "r.rectangle.*", "r.text", "r.ocr_status", "r.ocr_error", "r.ocr_completed_at")
 
 
+def block_sizes(sessions: DataFrame) -> DataFrame:
+    """book_id, page, rect_id, chars of the blocks of the current sessions: lengths are taken before anything moves, texts stay where they are."""
+    done = F.filter("regions", lambda r: (r["ocr_status"] == "done") & (F.length(r["text"]) > 0))
+    slim = F.transform(done, lambda r: F.struct(r["rectangle"]["rect_id"].alias("rect_id"), F.length(r["text"]).alias("chars")))
+    s = current_sessions(sessions.select("book_id", "file_name", "saved_at", "session_id", slim.alias("sizes"))).where("page is not null")
+    return s.select("book_id", "page", F.inline("sizes"))
+
+
 def block_id() -> Column:
     return F.format_string("%s:p%03d:%s", "book_id", "page", "rect_id")
 

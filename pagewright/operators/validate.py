@@ -11,13 +11,18 @@ HIDDEN_FROM_PLAYERS = ("gm", "unknown")
 KEYS = ["book_id", "page", "rect_id"]
 
 
+def _size(regions: DataFrame) -> DataFrame:
+    """Length of each region's text, from chars where that is known."""
+    return regions.select(*KEYS, (F.col("chars") if "chars" in regions.columns else F.length("raw_text")).alias("n"))
+
+
 def depth_runs(spans: DataFrame, regions: DataFrame) -> DataFrame:
     """book_id, page, rect_id, a, b, depth: stretches of each region's text and how many spans cover them.
 
     Event sweep: +1 and -1 at clipped span ends, summed per position before the running sum, so a
     region many spans share stays small. Every region gives at least its own bounds.
     """
-    size = regions.select(*KEYS, F.length("raw_text").alias("n"))
+    size = _size(regions)
     clipped = spans.join(size, KEYS).select(*KEYS, "n", F.least("start", "n").alias("a"), F.least("end", "n").alias("b")).where("b > a and a >= 0")
     events = clipped.select(*KEYS, F.explode(F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("d")), F.struct(F.col("b").alias("at"), F.lit(-1).alias("d")))).alias("e")).select(*KEYS, "e.*")
     bounds = size.select(*KEYS, F.explode(F.array(F.lit(0), F.col("n"))).alias("at"), F.lit(0).alias("d"))
@@ -51,7 +56,7 @@ def coverage(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def invalid_references(spans: DataFrame, regions: DataFrame) -> DataFrame:
     """Spans of no region, or beyond the text of theirs."""
-    size = regions.select(*KEYS, F.length("raw_text").alias("n"))
+    size = _size(regions)
     joined = spans.join(size, KEYS, "left")
     return joined.where("n is null or start >= n or end > n").drop("n")
 

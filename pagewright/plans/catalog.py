@@ -24,6 +24,10 @@ def _blocks(s: SparkSession, d: str) -> DataFrame:
     return pages.blocks(_regions(s, d))
 
 
+def _sizes(s: SparkSession, d: str) -> DataFrame:
+    return pages.block_sizes(table(s, d, "region_sessions"))
+
+
 def _normal(s: SparkSession, d: str) -> DataFrame:
     b = normalize.normalized(_blocks(s, d).select("book_id", "page", "rect_id", "block_id", "draw_order", "raw_text"))
     return pages.page_attributes(b, table(s, d, "books"))
@@ -158,7 +162,7 @@ def outline_samples(s, d):
 
 
 def _runs(s: SparkSession, d: str) -> DataFrame:
-    return validate.depth_runs(_spans(s, d), _blocks(s, d))
+    return validate.depth_runs(_spans(s, d), _sizes(s, d))
 
 
 def source_coverage(s, d):
@@ -178,7 +182,7 @@ def source_order_reversals(s, d):
 
 
 def invalid_references(s, d):
-    return validate.invalid_references(_spans(s, d), _blocks(s, d)).select("segment_id", "page", "rect_id", "start", "end")
+    return validate.invalid_references(_spans(s, d), _sizes(s, d)).select("segment_id", "page", "rect_id", "start", "end")
 
 
 def parent_cycles(s, d):
@@ -190,7 +194,7 @@ def player_visibility(s, d):
 
 
 def _errors(s: SparkSession, d: str) -> DataFrame:
-    return validate.errors(_segments(s, d), cut(_spans(s, d)), cut(_blocks(s, d).select(*validate.KEYS, "raw_text")))
+    return validate.errors(_segments(s, d), cut(_spans(s, d)), cut(_sizes(s, d)))
 
 
 def validation_errors(s, d):
@@ -324,7 +328,7 @@ def cache_summary(s, d):
 
 def resume_worklist(s, d):
     """Blocks no segment refers to yet."""
-    return _blocks(s, d).select(*pages.BLOCK_KEYS, "block_id").join(_spans(s, d).select(*pages.BLOCK_KEYS).distinct(), pages.BLOCK_KEYS, "left_anti").select("block_id")
+    return _sizes(s, d).join(_spans(s, d).select(*pages.BLOCK_KEYS).distinct(), pages.BLOCK_KEYS, "left_anti").select(pages.block_id().alias("block_id"))
 
 
 def stale_outputs(s, d):
