@@ -88,7 +88,34 @@ c as (select id, p from t where id not in (select id from up)),
 reach as (select id, p as a from c union select r.id, c.p from reach r join c on r.a = c.id),
 ring as (select r.id, min(r2.a) as root_id from reach r join reach r2 on r2.id = r.a where r.a in (select id from reach where id = a) group by 1)
 """
+_P1 = r"""
+with recursive bare as (select distinct record_id, trim(payload, chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) as t from raw_records where payload is not null),
+opened as (select record_id, case when json_valid(t) and json_type(t) = 'VARCHAR' then trim(json_extract_string(t, '$'), chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) else t end as t from bare),
+docs as (select record_id, cast(t as json) as j from opened where json_valid(t)),
+tree as (select record_id, n.id, n.parent, n.key, n.type, n.atom from docs, json_tree(docs.j) n),
+held as (select record_id, id, type, key as under, cast(null as varchar) as name from tree where key in ('regions', 'source_spans', 'entities')
+  union all
+  select c.record_id, c.id, c.type, h.under, case when h.type = 'OBJECT' then c.key end from held h join tree c on c.record_id = h.record_id and c.parent = h.id
+  where h.type = 'ARRAY' or (h.type = 'OBJECT' and not exists (select 1 from tree m where m.record_id = h.record_id and m.parent = h.id
+   and list_contains(case h.under when 'regions' then ['rectangle', 'rect_id', 'draw_order', 'ocr_status'] when 'source_spans' then ['page', 'rect_id', 'start', 'end'] else ['name'] end, m.key)))),
+kids as (select * from held h where (type = 'VARCHAR' and under = 'entities') or (type = 'OBJECT' and exists (select 1 from tree m where m.record_id = h.record_id and m.parent = h.id
+   and list_contains(case h.under when 'regions' then ['rectangle', 'rect_id', 'draw_order', 'ocr_status'] when 'source_spans' then ['page', 'rect_id', 'start', 'end'] else ['name'] end, m.key)))),
+member as (select record_id, parent, key, type, id, json_extract_string(atom, '$') as v from tree),
+boxes as (select r.record_id, r.id, m.id as box from kids r join member m on m.record_id = r.record_id and m.parent = r.id and m.key = 'rectangle' and m.type = 'OBJECT' where r.under = 'regions'
+  union all select r.record_id, r.id, e.id from kids r join member m on m.record_id = r.record_id and m.parent = r.id and m.key = 'rectangle' and m.type = 'ARRAY' join member e on e.record_id = r.record_id and e.parent = m.id and e.type = 'OBJECT' where r.under = 'regions'),
+region as (select r.record_id, r.id, coalesce(b.v, d.v, r.name, '') as k from kids r left join boxes x on x.record_id = r.record_id and x.id = r.id left join member b on b.record_id = r.record_id and b.parent = x.box and b.key = 'rect_id'
+  left join member d on d.record_id = r.record_id and d.parent = r.id and d.key = 'rect_id' where r.under = 'regions'),
+climb as (select k.record_id, k.id, t.parent as at from kids k join tree t on t.record_id = k.record_id and t.id = k.id
+  union all select c.record_id, c.id, t.parent from climb c join tree t on t.record_id = c.record_id and t.id = c.at where c.at not in (select r.id from region r where r.record_id = c.record_id)),
+above as (select c.record_id, c.id, r.k from climb c join region r on r.record_id = c.record_id and r.id = c.at),
+named as (select record_id, id, 'region' as child, k from region
+  union all select s.record_id, s.id, 'span', coalesce(p.v, '') || ':' || coalesce(r.v, '') || ':' || coalesce(a.v, '') from kids s left join member p on p.record_id = s.record_id and p.parent = s.id and p.key = 'page'
+   left join member r on r.record_id = s.record_id and r.parent = s.id and r.key = 'rect_id' left join member a on a.record_id = s.record_id and a.parent = s.id and a.key = 'start' where s.under = 'source_spans'
+  union all select e.record_id, e.id, 'entity', coalesce(n.v, m.v) from kids e left join member n on n.record_id = e.record_id and n.parent = e.id and n.key = 'name' left join member m on m.record_id = e.record_id and m.id = e.id and m.type = 'VARCHAR' where e.under = 'entities')
+select distinct n.record_id, n.child, coalesce(a.k, '') as parent_key, n.k as child_key from named n left join above a on a.record_id = n.record_id and a.id = n.id where n.k is not null
+"""
 SQL = {
+    "p1_found": _P1,
     "p1_regions": """select distinct session_id, book_id, file_name, region_no, r.rectangle.rect_id as rect_id, r.rectangle.draw_order as draw_order,
  r.rectangle.x as x, r.rectangle.y as y, r.rectangle.width as width, r.rectangle.height as height, r.text as text, r.ocr_status as ocr_status, r.ocr_error as ocr_error
  from (select session_id, book_id, file_name, unnest(regions) as r, cast(generate_subscripts(regions, 1) - 1 as int) as region_no from region_sessions)""",
