@@ -23,6 +23,7 @@ LOOK_ALIKES = {
 #: Compatibility forms drawn exactly like what they stand for: Latin ligatures and CJK radicals.
 _SAME_SHAPE = [(0xFB00, 0xFB06), (0x2E80, 0x2FDF)]
 _DECOMPOSING = [(0x00A0, 0x3400), (0xF900, 0xFFEF), (0x2F800, 0x2FA20)]
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 _LINES = re.compile("\r\n|\r|\n")
 
 
@@ -97,7 +98,7 @@ def canonical(text: str) -> str:
     if text.isascii() and "\t" not in text:
         return text
     marks, single, clusters, table = transducer()
-    if max(text) <= "\uffff" and marks.search(text) is None:
+    if marks.search(text) is None and _ASTRAL.search(text) is None:
         return single.sub(lambda m: table[m[0]], text)
     return clusters.sub(lambda m: _cluster(m[0]), text)
 
