@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.runtime import cut
+
 #: A length is a spike if at least this many rows, and this share of the rows as long or longer, have it.
 SPIKE_ROWS, SPIKE_SHARE = 5, 0.3
 #: Bytes below a byte limit at which a cut can end: a character of up to 4 bytes did not fit.
@@ -57,7 +59,7 @@ def _endings(df: DataFrame, doc: str, source: str, text: str, title: str | None)
     out = df.select(
         F.col(f"`{doc}`").alias("doc"), F.col(f"`{source}`").alias("source"), F.length(f"`{text}`").alias("chars"), F.octet_length(f"`{text}`").alias("bytes"),
         F.xxhash64(t).alias("copy"), (F.col(f"`{title}`") if title else F.lit(None).cast("string")).alias("title"),
-        _last_line(t).alias("last"), F.size(F.split(t, "\n")).alias("lines"), F.when(F.instr(t, "\n") > 0, _last_line(F.regexp_replace(t, r"\n[^\n]*$", ""))).alias("before"),
+        _last_line(t).alias("last"), F.size(F.split(t, "\n")).alias("lines"), F.when(F.instr(t, "\n") > 0, _last_line(F.substring_index(F.substring_index(t, "\n", -2), "\n", 1))).alias("before"),
     ).where("last <> ''")
     bare = F.regexp_replace(F.regexp_replace("last", _REMNANT, ""), r"\s+$", "")
     out = out.withColumns({"bare": bare, "bullet": F.col("last").rlike(_BULLET), "row": F.col("last").rlike(_ROW), "listed_before": F.coalesce(F.col("before").rlike(_BULLET), F.lit(False))})
@@ -89,7 +91,7 @@ def truncated(df: DataFrame, doc: str, source: str, text: str, title: str | None
     (characters or bytes) any end without terminal punctuation or closing formula counts as cut.
     Null and blank texts are left out; repeated rows give one row; a null source is a source.
     """
-    ends = _endings(df, doc, source, text, title)
+    ends = cut(_endings(df, doc, source, text, title))  # texts are looked at once
     total = ends.agg(F.count("*").alias("total"))
     formula = _counted(ends.where("short is not null").select("short", "copy").distinct(), ["short"]).crossJoin(F.broadcast(total))  # one row
     formula = formula.where((F.col("n") >= CLOSING_ROWS) & (F.col("n") >= F.col("total") * CLOSING_SHARE)).select("short", F.lit(True).alias("closing"))
