@@ -36,10 +36,11 @@ def length_spikes(df: DataFrame, source: str, text: str) -> DataFrame:
     rows as long or longer. In bytes the lengths within SLACK below a limit count with it, as a
     character is never split. Null texts are left out.
     """
-    hist = df.where(F.col(text).isNotNull()).select(F.col(source).alias("source"), F.explode(F.array(
-        F.struct(F.lit("chars").alias("unit"), F.length(text).alias("length")),
-        F.struct(F.lit("bytes").alias("unit"), F.octet_length(text).alias("length")),
-    )).alias("x")).select("source", "x.*")
+    return _spikes(df.where(F.col(text).isNotNull()).select(F.col(source).alias("source"), F.length(text).alias("chars"), F.octet_length(text).alias("bytes")))
+
+
+def _spikes(lengths: DataFrame) -> DataFrame:
+    hist = lengths.select("source", F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")])).alias("x")).select("source", "x.*")
     hist = _counted(hist, ["source", "unit", "length"])
     # a source has at most as many lengths as its longest text has bytes
     w = Window.partitionBy("source", "unit").orderBy("length")
@@ -60,13 +61,13 @@ def _endings(df: DataFrame, doc: str, source: str, text: str, title: str | None)
         F.col(f"`{doc}`").alias("doc"), F.col(f"`{source}`").alias("source"), F.length(f"`{text}`").alias("chars"), F.octet_length(f"`{text}`").alias("bytes"),
         F.xxhash64(t).alias("copy"), (F.col(f"`{title}`") if title else F.lit(None).cast("string")).alias("title"),
         _last_line(t).alias("last"), F.size(F.split(t, "\n")).alias("lines"), F.when(F.instr(t, "\n") > 0, _last_line(F.substring_index(F.substring_index(t, "\n", -2), "\n", 1))).alias("before"),
-    ).where("last <> ''")
+    ).where("chars is not null")
     bare = F.regexp_replace(F.regexp_replace("last", _REMNANT, ""), r"\s+$", "")
     out = out.withColumns({"bare": bare, "bullet": F.col("last").rlike(_BULLET), "row": F.col("last").rlike(_ROW), "listed_before": F.coalesce(F.col("before").rlike(_BULLET), F.lit(False))})
     shape = lambda c: F.regexp_replace(F.regexp_replace(F.right(c, F.lit(1)), r"[0-9０-９]", "0"), r"[A-Za-z]", "a")
     latin = F.col("last").rlike(r"^[\p{IsLatin}\p{N}\p{P}\s]+$")
     return out.select(
-        "doc", "source", "chars", "bytes", "copy",
+        "doc", "source", "chars", "bytes", "copy", (F.col("last") == "").alias("blank"),
         F.right("title", F.lit(2)).alias("title_tail"), F.right("last", F.lit(2)).alias("tail"),
         F.when((F.length("last") <= CLOSING_CHARS) & (F.col("lines") > 1) & ~F.col("bullet") & ~F.col("row"), F.col("last")).alias("short"),
         F.when(F.col("last").endswith("..."), F.regexp_extract("last", r"(\S+\s+\S+)\.\.\.$", 1)).alias("words"),
@@ -91,7 +92,8 @@ def truncated(df: DataFrame, doc: str, source: str, text: str, title: str | None
     (characters or bytes) any end without terminal punctuation or closing formula counts as cut.
     Null and blank texts are left out; repeated rows give one row; a null source is a source.
     """
-    ends = cut(_endings(df, doc, source, text, title))  # texts are looked at once
+    all_ = cut(_endings(df, doc, source, text, title))  # texts are looked at once
+    ends = all_.where("not blank")
     total = ends.agg(F.count("*").alias("total"))
     formula = _counted(ends.where("short is not null").select("short", "copy").distinct(), ["short"]).crossJoin(F.broadcast(total))  # one row
     formula = formula.where((F.col("n") >= CLOSING_ROWS) & (F.col("n") >= F.col("total") * CLOSING_SHARE)).select("short", F.lit(True).alias("closing"))
@@ -99,7 +101,7 @@ def truncated(df: DataFrame, doc: str, source: str, text: str, title: str | None
     trail = _counted(dots, ["words"]).crossJoin(F.broadcast(dots.agg(F.count("*").alias("total"))))  # one row
     trail = trail.where((F.col("n") >= TRAIL_ROWS) & (F.col("n") >= F.col("total") * TRAIL_SHARE)).select("words", F.lit(True).alias("trailing"))
     titles = _counted(ends.where("title_tail <> ''").select(F.col("title_tail").alias("tail")), ["tail"]).where("n >= 3").select("tail", F.lit(True).alias("as_title"))
-    limits = length_spikes(df.select(F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").cast("string").alias("t")), "source", "t")
+    limits = _spikes(all_)
     # one limit shows in both histograms; it is taken in the unit in which it is sharper
     sharper = limits.groupBy("source").agg(F.max(F.struct("rows", "unit"))["unit"].alias("own"))
     limits = limits.alias("l").join(sharper.alias("s"), F.expr("l.source <=> s.source and l.unit = s.own")).select("l.*")
