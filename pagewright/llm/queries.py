@@ -108,4 +108,10 @@ def p9_limits(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p2_segments, p4_found, p4_canonical, p6_found, p6_cleaned, p7_packed, p7_unused, p8_found, p8_alignments, p8_items, p9_found, p9_marked, p9_rates, p9_limits)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p9_limits": """with h as (select source, 'chars' as unit, cast(length(text) as int) as length, count(*) as n from documents where text is not null group by all
+  union all select source, 'bytes', cast(strlen(text) as int), count(*) from documents where text is not null group by all),
+ s as (select source, unit, length, cast(case when unit = 'bytes' then sum(n) over (partition by source, unit order by length range between 3 preceding and current row) else n end as bigint) as rows,
+  cast(coalesce(sum(n) over (partition by source, unit order by length range between 1 following and unbounded following), 0) as bigint) as longer from h)
+ select * from s where rows >= 5 and rows >= 0.3 * (rows + longer)""",
+}
