@@ -75,3 +75,11 @@ def row_box(l, t, r, b):
 def test_blocks_of_the_wanted_granularity(spark):
     df = spark.createDataFrame([("vertical", [1], [2], []), ("horizontal", [1], [2], []), ("paragraph", [1], [2], [3]), ("vertical", [1], None, [3])], "g string, p array<int>, v array<int>, h array<int>")
     assert [r[0] for r in df.select(g.active_blocks(*[F.col(c) for c in "gpvh"])).collect()] == [[2], [1], [1], [1]]
+
+
+def test_pages_go_on_in_the_next_batch():
+    import pyarrow as pa
+
+    make = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], names=["k", "v"])
+    got = [(k, r[:, 0].tolist()) for k, r in layout._pages(iter([make([("a", 1), ("a", 2)]), make([("a", 3), ("b", 4)]), make([]), make([("b", 5)]), make([("c", 6)])]), 1)]
+    assert got == [(("a",), [1, 2, 3]), (("b",), [4, 5]), (("c",), [6])]
