@@ -20,6 +20,11 @@ _END = "。．.!?！？"
 _CLOSE = "」』）)\"”’】〉》"
 _BULLET = r"^\s*[・●◆■▶◇○□•*\-–—]\s*\S"
 _ROW = r"^\S+(?: \S+)*(?:[ 　]{2,}|\t)\S+(?:(?:[ 　]{2,}|\t)\S+)*$"
+_BLANKS = " \t\r\n\x0b\x0c\u00a0\u2007\u202f\u3000"
+#: Longest line that can be a table row or a title, and end of a line in which its last words are looked for.
+_ROW_CHARS = 200
+#: Characters at the end of a text in which a mark or remnant of a cut is looked for.
+_REMNANT_CHARS = 20
 _TITLED = r"^\p{Lu}[\p{L}'’-]*(?: (?:(?:of|the|and|in|to|for|a|an)\b|\p{Lu}[\p{L}'’-]*|\p{N}+))+$"  # short function words aside, capitals only
 _REMNANT = r"(?:�+|[ 　]*\[(?:…|\.\.\.)?\]?|[ 　]*[(（](?:…|\.\.\.)[)）]?|(?<!…)…|\.\.\.)$"
 
@@ -51,32 +56,35 @@ def _spikes(lengths: DataFrame) -> DataFrame:
 
 
 def _last_line(text: Column) -> Column:
-    return F.regexp_replace(F.substring_index(text, "\n", -1), r"^\s+|\s+$", "")
+    return F.btrim(F.substring_index(text, "\n", -1), F.lit(_BLANKS))
 
 
 def _endings(df: DataFrame, doc: str, source: str, text: str, title: str | None) -> DataFrame:
     """What the end of each text looks like; the text itself is not carried on."""
-    t = F.regexp_replace(F.col(f"`{text}`").cast("string"), r"\s+$", "")
+    t = F.rtrim(F.col(f"`{text}`").cast("string"), F.lit(_BLANKS))
     out = df.select(
         F.col(f"`{doc}`").alias("doc"), F.col(f"`{source}`").alias("source"), F.length(f"`{text}`").alias("chars"), F.octet_length(f"`{text}`").alias("bytes"),
         F.xxhash64(t).alias("copy"), (F.col(f"`{title}`") if title else F.lit(None).cast("string")).alias("title"),
         _last_line(t).alias("last"), F.size(F.split(t, "\n")).alias("lines"), F.when(F.instr(t, "\n") > 0, _last_line(F.substring_index(F.substring_index(t, "\n", -2), "\n", 1))).alias("before"),
     ).where("chars is not null")
-    bare = F.regexp_replace(F.regexp_replace("last", _REMNANT, ""), r"\s+$", "")
-    out = out.withColumns({"bare": bare, "bullet": F.col("last").rlike(_BULLET), "row": F.col("last").rlike(_ROW), "listed_before": F.coalesce(F.col("before").rlike(_BULLET), F.lit(False))})
+    kept = F.greatest(F.length("last") - _REMNANT_CHARS, F.lit(0))
+    bare = F.rtrim(F.concat(F.substring(F.col("last"), F.lit(1), kept), F.regexp_replace(F.right("last", F.lit(_REMNANT_CHARS)), _REMNANT, "")), F.lit(_BLANKS))
+    # rows and titles are short; on long lines their patterns would only cost time
+    short = lambda c, pattern: F.when(F.length(c) <= _ROW_CHARS, F.col(c).rlike(pattern)).otherwise(False)
+    out = out.withColumns({"bare": bare, "bullet": F.col("last").rlike(_BULLET), "row": short("last", _ROW), "listed_before": F.coalesce(F.col("before").rlike(_BULLET), F.lit(False))})
     shape = lambda c: F.regexp_replace(F.regexp_replace(F.right(c, F.lit(1)), r"[0-9０-９]", "0"), r"[A-Za-z]", "a")
     latin = F.col("last").rlike(r"^[\p{IsLatin}\p{N}\p{P}\s]+$")
     return out.select(
         "doc", "source", "chars", "bytes", "copy", (F.col("last") == "").alias("blank"),
         F.right("title", F.lit(2)).alias("title_tail"), F.right("last", F.lit(2)).alias("tail"),
         F.when((F.length("last") <= CLOSING_CHARS) & (F.col("lines") > 1) & ~F.col("bullet") & ~F.col("row"), F.col("last")).alias("short"),
-        F.when(F.col("last").endswith("..."), F.regexp_extract("last", r"(\S+\s+\S+)\.\.\.$", 1)).alias("words"),
+        F.when(F.col("last").endswith("..."), F.regexp_extract(F.right("last", F.lit(_ROW_CHARS)), r"(\S+\s+\S+)\.\.\.$", 1)).alias("words"),
         (F.col("bare") != F.col("last")).alias("marked"),
         (F.col("bare").rlike(rf"[{_END}…][{_CLOSE}]*$") | F.col("bare").rlike(r"[）)】〉》\"”]$")).alias("stop"),
         F.col("last").rlike(rf"(?:……[{_CLOSE}]*|(?:…|\.\.\.)[{_CLOSE}]+)$").alias("speech"),
         # a list row ends like the row before it; a table row is words and numbers set apart by blanks
         (F.col("bullet") & (~F.col("listed_before") | (shape(F.col("before")) == shape(F.col("last")))) | F.col("row")).alias("listed"),
-        (latin & F.col("last").rlike(_TITLED) & (F.col("lines") == 1)).alias("latin_title"),
+        (latin & short("last", _TITLED) & (F.col("lines") == 1)).alias("latin_title"),
         (~latin & ~F.col("last").rlike(r"[、。，,「『（？！]") & (F.col("lines") == 1)).alias("plain"),
     )
 

@@ -44,3 +44,9 @@ def test_rates_nulls_and_repeats(spark):
     r = tr.cut_rates(out, "source").first()
     assert (r.docs, r.cut_docs, r.rate) == (2, 1, 0.5)
     assert tr.truncated(df.limit(0), "doc", "source", "last").count() == 0
+
+
+def test_very_long_texts(spark):
+    words, blanks = "word " * 60_000, " " * 100_000
+    got = marked(spark, [("s", words + "end.", None), ("s", words + "en", None), ("s", "a" + blanks + "b", None), ("s", "x." + blanks, None), ("s", "あ" * 200_000 + "...", None)])
+    assert {k: c for k, (c, _) in got.items()} == {0: False, 1: True, 2: True, 3: False, 4: True}
