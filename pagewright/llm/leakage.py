@@ -112,13 +112,16 @@ def seed_hashes(texts: list[str], size: int = SEED) -> tuple[np.ndarray, np.ndar
 def rare_seeds(texts: list[str], known: _Known, counts: np.ndarray, edited: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each run of RUN characters the seed the corpus has least often: any shared run holds one.
 
-    A run with a seed the corpus lacks is shared by no document and needs none; for edited copies the
-    rarest of its other seeds is taken.
+    A run with a seed the corpus lacks is shared by no document and needs none. For edited copies
+    every seed the corpus has is taken: the rarest of a run may be one that only another copy has.
     """
     h, text, place = seed_hashes(texts)
     if not h.size:
         return h, text, place
     n = counts[np.searchsorted(known.sorted, h)].astype(np.int64)
+    if edited:
+        keep = n > 0
+        return h[keep], text[keep], place[keep]
     order = np.where(n == 0, np.iinfo(np.int64).max, n)
     width = RUN - SEED + 1
     keep = np.zeros(h.size, bool)
@@ -130,11 +133,8 @@ def rare_seeds(texts: list[str], known: _Known, counts: np.ndarray, edited: bool
             value = np.empty(b - a, np.int64)
             value[rank] = np.arange(b - a)
             runs = np.lib.stride_tricks.sliding_window_view(value, width)
-            had = np.lib.stride_tricks.sliding_window_view(n[a:b] > 0, width)
-            wanted = had.any(axis=1) if edited else had.all(axis=1)
+            wanted = np.lib.stride_tricks.sliding_window_view(n[a:b] > 0, width).all(axis=1)
             keep[a + np.unique((runs.argmin(axis=1) + np.arange(b - a - width + 1))[wanted])] = True
-        elif edited:
-            keep[a:b] = n[a:b] > 0
     return h[keep], text[keep], place[keep]
 
 
@@ -198,13 +198,14 @@ def leaked(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, it
     them, case and width disregarded. With ``edited`` off only pairs with a run of RUN or more are
     given, and all of them; matched and score are those of the local alignment of the item with the
     document around its seeds. With ``edited`` on, pairs are given whose alignment covers COVER of
-    the item as well, paraphrased or edited copies among them. Null and empty texts match nothing;
+    the item as well, paraphrased or edited copies among them, if they share a seed of SEED
+    unedited letters with it. Null and empty texts match nothing;
     equal rows give one row.
 
     Test items are a stated query set, searched in blocks of bounded size that travel to every task;
     documents are never joined or moved. Corpus counts of all seeds of a block are taken first, then
-    of each run of RUN item characters the rarest seed is looked up in every position of every
-    document.
+    of each run of RUN item characters the rarest seed (with ``edited`` every seed that occurs) is
+    looked up in every position of every document.
     """
     source = docs.select(doc, text).where(f"{doc} is not null and {text} is not null").transform(spread, doc)
     doc_type, item_type = docs.schema[doc].dataType, items.schema[item].dataType
@@ -245,8 +246,10 @@ def leaked(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, it
                 rows = []
                 for (t, k), seeds in pairs.items():
                     a, d = texts[k], bare[t]
-                    run, done = 0, set()
+                    run, done, near_by = 0, set(), set(seeds) if edited else ()
                     for p, q in seeds:
+                        if edited and (p - 1, q - 1) in near_by:  # same run as the seed before
+                            continue
                         if p - q not in done or run < RUN:
                             run = max(run, shared_run(d, a, p, q))
                             done.add(p - q)

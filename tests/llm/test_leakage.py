@@ -84,3 +84,10 @@ def test_long_texts_in_pieces(monkeypatch):
     lk._powers.cache_clear()
     assert sorted(zip(*(c.tolist() for c in lk.found_seeds(texts, known)))) == whole and len(whole) > 100
     lk._powers.cache_clear()
+
+
+def test_an_edited_copy_beside_an_exact_one(spark):
+    base = "".join(chr(0x4E00 + k) for k in range(120))
+    edited = "".join("變" if k % 30 == 29 else c for k, c in enumerate(base))
+    r = lk.leaked(docs(spark, base, edited), "doc_id", "text", items(spark, base), "item_id", "text", edited=True).collect()
+    assert {(x.doc_id, x.run, x.matched) for x in r} == {(0, 120, 1.0), (1, 29, 0.966667)}
