@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
 
@@ -173,6 +173,46 @@ def shared_run(a: str, b: str, i: int, j: int) -> int:
     return lo + hi
 
 
+def places(starts: set[int], size: int, end: int) -> Iterator[tuple[int, int]]:
+    """Stretches of a document around the seed diagonals of an item of ``size`` letters.
+
+    Stretches of neighbouring diagonals that touch are one; a long one is cut into parts that overlap
+    by twice the item, as no alignment of a positive score is longer.
+    """
+    merged: list[list[int]] = []
+    for s in sorted(starts):
+        a, b = max(0, s - _MARGIN), min(end, s + size + _MARGIN)
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = b
+        else:
+            merged.append([a, b])
+    width = 3 * size + 2 * _MARGIN
+    for a, b in merged:
+        while b - a > width:
+            yield a, a + width
+            a += width - 2 * size
+        yield a, b
+
+
+def best_place(item: str, doc: str, starts: set[int]) -> tuple[int, float]:
+    """Letters matched and score of the item's best alignment; one that covers COVER goes before others.
+
+    Neither can exceed the letters item and place have in common, so places that can't be the best
+    are not aligned.
+    """
+    if item in doc:
+        return len(item), float(len(item))
+    has, enough = Counter(item), COVER * len(item)
+    parts = {doc[a:b] for a, b in places(starts, len(item), len(doc))}  # a passage may be repeated many times
+    best = (False, 0.0, 0)
+    for most, part in sorted((((has & Counter(p)).total(), p) for p in parts), reverse=True):
+        if most <= best[1] and (best[0] or most < enough):
+            break
+        score, same = align(item, part)
+        best = max(best, (same >= enough, score, same))
+    return best[2], best[1]
+
+
 def _blocks(items: DataFrame, item: str, text: str, limit: int) -> Iterator[tuple[list, list[str]]]:
     """The test items, normalised, in blocks of at most ``limit`` characters (one item at least)."""
     ids, texts, size = [], [], 0
@@ -196,11 +236,11 @@ def leaked(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, it
 
     run is the longest shared run of letters and digits through a seed, everything else between
     them, case and width disregarded. With ``edited`` off only pairs with a run of RUN or more are
-    given, and all of them; matched and score are those of the local alignment of the item with the
-    document around its seeds. With ``edited`` on, pairs are given whose alignment covers COVER of
-    the item as well, paraphrased or edited copies among them, if they share a seed of SEED
-    unedited letters with it. Null and empty texts match nothing;
-    equal rows give one row.
+    given, and all of them; matched and score are those of the best local alignment of the item with
+    the document around its seeds, wherever in the document they stand. With ``edited`` on, pairs are
+    given whose alignment covers COVER of the item as well, paraphrased or edited copies among them,
+    if they share a seed of SEED unedited letters with it. Null and empty texts match nothing; equal
+    rows give one row.
 
     Test items are a stated query set, searched in blocks of bounded size that travel to every task;
     documents are never joined or moved. Corpus counts of all seeds of a block are taken first, then
@@ -255,9 +295,7 @@ def leaked(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, it
                             done.add(p - q)
                     if run < RUN and not edited:
                         continue
-                    starts = sorted({p - q for p, q in seeds})
-                    near = d[max(0, starts[0] - _MARGIN) : starts[-1] + len(a) + _MARGIN] if starts[-1] - starts[0] <= len(a) else d[max(0, starts[0] - _MARGIN) : starts[0] + len(a) + _MARGIN]
-                    score, same = align(a, near) if edited else (float(run), run)
+                    same, score = best_place(a, d, {p - q for p, q in seeds}) if edited else (run, float(run))
                     if run >= RUN or same >= COVER * len(a):
                         rows.append((names[t], ids[k], run, round(same / len(a), 6), score))
                 if rows:

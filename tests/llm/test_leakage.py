@@ -91,3 +91,19 @@ def test_an_edited_copy_beside_an_exact_one(spark):
     edited = "".join("變" if k % 30 == 29 else c for k, c in enumerate(base))
     r = lk.leaked(docs(spark, base, edited), "doc_id", "text", items(spark, base), "item_id", "text", edited=True).collect()
     assert {(x.doc_id, x.run, x.matched) for x in r} == {(0, 120, 1.0), (1, 29, 0.966667)}
+
+
+def test_the_best_of_several_places_is_scored(spark):
+    base = "".join(chr(0x4E00 + k) for k in range(120))
+    edited = "".join("變" if k % 30 == 29 else c for k, c in enumerate(base))
+    far = "".join(chr(0x3042 + k % 80) for k in range(500))
+    d = [base[10:30] + far + edited, base[10:55] + far + edited, far + base[10:30] + far]
+    r = lk.leaked(docs(spark, *d), "doc_id", "text", items(spark, base), "item_id", "text", edited=True).collect()
+    assert {(x.doc_id, x.run, x.matched) for x in r} == {(0, 29, 0.966667), (1, 45, 0.966667)}
+
+
+def test_places():
+    assert list(lk.places({0, 1000, 1010}, 100, 5000)) == [(0, 160), (940, 1170)]
+    parts = list(lk.places(set(range(0, 3000, 50)), 100, 9000))
+    assert parts[0][0] == 0 and parts[-1][1] == 3110 and all(b - a <= 420 for a, b in parts)
+    assert all(b - c == 200 for (_, b), (c, _) in zip(parts, parts[1:]))
