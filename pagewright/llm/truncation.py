@@ -15,6 +15,8 @@ SLACK = 3
 CLOSING_ROWS, CLOSING_SHARE, CLOSING_CHARS = 5, 0.0005, 30
 #: The same for the two words in front of a final "...", as a share of all texts that end so.
 TRAIL_ROWS, TRAIL_SHARE = 5, 0.02
+#: Different titles, and share of all different titles, that must end like a text of one line for it to be one.
+TITLE_ROWS, TITLE_SHARE = 3, 0.0005
 # What ends a sentence, what closes a quotation, what starts a list row, marks a cut leaves behind.
 _END = "。．.!?！？"
 _CLOSE = "」』）)\"”’】〉》"
@@ -76,7 +78,7 @@ def _endings(df: DataFrame, doc: str, source: str, text: str, title: str | None)
     latin = F.col("last").rlike(r"^[\p{IsLatin}\p{N}\p{P}\s]+$")
     return out.select(
         "doc", "source", "chars", "bytes", "copy", (F.col("last") == "").alias("blank"),
-        F.right("title", F.lit(2)).alias("title_tail"), F.right("last", F.lit(2)).alias("tail"),
+        F.right("title", F.lit(2)).alias("title_tail"), F.xxhash64("title").alias("title_hash"), F.right("last", F.lit(2)).alias("tail"),
         F.when((F.length("last") <= CLOSING_CHARS) & (F.col("lines") > 1) & ~F.col("bullet") & ~F.col("row"), F.col("last")).alias("short"),
         F.when(F.col("last").endswith("..."), F.regexp_extract(F.right("last", F.lit(_ROW_CHARS)), r"(\S+\s+\S+)\.\.\.$", 1)).alias("words"),
         (F.col("bare") != F.col("last")).alias("marked"),
@@ -105,10 +107,13 @@ def truncated(df: DataFrame, doc: str, source: str, text: str, title: str | None
     total = ends.agg(F.count("*").alias("total"))
     formula = _counted(ends.where("short is not null").select("short", "copy").distinct(), ["short"]).crossJoin(F.broadcast(total))  # one row
     formula = formula.where((F.col("n") >= CLOSING_ROWS) & (F.col("n") >= F.col("total") * CLOSING_SHARE)).select("short", F.lit(True).alias("closing"))
-    dots = ends.where("words <> ''")
+    # copies of a text or title count once, whatever their number
+    dots = ends.where("words <> ''").select("words", "copy").distinct()
     trail = _counted(dots, ["words"]).crossJoin(F.broadcast(dots.agg(F.count("*").alias("total"))))  # one row
     trail = trail.where((F.col("n") >= TRAIL_ROWS) & (F.col("n") >= F.col("total") * TRAIL_SHARE)).select("words", F.lit(True).alias("trailing"))
-    titles = _counted(ends.where("title_tail <> ''").select(F.col("title_tail").alias("tail")), ["tail"]).where("n >= 3").select("tail", F.lit(True).alias("as_title"))
+    named = ends.where("title_tail <> ''").select(F.col("title_tail").alias("tail"), "title_hash").distinct()
+    titles = _counted(named, ["tail"]).crossJoin(F.broadcast(named.agg(F.count("*").alias("total"))))  # one row
+    titles = titles.where((F.col("n") >= TITLE_ROWS) & (F.col("n") >= F.col("total") * TITLE_SHARE)).select("tail", F.lit(True).alias("as_title"))
     limits = _spikes(all_)
     # one limit shows in both histograms; it is taken in the unit in which it is sharper
     sharper = limits.groupBy("source").agg(F.max(F.struct("rows", "unit"))["unit"].alias("own"))

@@ -50,3 +50,8 @@ def test_very_long_texts(spark):
     words, blanks = "word " * 60_000, " " * 100_000
     got = marked(spark, [("s", words + "end.", None), ("s", words + "en", None), ("s", "a" + blanks + "b", None), ("s", "x." + blanks, None), ("s", "あ" * 200_000 + "...", None)])
     assert {k: c for k, (c, _) in got.items()} == {0: False, 1: True, 2: True, 3: False, 4: True}
+
+
+def test_copies_count_once_for_endings(spark):
+    rows = [("s", "Once the gate was op...", None)] * 6 + [("s", "重い天秤と砂の荷車", "古い荷車")] * 4 + [("s", f"本文その{i}。", f"題{i}の箱") for i in range(3)] + [("s", "砂の箱", None)]
+    assert [k for k, (c, _) in sorted(marked(spark, rows).items()) if c] == list(range(10))
