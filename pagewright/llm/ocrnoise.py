@@ -234,14 +234,20 @@ class Lexicon:
             heads_ = _shipped(ship)
             for b in batches:
                 total: Counter = Counter()
-                for book, page, text, own in zip(*(c.to_pylist() for c in b.columns)):
+                once: Counter = Counter()
+                for book, page, text, own, copies in zip(*(c.to_pylist() for c in b.columns)):
                     r = Reading(text, page, _heads(heads_, book, page, own))
-                    total.update(t for t, _, _ in tokens(r.running(lambda *_: True)))
-                    total.update("w" + (a + c).lower() for a, c, _ in r.hyphens)
-                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["token", "n"])
-
-        seen = rows.select("__book", "__page", "__text", "__heads").mapInArrow(count, "token string, n long")
-        self.counts = cut(seen.groupBy("token").agg(F.sum("n").alias("n")))
+                    here = Counter(t for t, _, _ in tokens(r.running(lambda *_: True)))
+                    here.update("w" + (a + c).lower() for a, c, _ in r.hyphens)
+                    once.update(here)
+                    for t, n in here.items():
+                        total[t] += n * copies
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), pa.array([once[t] for t in total], pa.int64())], names=["token", "n", "once"])
+
+        # each distinct text is read once, as on the first of its pages
+        texts = rows.groupBy("__text").agg(F.min(F.struct("__book", "__page", "__heads")).alias("at"), F.count("*").alias("copies"))
+        seen = texts.select("at.__book", "at.__page", "__text", "at.__heads", "copies").mapInArrow(count, "token string, n long, once long")
+        self.counts = cut(seen.groupBy("token").agg(F.sum("n").alias("n"), F.sum("once").alias("once")))
         joined = self.counts.select(F.col("token").alias("word"), F.col("n").alias("whole"))
         c = self.counts.where("token like 'c%'").withColumn("word", F.concat(F.lit("w"), F.regexp_replace(F.substring("token", 2, 1 << 30), "-", "")))
         #: compounds whose own hyphen it is: written with it more often than without
@@ -252,22 +258,24 @@ class Lexicon:
 
         Deletions of one character and of two neighbouring ones, of frequent and of suspect tokens
         alike, meet on equal keys; pairs are kept if one known confusion separates them and the
-        right form is frequent enough in comparison.
+        right form is frequent enough in comparison, over all rows or over distinct texts: copies of a
+        page do not hide what is misread on it.
         """
         words = self.counts.where("substring(token, 1, 1) in ('w', 'k', 'n')").withColumn("len", F.length("token"))
         drop = lambda n: F.transform(F.sequence(F.lit(2), F.col("len") - n + 1), lambda i: F.concat(F.substring("token", F.lit(1), i - 1), F.substring(F.col("token"), i + n, F.lit(1 << 30))))
         keys = F.array_distinct(F.concat(drop(1), F.when(F.col("len") > 2, drop(2)).otherwise(F.array().cast("array<string>"))))
-        index = cut(words.select("token", "n", F.explode(keys).alias("key")))
-        a = index.where(F.col("n") >= min(LEAST.values())).select("key", F.col("token").alias("right"), F.col("n").alias("right_n"))
-        b = index.select("key", "token", "n")
-        pairs = a.join(b, "key").where((F.col("right") != F.col("token")) & (F.col("right_n") >= min(RATIO.values()) * F.col("n"))).select("right", "right_n", "token", "n").distinct()
+        index = cut(words.select("token", "n", "once", F.explode(keys).alias("key")))
+        a = index.where(F.col("n") >= min(LEAST.values())).select("key", F.col("token").alias("right"), F.col("n").alias("right_n"), F.col("once").alias("right_once"))
+        b = index.select("key", "token", "n", "once")
+        least = min(RATIO.values())
+        pairs = a.join(b, "key").where((F.col("right") != F.col("token")) & ((F.col("right_n") >= least * F.col("n")) | (F.col("right_once") >= least * F.col("once")))).select("right", "right_n", "right_once", "token", "n", "once").distinct()
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in batches:
                 got = []
-                for right, many, seen, n in zip(*(c.to_pylist() for c in x.columns)):
+                for right, many, texts, seen, n, once in zip(*(c.to_pylist() for c in x.columns)):
                     kind = misread_as(right, seen)
-                    if kind and many >= LEAST[kind] and many >= RATIO[kind] * n:
+                    if kind and any(m >= LEAST[kind] and m >= RATIO[kind] * k for m, k in ((many, n), (texts, once))):
                         got.append((token_hash(seen), seen, right, kind, many))
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()))], names=["h", "token", "right", "kind", "right_n"])

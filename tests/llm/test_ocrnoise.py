@@ -102,3 +102,9 @@ def test_neighbours_choose_between_right_forms(spark):
 def test_very_long_texts(spark):
     rows = [(1, "r", "b", 1, "-" * 100_000), (2, "r", "b", 1, "a" * 100_000 + "-\nb"), (3, "r", "b", 1, "ア" * 100_000), (4, "r", "b", 1, "word " * 50_000), (5, "r", "b", 1, "1" * 50_000)]
     assert {tuple(r) for r in noise(spark, rows, [("b", "x")]).collect()} == {(2, "r", "hyphen")}
+
+
+def test_copies_do_not_hide_a_misread(spark):
+    good = [(i, "r", "b", i, f"row {chr(97 + i) * 4} of the gateway") for i in range(20)]
+    bad = [(100 + i, "r", "b", 50 + i % 2, "the gatcway is shut") for i in range(30)]
+    assert {tuple(r) for r in noise(spark, good + bad).collect()} == {(100 + i, "r", "misread") for i in range(30)}
