@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.boilerplate import line_key
@@ -46,6 +46,7 @@ _NUMBER = re.compile(r"[0-9]+|(?=[0-9lIOoSBZ]*[0-9])[0-9lIOoSBZ]+")
 _CONTEXT = re.compile(r" ?([^\W\d_]{1,2})")
 _LEFT, _RIGHT = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)$"), re.compile(r"[ \t　]*([a-zà-öø-ÿ]+)")
 _KANA = re.compile(r"[ぁ-ゖァ-ヺ]")
+_SENTENCE_END, _LATIN_END = re.compile("[。．.!?！？…][」』）)\"”’】〉》]*$"), re.compile("[A-Za-zÀ-ÖØ-öø-ɏ0-9:;]$")
 _ROW = re.compile(r"\S(?:[ 　]{2,}|\t)\S")
 _BULLET = re.compile(r"\s*[・●◆■▶◇○□•]")
 _PAGE = re.compile(r"[\W_]*(?:(?:[Pp]{1,2}|[Pp]age|PAGE|第)[.．]?)?[\W_]*(\d+|[〇零一二三四五六七八九十百千]+)(?:頁|ページ)?[\W_]*")
@@ -84,31 +85,47 @@ def _signed(v: int) -> int:
     return v - (1 << 64) if v >> 63 else v
 
 
+def _paragraph_ends(line: str, following: str) -> bool:
+    """Whether an empty line between two lines ends a paragraph."""
+    return bool(_SENTENCE_END.search(line[-8:]) or (_LATIN_END.search(line[-8:]) and following.lstrip()[:1].isupper() and following.lstrip()[0] < "ɐ"))
+
+
 class Reading:
     """One text read line by line: its page-number and title lines, its line-end hyphens, its running text.
 
-    Lines that are just some other number are no running text either: words go on behind them.
+    Lines that are just some other number are no running text either: words go on behind them. A text
+    of several pages has the numbers of all of them. An empty line ends a paragraph unless the text
+    goes on behind it: no sentence ends before it and no Latin line with a capital follows a Latin one.
     """
 
-    def __init__(self, text: str, page: int | None, is_head):
+    def __init__(self, text: str, page: int | list[int] | None, is_head):
         lines = _BREAK.split(canonical(_SOFT.sub("¬", text)))
         full = [line for line in lines if line.strip()]
+        apart = [not a.strip() for a, b in zip(["x", *lines], lines) if b.strip()]
+        pages = {page} if isinstance(page, int) else set(page or ())
         count = [number_of(line) for line in full]
-        numbers = [n is not None and n == page for n in count]
+        numbers = [n is not None and n in pages for n in count]
         heads = [n is None and bool(k := line_key(line)) and is_head(k) for n, line in zip(count, full)]
-        body = [(line, n) for line, n, own, h in zip(full, count, numbers, heads) if not own and not h]
+        body, gap = [], False
+        for line, n, own, h, after in zip(full, count, numbers, heads, apart):
+            gap |= after  # also the empty lines around a line that is taken out
+            if not own and not h:
+                body.append((line, n, gap))
+                gap = n is not None and gap
         self.page_number = any(numbers) and not all(numbers)
         self.header = any(heads) and bool(body)
         self.hyphens: list[tuple[str, str, bool]] = []  # left, right, certainly no hyphen of the word's own
-        body = body or list(zip(full, count))
-        inner = [line for line, n in body if n is None]
-        self.asides = [line for line, n in body if n is not None] if inner else []
-        self.marked = self._join(inner or [line for line, _ in body], bool(_KANA.search(text)))
+        body = body or list(zip(full, count, apart))
+        inner = [(line, after) for line, n, after in body if n is None]
+        self.asides = [line for line, n, _ in body if n is not None] if inner else []
+        self.marked = self._join(inner or [(line, after) for line, _, after in body], bool(_KANA.search(text)))
 
-    def _join(self, lines: list[str], kana: bool) -> str:
+    def _join(self, body: list[tuple[str, bool]], kana: bool) -> str:
         out: list[str] = []
+        lines, apart = [line for line, _ in body], [after for _, after in body]
         while lines:
             line, *lines = lines
+            apart = apart[1:]
             cut = line.rstrip()
             if not lines:
                 out.append(cut)
@@ -122,7 +139,11 @@ class Reading:
                     out.append(cut[:-1] + f"\ue000{len(self.hyphens) - 1}\ue001")
                     self.asides += lines[:at]
                     lines = [lines[at].lstrip(), *lines[at + 1 :]]
+                    apart = apart[at:]
                     continue
+            if apart[0] and _paragraph_ends(cut, nxt):
+                out.append(cut + "\n\n")
+                continue
             if _ROW.search(line) or _ROW.search(nxt) or _BULLET.match(nxt) or _BULLET.match(line):
                 out.append(cut + "\n")
                 continue
@@ -195,9 +216,17 @@ def _mixed(x: str, y: str, seen: str) -> bool:
     return y.isdigit() != x.isdigit() or y in _KANJI
 
 
+def _pages(df: DataFrame, page: str) -> Column:
+    """The pages of a text in order, from a column of one page or of an array of them; null if there is none."""
+    c = F.col(f"`{page}`")
+    pages = c.cast("array<int>") if df.schema[page].dataType.typeName() == "array" else F.array(c.cast("int"))
+    pages = F.array_sort(F.array_distinct(F.filter(pages, lambda p: p.isNotNull())))
+    return F.when(F.size(pages) > 0, pages)
+
+
 def _flat(df: DataFrame, ids: list[str], book: str, page: str, text: str) -> DataFrame:
     cols = [F.col(f"`{c}`").alias(c) for c in ids]
-    return df.select(*cols, F.col(f"`{book}`").cast("string").alias("__book"), F.col(f"`{page}`").cast("int").alias("__page"), F.col(f"`{text}`").cast("string").alias("__text"), F.lit(None).cast("array<bigint>").alias("__heads")).where("__text is not null and __text <> ''").transform(spread, *ids)
+    return df.select(*cols, F.col(f"`{book}`").cast("string").alias("__book"), _pages(df, page).alias("__page"), F.col(f"`{text}`").cast("string").alias("__text"), F.lit(None).cast("array<bigint>").alias("__heads")).where("__text is not null and __text <> ''").transform(spread, *ids)
 
 
 def head_hashes(titles: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -218,7 +247,9 @@ def _with_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
     of_page = heads.where("page is not null").groupBy(F.col("book").alias("__book"), F.col("page").alias("__page")).agg(F.collect_set("h").alias("__p"))
     of_book = heads.where("page is null").groupBy(F.col("book").alias("__book")).agg(F.collect_set("h").alias("__b"))
     none = F.array().cast("array<bigint>")
-    joined = rows.join(of_page, ["__book", "__page"], "left").join(of_book, "__book", "left")
+    pages = rows.select("__book", F.col("__page").alias("__all")).distinct().withColumn("__page", F.explode("__all")).join(of_page, ["__book", "__page"])
+    pages = pages.groupBy("__book", F.col("__all").alias("__page")).agg(F.array_distinct(F.flatten(F.collect_list("__p"))).alias("__p"))
+    joined = rows.join(pages, ["__book", "__page"], "left").join(of_book, "__book", "left")
     return joined.withColumn("__heads", F.concat(F.coalesce("__p", none), F.coalesce("__b", none))).select(*rows.columns)
 
 
@@ -305,12 +336,12 @@ def _shipped(hashes: np.ndarray | None) -> _Shipped | None:
     return None if hashes is None else _Shipped(hashes)
 
 
-def _heads(ship: _Shipped | None, book: str | None, page: int | None, own: list[int] | None):
-    """Whether a line's key is a running title of this book or page."""
+def _heads(ship: _Shipped | None, book: str | None, pages: list[int] | None, own: list[int] | None):
+    """Whether a line's key is a running title of this book or of one of these pages."""
     known = own or () if ship is None else ship
     if book is None:
         return lambda key: False
-    return lambda key: head_hash(book, None, key) in known or (page is not None and head_hash(book, page, key) in known)
+    return lambda key: head_hash(book, None, key) in known or any(head_hash(book, p, key) in known for p in pages or ())
 
 
 def find_noise(df: DataFrame, ids: list[str], book: str, page: str, text: str, titles: DataFrame, chapters: DataFrame, lexicon: Lexicon | None = None, detail: bool = False) -> DataFrame:
@@ -319,7 +350,7 @@ def find_noise(df: DataFrame, ids: list[str], book: str, page: str, text: str, t
     With ``detail`` also token and right: the misread token and a right form. ``titles`` has the
     running titles of books (book, title), ``chapters`` those of pages (book, page, title). Null and
     empty texts have no noise; a null page has no page number, a null book no titles; equal rows give
-    one row, an empty table none.
+    one row, an empty table none. ``page`` may hold an array: all pages the text is from.
     """
     lex = lexicon or Lexicon(_flat(df, ids, book, page, text), head_hashes(titles, chapters))
     rows, wrong = lex.rows, lex.misread()
@@ -390,7 +421,7 @@ def repair(df: DataFrame, ids: list[str], book: str, page: str, text: str, title
     """``ids`` and the repaired text of each row with text: continuous paragraphs without the noise.
 
     Running titles and page numbers are taken out, divided words joined (compounds keep their own
-    hyphen), line breaks inside paragraphs closed, misread tokens replaced. Of several right forms
+    hyphen), line breaks inside paragraphs closed, paragraphs set apart by an empty line, misread tokens replaced. Of several right forms
     the one wins that the corpus shows most often next to the word before, then the most frequent.
     Null and empty texts give no row; repeated rows give one row.
     """

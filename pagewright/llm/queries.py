@@ -30,9 +30,17 @@ def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_segments(spark: SparkSession, d: str) -> DataFrame:
-    """raw_text of every segment, as continuous paragraphs."""
-    s = table(spark, d, "segments").selectExpr("segment_id", "book_id", "source_spans[0].page as page", "raw_text").distinct()
-    return ocrnoise.repair(s, ["segment_id"], "book_id", "page", "raw_text", *_p2_titles(spark, d))
+    """raw_text (repaired) and normalized_text (repaired_normalized) of every segment, as continuous paragraphs."""
+    s = table(spark, d, "segments").selectExpr("segment_id", "book_id", "source_spans.page as page", "raw_text", "normalized_text").distinct()
+    same = "normalized_text <=> raw_text"  # repaired once
+    both = s.selectExpr("segment_id", "'raw' as field", "book_id", "page", "raw_text as text").unionByName(
+        s.where(f"not ({same})").selectExpr("segment_id", "'normalized' as field", "book_id", "page", "normalized_text as text")
+    )
+    out = ocrnoise.repair(both, ["segment_id", "field"], "book_id", "page", "text", *_p2_titles(spark, d))
+    pick = lambda field: F.max(F.when(F.col("field") == field, F.col("repaired")))
+    wide = out.groupBy("segment_id").agg(pick("raw").alias("repaired"), pick("normalized").alias("__other"))
+    equal = s.groupBy("segment_id").agg(F.expr(f"bool_and({same})").alias("__same"))
+    return wide.join(equal, "segment_id").select("segment_id", "repaired", F.expr("if(__same, repaired, __other)").alias("repaired_normalized"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

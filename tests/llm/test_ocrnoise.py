@@ -108,3 +108,25 @@ def test_copies_do_not_hide_a_misread(spark):
     good = [(i, "r", "b", i, f"row {chr(97 + i) * 4} of the gateway") for i in range(20)]
     bad = [(100 + i, "r", "b", 50 + i % 2, "the gatcway is shut") for i in range(30)]
     assert {tuple(r) for r in noise(spark, good + bad).collect()} == {(100 + i, "r", "misread") for i in range(30)}
+
+
+def test_paragraphs_over_empty_lines():
+    assert read("夜は終わる。\n\n朝が\n来た").running() == "夜は終わる。\n\n朝が来た" and read("夜の砦\n\nで休む").running() == "夜の砦で休む"
+    assert read("It ends.\n\nthe gate\n\nof it\n\nNow").running() == "It ends.\n\nthe gate of it\n\nNow"
+    assert read("終わる。\n\n12\n\n次の", 12).running() == "終わる。\n\n次の"
+
+
+def test_texts_of_several_pages(spark):
+    df = spark.createDataFrame([(1, "r", "b", [71, 72, 71], "夜の\n— 72 —\n鉄の章\n砦で休む。"), (2, "r", "b", [None], "夜"), (3, "r", "b", None, "朝")], "sid int, rid string, book string, page array<int>, text string")
+    out = oc.repair(df, ["sid", "rid"], "book", "page", "text", *heads(spark, [], [("b", 72, "鉄の章")]))
+    assert {r.sid: r.repaired for r in out.collect()} == {1: "夜の砦で休む。", 2: "夜", 3: "朝"}
+
+
+def test_both_texts_of_segments(spark, tmp_path):
+    from pagewright.llm.queries import p2_segments
+
+    span = "array<struct<page int, rect_id string, start int, end int>>"
+    rows = [("s1", "b", ["鉄の章"], [(1, "r", 0, 9), (2, "r", 0, 9)], "夜の\n- 2 -\n砦", "夜の\n2\n砦に"), ("s2", "b", None, None, "朝", "朝"), ("s3", "b", None, None, "朝", None)]
+    spark.createDataFrame(rows, f"segment_id string, book_id string, section_path array<string>, source_spans {span}, raw_text string, normalized_text string").write.parquet(f"{tmp_path}/segments.parquet")
+    spark.createDataFrame([("b", "本")], "book_id string, title string").write.parquet(f"{tmp_path}/books.parquet")
+    assert {tuple(r) for r in p2_segments(spark, str(tmp_path)).collect()} == {("s1", "夜の砦", "夜の砦に"), ("s2", "朝", "朝"), ("s3", "朝", None)}
