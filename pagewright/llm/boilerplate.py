@@ -21,6 +21,8 @@ SIMILARITY = 0.8
 #: Characters in a shingle; lines of running Japanese have no word breaks.
 SHINGLE = 5
 BANDS, ROWS = 5, 4
+#: Masked lines of a bucket up to which all pairs are compared.
+PAIRED = 64
 #: Characters hashed at once.
 _SLICE_CHARS = 500_000
 _HIDDEN = re.compile(r"[\s­᠎​-‏‪-‮⁠-⁤︀-️﻿]+")
@@ -128,10 +130,11 @@ def repeated_lines(df: DataFrame, doc: str, source: str, text: str) -> DataFrame
     table gives an empty result.
 
     Masked keys are hashed into MinHash bands per source. Buckets are counted first (partial sums
-    before the shuffle), so only lines of buckets with MIN_DOCS lines go further, as identities; the
-    text of a masked line travels once. In a bucket the most frequent masked line is the
-    representative; lines at least SIMILARITY like it (Jaccard of SHINGLE-character shingles) join
-    its cluster, any other line is a cluster of its own.
+    before the shuffle), so only lines of buckets with another line go further, as identities; the
+    text of a masked line travels once. Masked lines of a bucket that are at least SIMILARITY alike
+    (Jaccard of SHINGLE-character shingles) are linked; linked lines are one cluster, over any number
+    of buckets. In buckets of more than PAIRED masked lines each is compared with the most frequent
+    one only.
     """
     base = df.select(F.col(f"`{doc}`").cast("string").alias("doc"), F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{text}`").cast("string").alias("t"))
     base = base.where("doc is not null and source is not null")
@@ -145,7 +148,7 @@ def repeated_lines(df: DataFrame, doc: str, source: str, text: str) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
 
     buckets = texts.mapInArrow(bucket_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    big = cut(buckets.where(F.col("n") >= MIN_DOCS).select("h"))
+    big = cut(buckets.where(F.col("n") > 1).select("h"))  # MIN_DOCS holds for clusters, which may lie over several buckets
     ship = shipped_hashes(big, "h")
 
     def in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,15 +175,19 @@ def repeated_lines(df: DataFrame, doc: str, source: str, text: str) -> DataFrame
     forms = cut(forms)
     placed = forms.select("form", "n", F.explode("bands").alias("h"))
     # a bucket's representative: one row each, found with partial aggregation
-    heads = placed.groupBy("h").agg(F.max(F.struct("n", "form")).alias("top")).select("h", F.col("top.form").alias("head"), F.col("top.n").alias("head_n"))
-    near = placed.select("h", "form").join(heads, "h").where("form <> head").select("form", "head", "head_n").distinct()
+    heads = placed.groupBy("h").agg(F.max(F.struct("n", "form")).alias("top"), F.count("*").alias("size")).select("h", F.col("top.form").alias("head"), "size")
+    held = placed.select("h", "form").join(heads, "h")
+    large = held.where(F.col("size") > PAIRED).where("form <> head").select("form", "head")
+    few = held.where(F.col("size").between(2, PAIRED)).select("h", "form")
+    small = few.join(few.select("h", F.col("form").alias("head")), "h").where("form < head").select("form", "head")
+    near = large.unionByName(small).distinct()
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - SHINGLE + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(SHINGLE))))
     near = near.join(forms.select("form", "mask", F.size(grams(F.col("mask"))).alias("size")), "form")
     pairs = near.join(forms.select(F.col("form").alias("head"), F.col("mask").alias("head_mask"), F.size(grams(F.col("mask"))).alias("head_size")), "head")
     pairs = pairs.where(F.least("size", "head_size") >= SIMILARITY * F.greatest("size", "head_size"))  # else no overlap can be large enough
     both = F.size(F.array_intersect(grams(F.col("mask")), grams(F.col("head_mask"))))
     like = pairs.where(both >= SIMILARITY * (F.col("size") + F.col("head_size") - both))
-    chosen = like.groupBy("form").agg(F.max(F.struct("head_n", "head"))["head"].alias("head"))
+    chosen = linked(cut(like.select("form", "head")))
     slim = lines.select("form", "key", "source", F.xxhash64("doc").alias("doc"))
     slim = slim.join(chosen, "form", "left").select("form", "key", "source", "doc", F.coalesce("head", "form").alias("cluster"))
     need = F.greatest(F.lit(MIN_DOCS), F.col("source_docs") * MIN_SHARE)
@@ -193,6 +200,21 @@ def repeated_lines(df: DataFrame, doc: str, source: str, text: str) -> DataFrame
     return out.select(F.col("doc").alias(doc), F.col("source").alias(source), "line_no", "key_docs", "cluster_docs", "source_docs")
 
 
+def linked(edges: DataFrame) -> DataFrame:
+    """(form, head): of each form with a link the smallest form its links lead to, at any distance."""
+    ways = cut(edges.toDF("form", "to").unionByName(edges.select(F.col("head"), F.col("form")).toDF("form", "to")).distinct())
+    label = cut(ways.groupBy("form").agg(F.least(F.first("form"), F.min("to")).alias("head")))
+    while True:
+        # the least label beside each form, then the label of that label, so that distances double
+        beside = ways.join(label.select(F.col("form").alias("to"), "head"), "to").groupBy("form").agg(F.min("head").alias("beside"))
+        least = label.join(beside, "form").select("form", F.col("head").alias("old"), F.least("head", "beside").alias("near"))
+        far = label.select(F.col("form").alias("near"), F.col("head").alias("far"))
+        after = cut(least.join(far, "near", "left").select("form", "old", F.least("near", F.coalesce("far", "near")).alias("head")))
+        label = after.select("form", "head")
+        if after.where("head <> old").isEmpty():
+            return label
+
+
 def exact(lines: DataFrame) -> DataFrame:
     """Of repeated lines those that stand in too many documents by themselves, without near-copies."""
     return lines.where((F.col("key_docs") >= MIN_DOCS) & (F.col("key_docs") >= MIN_SHARE * F.col("source_docs")))

@@ -80,3 +80,15 @@ def test_cleaning(spark):
 
 def test_empty_table(spark):
     assert found(spark, []) == set()
+
+
+def test_chains_of_near_copies_are_one_cluster(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(10, 40)] + [(3, 99), (99, 50)], "form long, head long")
+    assert {(r.form, r.head) for r in bp.linked(edges).collect()} == {(k, 10) for k in range(10, 41)} | {(k, 3) for k in (3, 50, 99)}
+    rng = random.Random(8)
+    line = [chr(0x4E00 + rng.randrange(900)) for _ in range(90)]
+    rows = []
+    for k in range(6):  # each differs from the one before in one place, the last from the first in five
+        line[15 * k] = "あいうえおか"[k]
+        rows.append((f"s{k}", "b", "".join(line)))
+    assert found(spark, rows, exact=False) == {(f"s{k}", 0) for k in range(6)}
