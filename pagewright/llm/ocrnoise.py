@@ -45,6 +45,7 @@ _TOKENS = re.compile(
 _NUMBER = re.compile(r"[0-9]+|(?=[0-9lIOoSBZ]*[0-9])[0-9lIOoSBZ]+")
 _CONTEXT = re.compile(r" ?([^\W\d_]{1,2})")
 _LEFT, _RIGHT = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)$"), re.compile(r"[ \t　]*([a-zà-öø-ÿ]+)")
+_WORD_BEFORE = re.compile(r"([0-9A-Za-zÀ-ÖØ-öø-ɏ]+)\s+$")
 _KANA = re.compile(r"[ぁ-ゖァ-ヺ]")
 _SENTENCE_END, _LATIN_END = re.compile("[。．.!?！？…][」』）)\"”’】〉》]*$"), re.compile("[A-Za-zÀ-ÖØ-öø-ɏ0-9:;]$")
 _ROW = re.compile(r"\S(?:[ 　]{2,}|\t)\S")
@@ -354,7 +355,7 @@ def find_noise(df: DataFrame, ids: list[str], book: str, page: str, text: str, t
     """
     lex = lexicon or Lexicon(_flat(df, ids, book, page, text), head_hashes(titles, chapters))
     rows, wrong = lex.rows, lex.misread()
-    seen = _scan(rows, ids, lex, wrong, _rivals(wrong) if detail else None)
+    seen = _scan(rows, ids, lex, wrong, _rivals(wrong) if detail else None, detail)
     plain = seen.where("noise in ('page_number', 'header') or (noise = 'hyphen' and token is null)")
     compounds = lex.compounds.select(F.col("compound").alias("token")).distinct()
     divided = seen.where("noise = 'hyphen' and token is not null").join(compounds, "token", "left_anti")
@@ -368,7 +369,8 @@ def find_noise(df: DataFrame, ids: list[str], book: str, page: str, text: str, t
 
 
 def _rivals(wrong: DataFrame, limit: int = 1_000_000) -> set[str] | None:
-    """Right forms of misread words that have several; None if there are too many to ship.
+    """Right forms of misread words that have several; None if there are too many to ship: then all tokens are counted with
+    what is before them and joined with the right forms.
 
     Numbers carry their context in the token: their counts are bigram counts already.
     """
@@ -377,8 +379,8 @@ def _rivals(wrong: DataFrame, limit: int = 1_000_000) -> set[str] | None:
     return names if len(names) <= limit else None
 
 
-def _scan(rows: DataFrame, ids: list[str], lex: Lexicon, wrong: DataFrame, rivals: set[str] | None) -> DataFrame:
-    """One pass over the texts: (ids, noise, token, prev, n), and with ``rivals`` how often each stands behind what (noise bigram, null ids)."""
+def _scan(rows: DataFrame, ids: list[str], lex: Lexicon, wrong: DataFrame, rivals: set[str] | None, detail: bool) -> DataFrame:
+    """One pass over the texts: (ids, noise, token, prev, n), and with ``detail`` how often each of ``rivals`` (None: any token) stands behind what (noise bigram, null ids)."""
     bad, ship = shipped_hashes(wrong, "h"), lex.ship
     schema = rows.select(*ids).schema.add("noise", "string").add("token", "string").add("prev", "string").add("n", "long")
 
@@ -397,9 +399,9 @@ def _scan(rows: DataFrame, ids: list[str], lex: Lexicon, wrong: DataFrame, rival
                     if (hit := memo.get(tok)) is None:
                         hit = memo[tok] = known is None or token_hash(tok) in known
                     if hit:
-                        out.append((i, "misread", tok, None if rivals is None else line[max(0, at - 2) : at], 1))
-                    if rivals and tok in rivals:
-                        bigrams[tok, line[max(0, at - 2) : at]] += 1
+                        out.append((i, "misread", tok, _before(line, at) if detail else None, 1))
+                    if detail and (tok[0] != "n" if rivals is None else tok in rivals):
+                        bigrams[tok, _before(line, at)] += 1
             out = list(dict.fromkeys(out)) + [(None, "bigram", tok, prev, n) for (tok, prev), n in bigrams.items()]
             if out:
                 row, *columns = zip(*out)
@@ -409,8 +411,15 @@ def _scan(rows: DataFrame, ids: list[str], lex: Lexicon, wrong: DataFrame, rival
     return cut(rows.mapInArrow(scan, schema))
 
 
+def _before(line: str, at: int) -> str:
+    """The Latin word or number before a place; where there is none, as in text without word breaks, two characters."""
+    part = line[max(0, at - MAX_TOKEN - 2) : at]
+    m = _WORD_BEFORE.search(part)
+    return m[1].lower() if m else part[-2:]
+
+
 def _by_context(tokens_: DataFrame, bigrams: DataFrame, wrong: DataFrame, ids: list[str]) -> DataFrame:
-    """One right form for each misread token of each row: the one seen most often behind the same two characters, then the most frequent."""
+    """One right form for each misread token of each row: the one seen most often behind the same word (see _before), then the most frequent."""
     together = bigrams.groupBy(F.col("token").alias("right"), "prev").agg(F.sum("n").alias("together"))
     ranked = tokens_.join(wrong.select("token", "right", "right_n"), "token").join(together, ["right", "prev"], "left")
     best = F.max(F.struct(F.coalesce("together", F.lit(0)), "right_n", "right"))["right"]

@@ -130,3 +130,11 @@ def test_both_texts_of_segments(spark, tmp_path):
     spark.createDataFrame(rows, f"segment_id string, book_id string, section_path array<string>, source_spans {span}, raw_text string, normalized_text string").write.parquet(f"{tmp_path}/segments.parquet")
     spark.createDataFrame([("b", "本")], "book_id string, title string").write.parquet(f"{tmp_path}/books.parquet")
     assert {tuple(r) for r in p2_segments(spark, str(tmp_path)).collect()} == {("s1", "夜の砦", "夜の砦に"), ("s2", "朝", "朝"), ("s3", "朝", None)}
+
+
+def test_the_word_before_chooses_with_and_without_shipped_rivals(spark, monkeypatch):
+    rows = [(i, "r", "b", 1, "so hold it") for i in range(20)] + [(50 + i, "r", "b", 1, "go hoid is") for i in range(12)] + [(90, "r", "b", 1, "go ho1d is")]
+    fixed = lambda: {r.repaired for r in oc.repair(spark.createDataFrame(rows, KIND), ["sid", "rid"], "book", "page", "text", *heads(spark, [], [])).where("sid = 90").collect()}
+    assert fixed() == {"go hoid is"}
+    monkeypatch.setattr(oc, "_rivals", lambda *_: None)
+    assert fixed() == {"go hoid is"}
