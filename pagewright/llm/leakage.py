@@ -17,7 +17,7 @@ from pagewright.runtime import spread
 #: Letters and digits that a shared run must have, and those of a seed inside it.
 RUN, SEED = 40, 20
 #: Characters of test items that are searched for at once; more items are searched in further blocks.
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 4_000_000
 #: Scores of the alignment, and the share of an item's letters an alignment must match to be reported.
 MATCH, MISMATCH, GAP = 1.0, -1.0, -1.0
 COVER = 0.6
@@ -235,12 +235,13 @@ def leaked(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, it
     """(doc, item, run, matched, score) for documents and test items that share a passage.
 
     run is the longest shared run of letters and digits through a seed, everything else between
-    them, case and width disregarded. With ``edited`` off only pairs with a run of RUN or more are
-    given, and all of them; matched and score are those of the best local alignment of the item with
-    the document around its seeds, wherever in the document they stand. With ``edited`` on, pairs are
-    given whose alignment covers COVER of the item as well, paraphrased or edited copies among them,
-    if they share a seed of SEED unedited letters with it. Null and empty texts match nothing; equal
-    rows give one row.
+    them, case and width disregarded. matched and score are those of the best local alignment
+    (Smith-Waterman) of the item with the document around its seeds, wherever in the document they
+    stand. With ``edited`` off only pairs with a run of RUN or more are given, and all of them. With
+    ``edited`` on, pairs are given whose alignment covers COVER of the item as well, paraphrased or
+    edited copies among them, if they share a seed of SEED unedited letters with it. Null and empty
+    texts, and items of fewer than SEED letters, match nothing (see ``unsearched``); equal rows give
+    one row.
 
     Test items are a stated query set, searched in blocks of bounded size that travel to every task;
     documents are never joined or moved. Corpus counts of all seeds of a block are taken first, then
@@ -269,19 +270,18 @@ def leaked(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, it
         h, owner, place = rare_seeds(texts, known, counts, edited)
         if not h.size:
             continue
-        by_hash: dict[int, list[int]] = defaultdict(list)
-        for k, v in enumerate(h.tolist()):
-            by_hash[v].append(k)
         rare = _Known(h)
-        where = [by_hash[v] for v in rare.sorted.tolist()]
+        order = np.argsort(h, kind="stable")  # the places of one seed stand together
+        first = np.searchsorted(h[order], rare.sorted)
+        owner, place, ends = owner[order].astype(np.int32), place[order].astype(np.int32), np.append(first[1:], h.size)
 
-        def search(batches: Iterator[pa.RecordBatch], rare=rare, where=where, owner=owner, place=place, texts=texts, ids=ids) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], rare=rare, first=first, ends=ends, owner=owner, place=place, texts=texts, ids=ids) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 names = b.column(0).to_pylist()
                 bare = [letters(t) for t in b.column(1).to_pylist()]
                 pairs: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
                 for t, p, r in zip(*(c.tolist() for c in found_seeds(bare, rare))):
-                    for k in where[r]:
+                    for k in range(first[r], ends[r]):
                         pairs[t, int(owner[k])].append((p, int(place[k])))
                 rows = []
                 for (t, k), seeds in pairs.items():
@@ -295,7 +295,7 @@ def leaked(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, it
                             done.add(p - q)
                     if run < RUN and not edited:
                         continue
-                    same, score = best_place(a, d, {p - q for p, q in seeds}) if edited else (run, float(run))
+                    same, score = best_place(a, d, {p - q for p, q in seeds})
                     if run >= RUN or same >= COVER * len(a):
                         rows.append((names[t], ids[k], run, round(same / len(a), 6), score))
                 if rows:
@@ -309,6 +309,19 @@ def leaked(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, it
     return out.distinct()
 
 
+def unsearched(items: DataFrame, item: str, text: str) -> DataFrame:
+    """(item, letters) for each item no run can be found of: those with fewer than RUN letters, null texts as none."""
+    given = items.select(item, text).where(f"{item} is not null").distinct()
+    kind = given.schema[item].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = pa.array([len(letters(t or "")) for t in b.column(1).to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), n], names=[item, "letters"])
+
+    return given.mapInArrow(run, f"{item} {kind.simpleString()}, letters int").where(f"letters < {RUN}")
+
+
 def _arrow(kind) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

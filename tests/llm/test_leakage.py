@@ -107,3 +107,32 @@ def test_places():
     parts = list(lk.places(set(range(0, 3000, 50)), 100, 9000))
     assert parts[0][0] == 0 and parts[-1][1] == 3110 and all(b - a <= 420 for a, b in parts)
     assert all(b - c == 200 for (_, b), (c, _) in zip(parts, parts[1:]))
+
+
+def test_recall_of_edited_copies_against_all_pairs(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(chr(0x3042 + rng.randrange(80)) for _ in range(n))
+    i = [word(120) for _ in range(30)]
+    d = []
+    for k, item in enumerate(i):
+        copy = list(item)
+        for at in rng.sample(range(120), 4):
+            copy[at] = rng.choice("xyz")
+        d.append(rng.choice(["", item[30:55]]) + word(400) + "".join(copy) + word(60))  # a quotation may stand far before the copy
+        d.append(word(80) + i[k - 1][: rng.randrange(10, 30)] + word(80))
+    d += i[:10]
+    want = {(a, 100 + b) for a, x in enumerate(d) for b, y in enumerate(i) if lk.align(y, x)[1] >= lk.COVER * len(y)}
+    got = found(spark, d, i, edited=True)
+    assert got <= want and len(want) >= 40 and len(got) >= 0.9 * len(want)
+
+
+def test_scores_are_those_of_the_alignment(spark):
+    item = "夜の砦で旅人が休むときは必ず火を絶やさず見張りを立てるものとするのが古くからの掟である"
+    rows = lk.leaked(docs(spark, "はじめに、" + item + "。おわり", item[:41] + "ちがう終わり"), "doc_id", "text", items(spark, item), "item_id", "text").collect()
+    got = {r.doc_id: (r.run, r.matched, r.score) for r in rows}
+    assert got[0] == (len(item), 1.0, float(len(item))) and got[1][0] == 41 and got[1][1] < 1 and got[1][2] == lk.align(item, item[:41] + "ちがう終わり")[0]
+
+
+def test_items_too_short_to_search(spark):
+    given = items(spark, "あ" * 39, "あ" * 40, None, "", "あ、い")
+    assert {tuple(r) for r in lk.unsearched(given, "item_id", "text").collect()} == {(100, 39), (102, 0), (103, 0), (104, 2)}
