@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from pagewright.runtime import cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: Bins open at a time. A group of items is as large as would fill so many bins.
-OPEN_BINS = 4096
+#: Bins open at a time.
+OPEN_BINS = 1024
+#: A group of items would fill so many times the open bins, and has at most so many items on average.
+ROUNDS, GROUP_ITEMS = 2, 250_000
 #: Container kinds a call takes at most; they are a parameter table.
 MAX_CONTAINERS = 1000
 #: Longer texts are encoded in parts that end at line feeds or blanks where there are any.
@@ -99,9 +101,10 @@ def pack(counts: DataFrame, item: str, containers: DataFrame, container: str, ca
     take no room: they are given with a null bin. Containers with a null or non-positive capacity
     are left out; equal item rows are one item.
 
-    Items are dealt into groups by hash, each about as large as ``open_bins`` bins hold, whatever the
-    number of items; a group runs best fit over its items from the largest to the smallest with at
-    most ``open_bins`` open bins, so no bin has to close early and a group is bounded.
+    Items are dealt into groups by hash, each about as large as ROUNDS times ``open_bins`` bins hold
+    and of some GROUP_ITEMS items at most, so a group is bounded whatever the number of items. A group
+    hands its items one after the other, the largest first, to the online best fit with at most
+    ``open_bins`` open bins; when one more would be open the fullest closes for good.
     """
     kinds = containers.select(container, F.col(capacity).cast("long").alias("cap")).where("cap > 0").distinct().limit(MAX_CONTAINERS + 1).collect()
     if len(kinds) > MAX_CONTAINERS:
@@ -112,8 +115,9 @@ def pack(counts: DataFrame, item: str, containers: DataFrame, container: str, ca
     if not kinds:
         return spark.createDataFrame([], schema)
     items = cut(counts.groupBy(item).agg(F.max("tokens").alias("tokens")))
-    total = items.agg(F.sum("tokens")).first()[0] or 0
-    choices = F.array(*[F.struct(F.lit(k[0]).cast(kind_type).alias("kind"), F.lit(k[1]).cast("long").alias("cap"), F.lit(max(1, -(-total // (open_bins * k[1])))).cast("long").alias("groups")) for k in kinds])
+    total, some = items.where("tokens > 0").agg(F.sum("tokens"), F.count("*")).first()
+    least = lambda cap: max(1, -(-(total or 0) // (ROUNDS * open_bins * cap)), -(-some // GROUP_ITEMS))
+    choices = F.array(*[F.struct(F.lit(k[0]).cast(kind_type).alias("kind"), F.lit(k[1]).cast("long").alias("cap"), F.lit(least(k[1])).cast("long").alias("groups")) for k in kinds])
     dealt = items.withColumn("k", F.explode(choices)).select(item, "tokens", "k.*")
     placed = dealt.where("tokens > 0").withColumn("group", F.pmod(F.xxhash64(F.col(item)), F.col("groups")))
 
