@@ -35,25 +35,26 @@ def _counted(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"))
 
 
-def length_spikes(df: DataFrame, source: str, text: str) -> DataFrame:
-    """Field limits: (source, unit, length, rows, longer) where a source's length histogram ends in a spike.
+def length_spikes(df: DataFrame, source: str, columns: list[str]) -> DataFrame:
+    """Field limits: (source, field, unit, length, rows, longer) where the length histogram of a source's column ends in a spike.
 
-    Histograms are counted per source in characters and in UTF-8 bytes, over all rows, with partial
-    sums before the shuffle. A length is a spike if it holds SPIKE_ROWS rows and SPIKE_SHARE of all
-    rows as long or longer. In bytes the lengths within SLACK below a limit count with it, as a
-    character is never split. Null texts are left out.
+    Histograms are counted per source and column in characters and in UTF-8 bytes, over all rows, with
+    partial sums before the shuffle. A length is a spike if it holds SPIKE_ROWS rows and SPIKE_SHARE of
+    all rows as long or longer. In bytes the lengths within SLACK below a limit count with it, as a
+    character is never split. Null and empty texts are left out; a null source is a source.
     """
-    return _spikes(df.where(F.col(text).isNotNull()).select(F.col(source).alias("source"), F.length(text).alias("chars"), F.octet_length(text).alias("bytes")))
+    length = lambda c: F.struct(F.lit(c).alias("field"), F.length(f"`{c}`").alias("chars"), F.octet_length(f"`{c}`").alias("bytes"))
+    return _spikes(df.select(F.col(f"`{source}`").alias("source"), F.explode(F.array(*map(length, columns))).alias("x")).select("source", "x.*").where("chars > 0"))
 
 
 def _spikes(lengths: DataFrame) -> DataFrame:
-    hist = lengths.select("source", F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")])).alias("x")).select("source", "x.*")
-    hist = _counted(hist, ["source", "unit", "length"])
+    hist = lengths.select("source", "field", F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")])).alias("x")).select("source", "field", "x.*")
+    hist = _counted(hist, ["source", "field", "unit", "length"])
     # a source has at most as many lengths as its longest text has bytes
-    w = Window.partitionBy("source", "unit").orderBy("length")
+    w = Window.partitionBy("source", "field", "unit").orderBy("length")
     rows = F.when(F.col("unit") == "bytes", F.sum("n").over(w.rangeBetween(-SLACK, 0))).otherwise(F.col("n"))
     longer = F.coalesce(F.sum("n").over(w.rangeBetween(1, Window.unboundedFollowing)), F.lit(0))
-    spikes = hist.select("source", "unit", "length", rows.alias("rows"), longer.alias("longer"))
+    spikes = hist.select("source", "field", "unit", "length", rows.alias("rows"), longer.alias("longer"))
     return spikes.where((F.col("rows") >= SPIKE_ROWS) & (F.col("rows") >= SPIKE_SHARE * (F.col("rows") + F.col("longer"))))
 
 
@@ -114,7 +115,7 @@ def truncated(df: DataFrame, doc: str, source: str, text: str, title: str | None
     named = ends.where("title_tail <> ''").select(F.col("title_tail").alias("tail"), "title_hash").distinct()
     titles = _counted(named, ["tail"]).crossJoin(F.broadcast(named.agg(F.count("*").alias("total"))))  # one row
     titles = titles.where((F.col("n") >= TITLE_ROWS) & (F.col("n") >= F.col("total") * TITLE_SHARE)).select("tail", F.lit(True).alias("as_title"))
-    limits = _spikes(all_)
+    limits = _spikes(all_.withColumn("field", F.lit(text)).where("chars > 0"))
     # one limit shows in both histograms; it is taken in the unit in which it is sharper
     sharper = limits.groupBy("source").agg(F.max(F.struct("rows", "unit"))["unit"].alias("own"))
     limits = limits.alias("l").join(sharper.alias("s"), F.expr("l.source <=> s.source and l.unit = s.own")).select("l.*")

@@ -28,7 +28,7 @@ def test_spikes_at_a_field_limit(spark):
     rows += [("limit", "列。\n" + "・" + "札" * 32 + " 12個"[:4], None), ("bytes", "", None)]
     rows += [("bytes", ("第%d。" % (10 + i) + "あ" * 99)[:33] + "a" * (i % 3), None) for i in range(12)]
     df = spark.createDataFrame([(s, t) for s, t, _ in rows], "src string, text string")
-    spikes = {(r.source, r.unit, r.length) for r in tr.length_spikes(df, "src", "text").collect()}
+    spikes = {(r.source, r.unit, r.length) for r in tr.length_spikes(df, "src", ["text"]).collect()}
     assert ("limit", "chars", 40) in spikes and not any(s == "free" for s, *_ in spikes)
     got = marked(spark, rows)
     assert all(got[k] == (True, "limit") for k in range(12)) and got[12] == (False, None)
