@@ -122,26 +122,51 @@ def canonical_column(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
-def same_on_the_page(df: DataFrame, node: str, text: str) -> DataFrame:
-    """Pairs (id_1, id_2), smaller first, of rows whose texts differ but read the same on the page.
+#: Partitions the rows of one text go over when they are joined with what is known of it.
+SALTS = 16
 
-    Null texts, and texts without any visible character, take no part. Repeated rows and rows of one
-    id give no further pairs. Texts travel as hashes. Exact copies are first brought together, so
-    only unequal texts of one class are paired, and a class of copies never meets itself.
-    """
+
+def _forms(texts: DataFrame) -> DataFrame:
+    """(id, field, form, raw): hashes of the visible form and of the very text t; null and invisible texts and null ids are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, keys, raws = [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            at, keys, raws = [], [], []
+            for k, t in enumerate(b.column(2).to_pylist()):
                 if form := on_the_page(t):
-                    ids.append(i)
+                    at.append(k)
                     keys.append(hashlib.blake2b(form.encode("utf-8", "surrogatepass"), digest_size=16).digest())
                     raws.append(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(keys, pa.binary()), pa.array(raws, pa.binary())], names=["id", "form", "raw"])
+            take = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(keys, pa.binary()), pa.array(raws, pa.binary())], names=["id", "field", "form", "raw"])
+
+    return texts.where("id is not null and t is not null").transform(spread, "id").mapInArrow(run, "id string, field string, form binary, raw binary")
+
+
+def classes(df: DataFrame, node: str, columns: list[str]) -> DataFrame:
+    """(node, field, class, links): the class of each text of each column, and how many other texts of the class differ from it.
+
+    Texts of one class read the same on the page, whatever column and row they are from. Null texts,
+    texts without any visible character and rows with a null node are left out; equal rows count once.
+    """
+    one = lambda c: F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast("string").alias("t"))
+    rows = _forms(df.select(F.col(f"`{node}`").cast("string").alias("id"), F.inline(F.array(*map(one, columns))))).distinct()
+    several = rows.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
+    texts = rows.join(several, "form", "left_semi").select("form", "raw").distinct().groupBy("form").agg((F.count("*") - 1).alias("links"))
+    texts = texts.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    out = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(texts, ["form", "salt"], "left")
+    return out.select(F.col("id").alias(node), "field", F.lower(F.hex("form")).alias("class"), F.coalesce("links", F.lit(0)).alias("links")).distinct()
+
+
+def same_on_the_page(df: DataFrame, node: str, text: str) -> DataFrame:
+    """Pairs (id_1, id_2), smaller first, of rows whose texts differ but read the same on the page.
+
+    Null texts, and texts without any visible character, take no part. Repeated rows and rows of one
+    id give no further pairs. Texts travel as hashes. Exact copies are first brought together, so
+    only unequal texts of one class are paired, and a class of copies never meets itself.
+    """
 
-    given = df.select(F.col(f"`{node}`").cast("string").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).where("id is not null and t is not null").transform(spread, "id")
-    rows = given.mapInArrow(run, "id string, form binary, raw binary")
+    rows = _forms(df.select(F.col(f"`{node}`").cast("string").alias("id"), F.lit(text).alias("field"), F.col(f"`{text}`").cast("string").alias("t"))).drop("field")
     mixed = rows.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
     members = rows.join(mixed, "form").distinct()
     texts = members.select("form", "raw").distinct()

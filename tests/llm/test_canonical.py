@@ -3,7 +3,7 @@ import unicodedata
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pagewright.llm.canonical import canonical, canonical_column, on_the_page, same_on_the_page, transducer
+from pagewright.llm.canonical import canonical, canonical_column, classes, on_the_page, same_on_the_page, transducer
 
 
 def test_forms():
@@ -53,3 +53,11 @@ def test_columns(spark):
     df = spark.createDataFrame([(1, "Ａ", "Ｂ"), (2, None, "")], "i int, a string, b string")
     assert [tuple(r) for r in canonical_column(df, ["a"]).orderBy("i").collect()] == [(1, "A", "Ｂ"), (2, None, "")]
     assert unicodedata.normalize("NFC", canonical("ﾊﾟ")) == "パ"
+
+
+def test_classes_over_both_columns(spark):
+    rows = [("a", "ＡＢ", "AB"), ("b", "AB", None), ("b", "AB", None), ("c", "別", "\u200b"), (None, "AB", "AB")]
+    got = {(r.id, r.field): (r["class"], r.links) for r in classes(spark.createDataFrame(rows, "id string, x string, class string"), "id", ["x", "class"]).collect()}
+    assert set(got) == {("a", "x"), ("a", "class"), ("b", "x"), ("c", "x")}
+    assert len({got[k][0] for k in got if k[0] != "c"}) == 1 and {got[k][1] for k in got if k[0] != "c"} == {1} and got["c", "x"][1] == 0
+    assert classes(spark.createDataFrame([], "id string, x string"), "id", ["x"]).count() == 0
