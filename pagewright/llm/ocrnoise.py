@@ -26,13 +26,15 @@ CONFUSIONS = [
     ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("8", "b"), ("2", "z"), ("9", "g"), ("6", "b"), ("0", "q"), ("9", "q"), ("2", "q"),
 ]
 _PAIRS = set(CONFUSIONS)
-#: How often the right form must occur for each occurrence of the misread one, and at least: for a character
-#: of another kind inside a word or number, for one of the same kind, and for one digit in place of another.
-RATIO = {"mixed": 2.0, "same": 8.0, "digit": 60.0}
+#: Weight of an edit, as the factor by which the right form must be more frequent than the misread one (a distance
+#: is the sum of their logarithms), and how often the right form must occur at least: for a character of another
+#: kind inside a word or number, for one of the same kind, and for one digit in place of another.
+WEIGHT = {"mixed": 2.0, "same": 8.0, "digit": 60.0}
 LEAST = {"mixed": 2, "same": 8, "digit": 50}
 #: Characters of a token; longer runs are no words.
 MIN_TOKEN, MAX_TOKEN = 3, 64
-_PAGE_CHARS = 40
+#: Characters of a line that may be a page number with marks around it.
+_PAGE_CHARS = 200
 #: Lines of notices that may stand between the halves of a divided word.
 _BETWEEN = 2
 _KANJI = "一工力二口八夕卜千才三"
@@ -45,7 +47,6 @@ _TOKENS = re.compile(
 _NUMBER = re.compile(r"[0-9]+|(?=[0-9lIOoSBZ]*[0-9])[0-9lIOoSBZ]+")
 _CONTEXT = re.compile(r" ?([^\W\d_]{1,2})")
 _LEFT, _RIGHT = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)$"), re.compile(r"[ \t　]*([a-zà-öø-ÿ]+)")
-_WORD_BEFORE = re.compile(r"([0-9A-Za-zÀ-ÖØ-öø-ɏ]+)\s+$")
 _KANA = re.compile(r"[ぁ-ゖァ-ヺ]")
 _SENTENCE_END, _LATIN_END = re.compile("[。．.!?！？…][」』）)\"”’】〉》]*$"), re.compile("[A-Za-zÀ-ÖØ-öø-ɏ0-9:;]$")
 _ROW = re.compile(r"\S(?:[ 　]{2,}|\t)\S")
@@ -123,33 +124,32 @@ class Reading:
 
     def _join(self, body: list[tuple[str, bool]], kana: bool) -> str:
         out: list[str] = []
-        lines, apart = [line for line, _ in body], [after for _, after in body]
-        while lines:
-            line, *lines = lines
-            apart = apart[1:]
-            cut = line.rstrip()
-            if not lines:
+        lines, at, cut_in = [line for line, _ in body], 0, False
+        while at < len(lines):
+            line = lines[at].lstrip() if cut_in else lines[at]
+            at += 1
+            cut, cut_in = line.rstrip(), False
+            if at == len(lines):
                 out.append(cut)
                 break
-            nxt = lines[0]
+            nxt = lines[at]
             if cut and cut[-1] in _MARKS and (a := _LEFT.search(cut[-MAX_TOKEN - 1 : -1])):
                 # notices may stand between the halves of a word
-                at = next((k for k in range(min(_BETWEEN + 1, len(lines))) if _RIGHT.match(lines[k])), None)
-                if at is not None:
-                    self.hyphens.append((a[1], _RIGHT.match(lines[at])[1], cut[-1] == "¬"))
+                to = next((k for k in range(at, min(at + _BETWEEN + 1, len(lines))) if _RIGHT.match(lines[k])), None)
+                if to is not None:
+                    self.hyphens.append((a[1], _RIGHT.match(lines[to])[1], cut[-1] == "¬"))
                     out.append(cut[:-1] + f"\ue000{len(self.hyphens) - 1}\ue001")
-                    self.asides += lines[:at]
-                    lines = [lines[at].lstrip(), *lines[at + 1 :]]
-                    apart = apart[at:]
+                    self.asides += lines[at:to]
+                    at, cut_in = to, True
                     continue
-            if apart[0] and _paragraph_ends(cut, nxt):
+            if body[at][1] and _paragraph_ends(cut, nxt):
                 out.append(cut + "\n\n")
                 continue
             if _ROW.search(line) or _ROW.search(nxt) or _BULLET.match(nxt) or _BULLET.match(line):
                 out.append(cut + "\n")
                 continue
-            lines[0] = nxt.lstrip()
-            a, b = cut[-1:], lines[0][:1]
+            cut_in = True
+            a, b = cut[-1:], nxt.lstrip()[:1]
             latin = a.isalpha() and a < "ɐ" and b.isalpha() and b < "ɐ"
             out.append(cut + (" " if latin or not kana else ""))
         return "".join(out)
@@ -190,23 +190,43 @@ def tokens(text: str) -> Iterator[tuple[str, int, int]]:
 
 
 @lru_cache(maxsize=1 << 16)
-def misread_as(right: str, seen: str) -> str | None:
-    """Kind of the single confusion that turns ``right`` into ``seen``: mixed, same, digit; None if there is none."""
+def misread_as(right: str, seen: str) -> tuple[float, int] | None:
+    """Weighted edit distance: (least product of the weights of confusions that turn ``right`` into ``seen``, LEAST of the rarest of them); None if none do.
+
+    Both begin with their kind, which is no part of the word. Equal ends are left out but for one
+    character, as a changed run may repeat its neighbour (`rn`, `vv`).
+    """
     i, n = 0, min(len(right), len(seen))
     while i < n and right[i] == seen[i]:
         i += 1
+    start = max(1, i - 1)
     j = 0
-    while j < n - i and right[-1 - j] == seen[-1 - j]:
+    while j < n - start and right[-1 - j] == seen[-1 - j]:
         j += 1
-    # a changed run may repeat its neighbours (`rn`, `vv`): let it grow by one to each side
-    for a, b in ((0, 0), (1, 0), (0, 1)):
-        x, y = right[i - a : len(right) - j + b], seen[i - a : len(seen) - j + b]
-        if i - a < 1 or j - b < 0 or not x or not y:
-            continue
-        if (x, y) in _PAIRS:
-            return "mixed" if _mixed(x, y, seen) else "same"
-        if len(x) == len(y) == 1 and x.isdigit() and y.isdigit():
-            return "digit"
+    j = max(0, j - 1)
+    ends = (len(right) - j, len(seen) - j)
+    layers = {2 * start: {(start, start): (1.0, 0)}}
+    for t in range(2 * start, sum(ends) + 1):
+        if not layers:
+            return None
+        for (a, b), (weight, least) in layers.pop(t, {}).items():
+            if (a, b) == ends:
+                return (weight, least) if least else None
+            for p, q in ((1, 1), (1, 2), (2, 1)):
+                x, y = right[a : a + p], seen[b : b + q]
+                if a + p > ends[0] or b + q > ends[1]:
+                    continue
+                if x == y:
+                    w, m = 1.0, 0
+                elif (x, y) in _PAIRS:
+                    kind = "mixed" if _mixed(x, y, seen) else "same"
+                    w, m = WEIGHT[kind], LEAST[kind]
+                elif p == q == 1 and x.isdigit() and y.isdigit():
+                    w, m = WEIGHT["digit"], LEAST["digit"]
+                else:
+                    continue
+                layer, to = layers.setdefault(t + p + q, {}), (a + p, b + q)
+                layer[to] = min(layer.get(to, (float("inf"), 0)), (weight * w, max(least, m)))
     return None
 
 
@@ -286,12 +306,12 @@ class Lexicon:
         self.compounds = c.join(joined, "word", "left").where("n > coalesce(whole, 0)").select(F.substring("token", 2, 1 << 30).alias("compound"))
 
     def misread(self) -> DataFrame:
-        """(h, token, right, kind): tokens that are misread forms, each with every right form that may be meant.
+        """(h, token, n, right, right_n, weight): tokens that are misread forms, each with every right form that may be meant.
 
         Deletions of one character and of two neighbouring ones, of frequent and of suspect tokens
-        alike, meet on equal keys; pairs are kept if one known confusion separates them and the
-        right form is frequent enough in comparison, over all rows or over distinct texts: copies of a
-        page do not hide what is misread on it.
+        alike, meet on equal keys; pairs are kept if known confusions separate them and the right
+        form is frequent enough for their weight, over all rows or over distinct texts: copies of a
+        page do not hide what is misread on it. Counts are those of the two that speak for it.
         """
         words = self.counts.where("substring(token, 1, 1) in ('w', 'k', 'n')").withColumn("len", F.length("token"))
         drop = lambda n: F.transform(F.sequence(F.lit(2), F.col("len") - n + 1), lambda i: F.concat(F.substring("token", F.lit(1), i - 1), F.substring(F.col("token"), i + n, F.lit(1 << 30))))
@@ -299,20 +319,23 @@ class Lexicon:
         index = cut(words.select("token", "n", "once", F.explode(keys).alias("key")))
         a = index.where(F.col("n") >= min(LEAST.values())).select("key", F.col("token").alias("right"), F.col("n").alias("right_n"), F.col("once").alias("right_once"))
         b = index.select("key", "token", "n", "once")
-        least = min(RATIO.values())
+        least = min(WEIGHT.values())
         pairs = a.join(b, "key").where((F.col("right") != F.col("token")) & ((F.col("right_n") >= least * F.col("n")) | (F.col("right_once") >= least * F.col("once")))).select("right", "right_n", "right_once", "token", "n", "once").distinct()
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in batches:
                 got = []
                 for right, many, texts, seen, n, once in zip(*(c.to_pylist() for c in x.columns)):
-                    kind = misread_as(right, seen)
-                    if kind and any(m >= LEAST[kind] and m >= RATIO[kind] * k for m, k in ((many, n), (texts, once))):
-                        got.append((token_hash(seen), seen, right, kind, many))
+                    if found := misread_as(right, seen):
+                        weight, needed = found
+                        speak = [(m / k, m, k) for m, k in ((many, n), (texts, once)) if m >= needed and m >= weight * k]
+                        if speak:
+                            _, m, k = max(speak)
+                            got.append((token_hash(seen), seen, k, right, m, weight))
                 if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()))], names=["h", "token", "right", "kind", "right_n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.float64()))], names=["h", "token", "n", "right", "right_n", "weight"])
 
-        return cut(pairs.mapInArrow(verify, "h long, token string, right string, kind string, right_n long"))
+        return cut(pairs.mapInArrow(verify, "h long, token string, n long, right string, right_n long, weight double"))
 
 
 class _Shipped:
@@ -348,61 +371,47 @@ def _heads(ship: _Shipped | None, book: str | None, pages: list[int] | None, own
 def find_noise(df: DataFrame, ids: list[str], book: str, page: str, text: str, titles: DataFrame, chapters: DataFrame, lexicon: Lexicon | None = None, detail: bool = False) -> DataFrame:
     """(ids, noise) for each text with noise of a kind: hyphen, misread, header, page_number.
 
-    With ``detail`` also token and right: the misread token and a right form. ``titles`` has the
+    With ``detail`` also token and right: the misread token and its right form. ``titles`` has the
     running titles of books (book, title), ``chapters`` those of pages (book, page, title). Null and
     empty texts have no noise; a null page has no page number, a null book no titles; equal rows give
     one row, an empty table none. ``page`` may hold an array: all pages the text is from.
+
+    A token stays as it is if, where it stands, it is likelier than every right form (see _by_context).
     """
     lex = lexicon or Lexicon(_flat(df, ids, book, page, text), head_hashes(titles, chapters))
-    rows, wrong = lex.rows, lex.misread()
-    seen = _scan(rows, ids, lex, wrong, _rivals(wrong) if detail else None, detail)
+    wrong = lex.misread()
+    seen = _scan(lex.rows, ids, lex, wrong)
     plain = seen.where("noise in ('page_number', 'header') or (noise = 'hyphen' and token is null)")
     compounds = lex.compounds.select(F.col("compound").alias("token")).distinct()
     divided = seen.where("noise = 'hyphen' and token is not null").join(compounds, "token", "left_anti")
-    tokens_ = seen.where("noise = 'misread'")
-    if not detail:
-        misread = tokens_.join(wrong.select("token").distinct(), "token", "left_semi")
-        return plain.select(*ids, "noise").unionByName(divided.select(*ids, "noise")).unionByName(misread.select(*ids, "noise")).distinct()
-    chosen = _by_context(tokens_.select(*ids, "token", "prev").distinct(), seen.where("noise = 'bigram'"), wrong, ids)
-    lacks = lambda d: d.select(*ids, "noise", "token", F.lit(None).cast("string").alias("right"))
-    return lacks(plain).unionByName(lacks(divided)).unionByName(chosen.select(*ids, F.lit("misread").alias("noise"), "token", "right")).distinct()
+    chosen = _by_context(seen.where("noise = 'misread'").select(*ids, "token", "prev", "copy").distinct(), wrong, lex, ids, detail)
+    out = [d.select(*ids, "noise", "token", F.lit(None).cast("string").alias("right")) for d in (plain, divided)] + [chosen.select(*ids, F.lit("misread").alias("noise"), "token", "right")]
+    whole = out[0].unionByName(out[1]).unionByName(out[2])
+    return (whole if detail else whole.select(*ids, "noise")).distinct()
 
 
-def _rivals(wrong: DataFrame, limit: int = 1_000_000) -> set[str] | None:
-    """Right forms of misread words that have several; None if there are too many to ship: then all tokens are counted with
-    what is before them and joined with the right forms.
-
-    Numbers carry their context in the token: their counts are bigram counts already.
-    """
-    many = wrong.where("token not like 'n%'").groupBy("token").agg(F.collect_set("right").alias("r")).where(F.size("r") > 1)
-    names = {r[0] for r in many.select(F.explode("r")).distinct().limit(limit + 1).collect()}
-    return names if len(names) <= limit else None
-
-
-def _scan(rows: DataFrame, ids: list[str], lex: Lexicon, wrong: DataFrame, rivals: set[str] | None, detail: bool) -> DataFrame:
-    """One pass over the texts: (ids, noise, token, prev, n), and with ``detail`` how often each of ``rivals`` (None: any token) stands behind what (noise bigram, null ids)."""
+def _scan(rows: DataFrame, ids: list[str], lex: Lexicon, wrong: DataFrame) -> DataFrame:
+    """One pass over the texts: (ids, noise, token, prev, copy), the last two what stands before a misread token and the identity of its text."""
     bad, ship = shipped_hashes(wrong, "h"), lex.ship
-    schema = rows.select(*ids).schema.add("noise", "string").add("token", "string").add("prev", "string").add("n", "long")
+    schema = rows.select(*ids).schema.add("noise", "string").add("token", "string").add("prev", "string").add("copy", "long")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, bool] = {}
         known, heads = _shipped(bad), _shipped(ship)
         for b in batches:
             out: list[tuple] = []
-            bigrams: Counter = Counter()
             for i, (bk, pg, t, own) in enumerate(zip(*(c.to_pylist() for c in b.columns[-4:]))):
                 r = Reading(t, pg, _heads(heads, bk, pg, own))
-                out += [(i, "page_number", None, None, 1)] * r.page_number + [(i, "header", None, None, 1)] * r.header
-                out += [(i, "hyphen", None if sure else f"{x}-{y}".lower(), None, 1) for x, y, sure in r.hyphens]
-                line = r.running(lambda *_: False)
+                out += [(i, "page_number", None, None, None)] * r.page_number + [(i, "header", None, None, None)] * r.header
+                out += [(i, "hyphen", None if sure else f"{x}-{y}".lower(), None, None) for x, y, sure in r.hyphens]
+                line, copy = r.running(lambda *_: False), None
                 for tok, at, _ in tokens(line):
                     if (hit := memo.get(tok)) is None:
                         hit = memo[tok] = known is None or token_hash(tok) in known
                     if hit:
-                        out.append((i, "misread", tok, _before(line, at) if detail else None, 1))
-                    if detail and (tok[0] != "n" if rivals is None else tok in rivals):
-                        bigrams[tok, _before(line, at)] += 1
-            out = list(dict.fromkeys(out)) + [(None, "bigram", tok, prev, n) for (tok, prev), n in bigrams.items()]
+                        copy = copy if copy is not None else token_hash(t)
+                        out.append((i, "misread", tok, _before(line, at), copy))
+            out = list(dict.fromkeys(out))
             if out:
                 row, *columns = zip(*out)
                 take = pa.array(row, pa.int32())
@@ -412,18 +421,69 @@ def _scan(rows: DataFrame, ids: list[str], lex: Lexicon, wrong: DataFrame, rival
 
 
 def _before(line: str, at: int) -> str:
-    """The Latin word or number before a place; where there is none, as in text without word breaks, two characters."""
-    part = line[max(0, at - MAX_TOKEN - 2) : at]
-    m = _WORD_BEFORE.search(part)
-    return m[1].lower() if m else part[-2:]
+    """What stands before a place, blanks aside: the Latin word or number; where there is none, as in text without word breaks, two characters."""
+    end = at
+    while end and line[end - 1].isspace():
+        end -= 1
+    start = end
+    while start and end - start <= MAX_TOKEN and (line[start - 1].isascii() or "À" <= line[start - 1] <= "ɏ") and line[start - 1].isalnum():
+        start -= 1
+    return line[start:end].lower() if end < at and start < end else line[max(0, end - 2) : end]
+
+
+def _bigrams(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(right, prev, together): in how many different texts a token stands behind ``prev``, for the ``wanted`` pairs at least."""
 
+    def identities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = list(zip(*(c.to_pylist() for c in b.columns)))
+            yield pa.RecordBatch.from_arrays([pa.array([token_hash(r) for r, _ in pairs], pa.int64()), pa.array([token_hash(f"{p}\n{r}") for r, p in pairs], pa.int64())], names=["token", "pair"])
+
+    known = cut(wanted.select("right", "prev").mapInArrow(identities, "token long, pair long"))
+    rights, both = shipped_hashes(known, "token"), shipped_hashes(known, "pair")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, bool] = {}
+        tokens_, pairs = _shipped(rights), _shipped(both)
+        for b in batches:
+            total: Counter = Counter()
+            for t in b.column(0).to_pylist():
+                line, here = canonical(t), set()
+                for tok, at, _ in tokens(line):
+                    if (hit := memo.get(tok)) is None:
+                        hit = memo[tok] = tokens_ is None or token_hash(tok) in tokens_
+                    if hit:
+                        here.add((tok, _before(line, at)))
+                total.update(x for x in here if pairs is None or token_hash(f"{x[1]}\n{x[0]}") in pairs)
+            if total:
+                names = list(zip(*total))
+                yield pa.RecordBatch.from_arrays([pa.array(names[0], pa.string()), pa.array(names[1], pa.string()), pa.array(list(total.values()), pa.int64())], names=["right", "prev", "n"])
+
+    counted = rows.select("__text").distinct().mapInArrow(count, "right string, prev string, n long")
+    return counted.groupBy("right", "prev").agg(F.sum("n").alias("together"))
 
-def _by_context(tokens_: DataFrame, bigrams: DataFrame, wrong: DataFrame, ids: list[str]) -> DataFrame:
-    """One right form for each misread token of each row: the one seen most often behind the same word (see _before), then the most frequent."""
-    together = bigrams.groupBy(F.col("token").alias("right"), "prev").agg(F.sum("n").alias("together"))
-    ranked = tokens_.join(wrong.select("token", "right", "right_n"), "token").join(together, ["right", "prev"], "left")
-    best = F.max(F.struct(F.coalesce("together", F.lit(0)), "right_n", "right"))["right"]
-    return ranked.groupBy(*ids, "token").agg(best.alias("right"))
+
+def _by_context(tokens_: DataFrame, wrong: DataFrame, lex: Lexicon, ids: list[str], rivals: bool) -> DataFrame:
+    """(ids, token, right) for each misread token: the likeliest right form where it stands, unless the token itself is likelier.
+
+    A form is the likelier the more frequent it is, the smaller its distance and the more texts have it
+    behind the same word (the token's own text aside). Counts of what stands together are needed only
+    where the token stands behind that word in another text too or, with ``rivals``, has several right forms.
+    """
+    here = tokens_.groupBy("token", "prev").agg((F.countDistinct("copy") - 1).alias("others"))
+    several = wrong.groupBy("token").agg((F.countDistinct("right") > 1).alias("several"))
+    ways = cut(here.join(wrong, "token").join(several, "token").select("token", "prev", "others", "n", "right", "right_n", "weight", "several"))
+    open_ = F.col("others") > 0
+    wanted = cut(ways.where(open_ | F.col("several") if rivals else open_).select("right", "prev").distinct())
+    if not wanted.isEmpty():
+        ways = ways.join(_bigrams(lex.rows, wanted), ["right", "prev"], "left")
+    else:
+        ways = ways.withColumn("together", F.lit(None).cast("long"))
+    plus = lambda c: 1 + F.coalesce(F.col(c), F.lit(0))
+    scored = ways.select("token", "prev", "right", "right_n", (F.col("right_n") / F.col("weight") * plus("together")).alias("score"), (F.col("n") * plus("others")).alias("own"))
+    best = scored.groupBy("token", "prev").agg(F.max(F.struct("score", "right_n", "right")).alias("best"), F.max("own").alias("own")).where("best.score >= own").select("token", "prev", "best.score", "best.right")
+    # a row may hold the token in several places: one right form for all of them
+    return tokens_.join(best, ["token", "prev"]).groupBy(*ids, "token").agg(F.max(F.struct("score", "right"))["right"].alias("right"))
 
 
 def repair(df: DataFrame, ids: list[str], book: str, page: str, text: str, titles: DataFrame, chapters: DataFrame, to: str = "repaired") -> DataFrame:
@@ -431,7 +491,7 @@ def repair(df: DataFrame, ids: list[str], book: str, page: str, text: str, title
 
     Running titles and page numbers are taken out, divided words joined (compounds keep their own
     hyphen), line breaks inside paragraphs closed, paragraphs set apart by an empty line, misread tokens replaced. Of several right forms
-    the one wins that the corpus shows most often next to the word before, then the most frequent.
+    the likeliest wins (see _by_context).
     Null and empty texts give no row; repeated rows give one row.
     """
     lex = Lexicon(_flat(df, ids, book, page, text).distinct(), head_hashes(titles, chapters))

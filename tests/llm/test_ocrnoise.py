@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from pagewright.llm import ocrnoise as oc
@@ -40,12 +41,14 @@ def test_line_breaks():
     assert read("力  3\n技  4\n本文").running() == "力  3\n技  4\n本文" and read("前文\n・札\n●札").running() == "前文\n・札\n●札"
 
 
-def test_confusions():
-    for right, seen, kind in [
-        ("kカード", "k力ード", "mixed"), ("kシナリオ", "kツナリオ", "same"), ("wburning", "wbuming", "same"), ("wgamemaster", "wgarnemaster", "same"), ("wtoward", "wt0ward", "mixed"),
-        ("whollow", "whollovv", "same"), ("n25|点を", "n2s|点を", "mixed"), ("n21|点を", "n71|点を", "digit"), ("kカード", "kカート", None), ("wgate", "wgates", None),
+def test_weighted_distance():
+    for right, seen, kinds in [
+        ("kカード", "k力ード", ["mixed"]), ("kシナリオ", "kツナリオ", ["same"]), ("wburning", "wbuming", ["same"]), ("wgamemaster", "wgarnemaster", ["same"]), ("wtoward", "wt0ward", ["mixed"]),
+        ("whollow", "whollovv", ["same"]), ("n25|点を", "n2s|点を", ["mixed"]), ("n21|点を", "n71|点を", ["digit"]), ("kカード", "kカート", None), ("wgate", "wgates", None), ("wgate", "wgate", None),
+        ("wcheese", "wehccse", ["same"] * 3), ("n10|点", "nlo|点", ["mixed", "mixed"]), ("wclone", "wdonc", ["same", "same"]), ("wlittle", "w1itt1e", ["mixed", "mixed"]), ("wx", "kx", None),
     ]:
-        assert oc.misread_as(right, seen) == kind, (right, seen)
+        want = kinds and (float(np.prod([oc.WEIGHT[k] for k in kinds])), max(oc.LEAST[k] for k in kinds))
+        assert oc.misread_as(right, seen) == want, (right, seen)
 
 
 KIND = "sid int, rid string, book string, page int, text string"
@@ -132,9 +135,18 @@ def test_both_texts_of_segments(spark, tmp_path):
     assert {tuple(r) for r in p2_segments(spark, str(tmp_path)).collect()} == {("s1", "夜の砦", "夜の砦に"), ("s2", "朝", "朝"), ("s3", "朝", None)}
 
 
-def test_the_word_before_chooses_with_and_without_shipped_rivals(spark, monkeypatch):
-    rows = [(i, "r", "b", 1, "so hold it") for i in range(20)] + [(50 + i, "r", "b", 1, "go hoid is") for i in range(12)] + [(90, "r", "b", 1, "go ho1d is")]
+def test_the_word_before_chooses_with_and_without_shipped_pairs(spark, monkeypatch):
+    rows = [(i, "r", "b", 1, f"so hold it {i}") for i in range(20)] + [(50 + i, "r", "b", 1, f"go hoid is {i}") for i in range(12)] + [(90, "r", "b", 1, "go ho1d is")]
     fixed = lambda: {r.repaired for r in oc.repair(spark.createDataFrame(rows, KIND), ["sid", "rid"], "book", "page", "text", *heads(spark, [], [])).where("sid = 90").collect()}
     assert fixed() == {"go hoid is"}
-    monkeypatch.setattr(oc, "_rivals", lambda *_: None)
+    monkeypatch.setattr(oc, "shipped_hashes", lambda *_: None)
     assert fixed() == {"go hoid is"}
+
+
+def test_a_word_that_belongs_where_it_stands_is_not_misread(spark):
+    rows = [(i, "r", "b", 1, f"the burning gate {i}") for i in range(60)] + [(100 + i, "r", "b", 1, f"ash buming cord {'abcdefg'[i]}") for i in range(6)] + [(200, "r", "b", 1, "one buming gate")]
+    assert {tuple(r) for r in noise(spark, rows).collect()} == {(200, "r", "misread")}
+
+
+def test_many_lines():
+    assert len(read("夜の\n" * 200_000).running()) == 400_000
