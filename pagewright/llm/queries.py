@@ -54,6 +54,12 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_column(s, ["raw_text", "normalized_text"])
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The class of raw_text and normalized_text of every segment: texts that read the same."""
+    s = table(spark, d, "segments").select("segment_id", "raw_text", "normalized_text")
+    return canonical.classes(s, "segment_id", ["raw_text", "normalized_text"])
+
+
 def _p6_lines(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.repeated_lines(table(spark, d, "segments"), "segment_id", "book_id", "raw_text")
 
@@ -91,6 +97,11 @@ def p8_alignments(spark: SparkSession, d: str) -> DataFrame:
     return _p8_pairs(spark, d, True)
 
 
+def p8_short(spark: SparkSession, d: str) -> DataFrame:
+    """Test items too short to be searched for."""
+    return leakage.unsearched(table(spark, d, "test_items"), "item_id", "text")
+
+
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
     """Which test items leaked, and into how many documents."""
     return _p8_pairs(spark, d, False).groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"), F.max("run").alias("longest_run"))
@@ -111,15 +122,21 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_limits(spark: SparkSession, d: str) -> DataFrame:
-    """The field limits of each source."""
-    return truncation.length_spikes(table(spark, d, "documents").select("source", "text"), "source", "text")
+    """The field limits of each source, in text and title."""
+    return truncation.length_spikes(table(spark, d, "documents").select("source", "text", "title"), "source", ["text", "title"])
+
+
+def p9_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Per source and reason: cut texts at a length spike, and those only the look of their end tells."""
+    return p9_marked(spark, d).where("cut").groupBy("source", "reason").agg(F.count("*").alias("docs"), F.sum(F.col("limited").cast("long")).alias("at_limit"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p2_segments, p4_found, p4_canonical, p6_found, p6_cleaned, p7_packed, p7_unused, p8_found, p8_alignments, p8_items, p9_found, p9_marked, p9_rates, p9_limits)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p2_segments, p4_found, p4_canonical, p4_classes, p6_found, p6_cleaned, p7_packed, p7_unused, p8_found, p8_alignments, p8_items, p8_short, p9_found, p9_marked, p9_rates, p9_reasons, p9_limits)}
 SQL: dict[str, str] = {
-    "p9_limits": """with h as (select source, 'chars' as unit, cast(length(text) as int) as length, count(*) as n from documents where text is not null group by all
-  union all select source, 'bytes', cast(strlen(text) as int), count(*) from documents where text is not null group by all),
- s as (select source, unit, length, cast(case when unit = 'bytes' then sum(n) over (partition by source, unit order by length range between 3 preceding and current row) else n end as bigint) as rows,
-  cast(coalesce(sum(n) over (partition by source, unit order by length range between 1 following and unbounded following), 0) as bigint) as longer from h)
+    "p9_limits": """with t as (select source, 'text' as field, text as v from documents union all select source, 'title', title from documents),
+ h as (select source, field, 'chars' as unit, cast(length(v) as int) as length, count(*) as n from t where v <> '' group by all
+  union all select source, field, 'bytes', cast(strlen(v) as int), count(*) from t where v <> '' group by all),
+ s as (select source, field, unit, length, cast(case when unit = 'bytes' then sum(n) over (partition by source, field, unit order by length range between 3 preceding and current row) else n end as bigint) as rows,
+  cast(coalesce(sum(n) over (partition by source, field, unit order by length range between 1 following and unbounded following), 0) as bigint) as longer from h)
  select * from s where rows >= 5 and rows >= 0.3 * (rows + longer)""",
 }
