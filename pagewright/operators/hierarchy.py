@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.runtime import cut
+from pagewright.runtime import cut, laid_out, skew_join
 
 #: Levels walked one join at a time; longer chains are jumped in doubling steps.
 LEVELS = 6
+#: Nodes left after these levels that one task follows to their ends, some 100 bytes each; more are followed by joins.
+LAST_NODES = 300_000
 #: Children of one parent that go into one partition.
-HOT_CHILDREN = 200_000
+HOT_CHILDREN = 500_000
 
 
 def resolve_hierarchy(df: DataFrame, node: str, parent: str, order: str | None = None, paths: bool = False, levels: int = LEVELS) -> DataFrame:
@@ -22,33 +28,32 @@ def resolve_hierarchy(df: DataFrame, node: str, parent: str, order: str | None =
     latest ``order`` row counts (the largest parent if there is no order or a tie). Other columns are
     dropped; an empty table gives an empty result.
 
-    The frontier is joined level by level from the roots; edges are laid out by parent once (a parent of
-    very many children over several partitions), so each level only moves the frontier. Chains that go on after ``levels`` levels are followed by frontier
-    joins that double the distance they know, and what no join reaches is on or behind a cycle.
+    The frontier is joined level by level from the roots; edges are laid out and sorted by parent once (a
+    parent of very many children over several partitions), so each level only moves the frontier. Chains that go on after ``levels`` levels are followed by doubling
+    the distance they know, and what is never reached is on or behind a cycle.
     """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     link = F.struct(F.col(f"`{order}`") if order else F.lit(0), F.col(f"`{parent}`").cast("string").alias("p"))
-    pick = df.where(F.col(f"`{node}`").isNotNull()).groupBy(F.col(f"`{node}`").cast("string").alias("id")).agg(F.max(link)["p"].alias("parent"))
-    known = pick.select(F.col("id").alias("known"))
-    linked = pick.join(known, F.col("parent") == F.col("known"), "left").select("id", F.col("known").alias("parent"))
-    linked = cut(linked)
-    # children of one parent may be any share of all rows: such parents get several salts
-    hot = cut(linked.where("parent is not null").groupBy("parent").agg(F.count("*").alias("n")).where(F.col("n") > HOT_CHILDREN).select(F.col("parent").alias("hot"), F.ceil(F.col("n") / HOT_CHILDREN).alias("salts")))
-    salted = linked.join(hot, F.col("parent") == F.col("hot"), "left")
-    salted = salted.select("id", "parent", F.coalesce(F.pmod(F.xxhash64("id"), "salts"), F.lit(0).cast("long")).alias("salt"))
-    edges = cut(salted.where("parent is not null").repartition(n, "parent", "salt"))
+    pick = cut(df.where(F.col(f"`{node}`").isNotNull()).groupBy(F.col(f"`{node}`").cast("string").alias("id")).agg(F.max(link)["p"].alias("parent")))
+    # children of one parent may be any share of all rows: such parents get several salts, and there are at most 10,000
+    # of them, which makes their list small enough to broadcast
+    total = pick.count()
+    many = max(HOT_CHILDREN, total // 10_000)
+    given = pick.where("parent is not null")
+    hot = cut(given.groupBy("parent").agg(F.count("*").alias("n")).where(F.col("n") > many).select(F.col("parent").alias("hot"), F.ceil(F.col("n") / many).alias("salts"))) if total > many else None
+    known = _copied(pick.select(F.col("id").alias("known")), "known", hot)
+    linked = given.withColumn("salt", F.lit(0).cast("long")) if hot is None else given.join(F.broadcast(hot), F.col("parent") == F.col("hot"), "left").select("id", "parent", F.coalesce(F.pmod(F.xxhash64("id"), "salts"), F.lit(0).cast("long")).alias("salt"))
+    linked = cut(linked.join(known, (F.col("parent") == F.col("known")) & (F.col("salt") == F.col("copy")), "left").select("id", F.col("known").alias("parent"), "salt"))
+    edges = laid_out(linked.where("parent is not null"), "parent", "salt")
 
     path = F.array("id") if paths else F.lit(None).cast("array<string>")
-    level = linked.where("parent is null").select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), path.alias("path"))
+    roots = pick.where("parent is null").select("id").unionByName(linked.where("parent is null").select("id"))
+    level = roots.select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), path.alias("path"))
     done = [level]
-    children = edges.select("id", "parent")
+    grown = F.concat("path", F.array("id")) if paths else F.col("path")
     deep = True
     for d in range(1, levels + 1):
-        up = done[-1].select(F.col("id").alias("up"), "root_id", "path").join(hot, F.col("up") == F.col("hot"), "left")
-        up = up.withColumn("at_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1)))
-        grown = F.concat("path", F.array("id")) if paths else F.col("path")
-        level = cut(edges.join(up, (F.col("parent") == F.col("up")) & (F.col("salt") == F.col("at_salt"))).select("id", "root_id", F.lit(d).alias("depth"), grown.alias("path")))
+        up = _copied(done[-1].select(F.col("id").alias("up"), "root_id", "path"), "up", hot)
+        level = cut(edges.join(up, (F.col("parent") == F.col("up")) & (F.col("salt") == F.col("copy"))).select("id", "root_id", F.lit(d).alias("depth"), grown.alias("path")))
         deep = not level.isEmpty()
         if not deep:
             break
@@ -56,66 +61,92 @@ def resolve_hierarchy(df: DataFrame, node: str, parent: str, order: str | None =
     reached = done[0]
     for x in done[1:]:
         reached = reached.unionByName(x)
-    left = cut(children.join(reached.select(F.col("id").alias("up")), F.col("id") == F.col("up"), "left_anti"))
-    if deep:
+    left = cut(edges.select("id", "parent").join(reached.select(F.col("id").alias("up")), F.col("id") == F.col("up"), "left_anti"))
+    rest = left.count()
+    if rest and rest <= LAST_NODES and not paths:
+        walked = cut(left.repartition(1).mapInArrow(_walk, "id string, end string, dist int, root_id string, on_cycle boolean"))
+        ends = done[-1].select(F.col("id").alias("to"), F.col("root_id").alias("to_root"), "depth")
+        far = skew_join(walked.where("end is not null"), "end", ends, "to", "id", rest)
+        done.append(far.select("id", F.col("to_root").alias("root_id"), (F.col("depth") + F.col("dist")).alias("depth"), F.lit(None).cast("array<string>").alias("path")))
+        return _finish(done, walked.where("end is null").select("id", "root_id", "on_cycle"), node, paths)
+    if rest and deep:
         far, left = _jump(left, done[-1], paths)
         done += far
-    return _finish(done, left, node, paths)
-
-
-def _finish(done: list[DataFrame], rest: DataFrame, node: str, paths: bool) -> DataFrame:
+    return _finish(done, _cycles(left) if rest and not left.isEmpty() else None, node, paths)
+
+
+def _copied(one: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """``one`` with a copy for each salt of its key."""
+    if hot is None:
+        return one.withColumn("copy", F.lit(0).cast("long"))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1))
+    return one.join(F.broadcast(hot), F.col(key) == F.col("hot"), "left").withColumn("copy", copies).drop("hot", "salts")
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of one task followed to their ends by doubling: (id, end, dist, null, null), the parent that is not among the ids and how
+    far it is; for a node on or behind a cycle (id, null, null, smallest node of the cycle, whether it is on it)."""
+    links = [pair for b in batches for pair in zip(*(c.to_pylist() for c in b.columns))]
+    if not links:
+        return
+    names = sorted(child for child, _ in links)  # by code point
+    number = {name: i for i, name in enumerate(names)}
+    outside: list[str | None] = [None] * len(names)
+    to = np.arange(len(names))
+    for child, up in links:
+        i = number[child]
+        to[i] = number.get(up, i)
+        outside[i] = up if up not in number else None
+    last = np.array([o is not None for o in outside])
+    far, dist, least, ring = to.copy(), (~last).astype(np.int64), np.arange(len(names)), to.copy()
+    for _ in range(len(names).bit_length() + 1):
+        dist += dist[far]
+        far = far[far]
+        least = np.minimum(least, least[ring])
+        ring = ring[ring]
+    ended = last[far]
+    cyclic = np.zeros(len(names), bool)
+    cyclic[far[~ended]] = True  # so many steps lead from any node onto its cycle, and round the whole of it
+    out = [
+        [outside[t] if e else None for t, e in zip(far.tolist(), ended.tolist())], [d + 1 if e else None for d, e in zip(dist.tolist(), ended.tolist())],
+        [None if e else names[k] for k, e in zip(least[far].tolist(), ended.tolist())], [None if e else c for c, e in zip(cyclic.tolist(), ended.tolist())],
+    ]
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_())
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array(c, k) for c, k in zip(out, kinds))], names=["id", "end", "dist", "root_id", "on_cycle"])
+
+
+def _finish(done: list[DataFrame], cycles: DataFrame | None, node: str, paths: bool) -> DataFrame:
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
     out = out.withColumns({"cycle": F.lit(False), "on_cycle": F.lit(False)})
-    if not rest.isEmpty():
-        out = out.unionByName(_cycles(rest).select("id", "root_id", F.lit(-1).alias("depth"), F.lit(None).cast("array<string>").alias("path"), F.lit(True).alias("cycle"), "on_cycle"))
+    if cycles is not None:
+        out = out.unionByName(cycles.select("id", "root_id", F.lit(-1).alias("depth"), F.lit(None).cast("array<string>").alias("path"), F.lit(True).alias("cycle"), "on_cycle"))
     return out.select(F.col("id").alias(node), "root_id", "depth", "cycle", "on_cycle", *(["path"] if paths else []))
 
 
 def _jump(left: DataFrame, base: DataFrame, paths: bool) -> tuple[list[DataFrame], DataFrame]:
     """Nodes below the last walked level, resolved by doubling; and those no jump ever resolves.
 
-    ``base`` is the last walked level: every unreached chain that ends at a root passes through it.
-    Distances of such nodes have no holes, so a round that resolves nothing leaves only cycles.
+    ``base`` is the last walked level: every unreached chain that ends at a root passes through it. A
+    node whose pointer ends at a node resolved last is resolved; a pointer that ends at a node still open
+    is lengthened by that node's own. So pointers only end at open nodes and at those resolved last, and
+    a round that resolves none leaves only cycles.
     """
-    ends = base.select(F.col("id").alias("end"), F.col("root_id").alias("end_root"), F.col("depth").alias("end_depth"), F.col("path").alias("end_path"))
-    path = F.array("id") if paths else F.lit(None).cast("array<string>")
-    open_ = left.select("id", F.col("parent").alias("up"), F.lit(1).alias("dist"), path.alias("path"))
-    done: list[DataFrame] = []
-    first = True
+    none = F.lit(None).cast("array<string>")
+    open_ = left.select("id", F.col("parent").alias("up"), F.lit(1).alias("dist"), (F.array("id") if paths else none).alias("path"), F.col("parent").alias("origin"))
+    whole = F.concat("to_path", "path") if paths else F.col("path")
+    last, done, rows = base, [], left.count()
     while True:
-        hit = open_.join(ends, F.col("up") == F.col("end")) if first else None
-        if first:
-            grown = F.concat("end_path", "path") if paths else F.col("path")
-            fresh = cut(hit.select("id", F.col("end_root").alias("root_id"), (F.col("end_depth") + F.col("dist")).alias("depth"), grown.alias("path")))
-        else:
-            fresh = found
-        if fresh.isEmpty():
-            return done, left if first else open_.select("id", F.col("origin").alias("parent"))
-        done.append(fresh)
-        if first:
-            open_ = open_.join(fresh.select(F.col("id").alias("gone")), F.col("id") == F.col("gone"), "left_anti")
-            open_ = cut(open_.withColumn("origin", F.col("up")))
-            first = False
-        # a pointer whose target is resolved resolves its node; any other pointer is lengthened by its target's
-        resolved = done[0]
-        for x in done[1:]:
-            resolved = resolved.unionByName(x)
-        via = resolved.select(F.col("id").alias("to"), "root_id", "depth", F.col("path").alias("to_path"))
-        grown = F.concat("to_path", "path") if paths else F.col("path")
-        found = cut(
-            open_.join(via, F.col("up") == F.col("to")).select("id", "root_id", (F.col("depth") + F.col("dist")).alias("depth"), grown.alias("path"))
-        )
-        if found.isEmpty():
-            return done, open_.select("id", F.col("origin").alias("parent"))
-        still = open_.join(found.select(F.col("id").alias("gone")), F.col("id") == F.col("gone"), "left_anti")
-        hop = open_.select(F.col("id").alias("to"), F.col("up").alias("to_up"), F.col("dist").alias("to_dist"), F.col("path").alias("to_path"))
-        longer = still.join(hop, F.col("up") == F.col("to")).select(
-            "id", F.col("to_up").alias("up"), (F.col("dist") + F.col("to_dist")).alias("dist"),
-            (F.concat("to_path", "path") if paths else F.col("path")).alias("path"), "origin",
-        )
-        open_ = cut(longer)
+        ends = last.select(F.col("id").alias("to"), F.col("root_id"), F.col("depth"), F.col("path").alias("to_path"))
+        step = cut(skew_join(open_, "up", ends, "to", "id", rows, "left").select("id", "root_id", (F.col("depth") + F.col("dist")).alias("depth"), F.when(F.col("to").isNull(), F.col("path")).otherwise(whole).alias("path"), "up", "dist", "origin"))
+        last, still = step.where("root_id is not null").select("id", "root_id", "depth", "path"), step.where("root_id is null")
+        if last.isEmpty():
+            return done, still.select("id", F.col("origin").alias("parent"))
+        done.append(last)
+        hop = still.select(F.col("id").alias("to"), F.col("up").alias("to_up"), F.col("dist").alias("to_dist"), F.col("path").alias("to_path"))
+        longer = skew_join(still, "up", hop, "to", "id", rows, "left")
+        open_ = cut(longer.select("id", F.coalesce("to_up", "up").alias("up"), (F.col("dist") + F.coalesce("to_dist", F.lit(0))).alias("dist"), F.when(F.col("to").isNull(), F.col("path")).otherwise(whole).alias("path"), "origin"))
 
 
 def _cycles(rest: DataFrame) -> DataFrame:
@@ -125,10 +156,10 @@ def _cycles(rest: DataFrame) -> DataFrame:
     cycles. The smallest node of each cycle is found by doubling along the cycle itself.
     """
     far = rest.select("id", F.col("parent").alias("up"))
-    targets = None
+    targets, rows = None, rest.count()
     while True:
         hop = far.select(F.col("id").alias("to"), F.col("up").alias("to_up"))
-        far = cut(far.join(hop, F.col("up") == F.col("to")).select("id", F.col("to_up").alias("up")))
+        far = cut(skew_join(far, "up", hop, "to", "id", rows).select("id", F.col("to_up").alias("up")))
         count = far.select("up").distinct().count()
         if count == targets:
             break
