@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from pagewright.functions.jsonindex import ARR, OBJ, JsonIndex, decoded
@@ -21,7 +22,7 @@ CHILDREN = {
     "entity": ("entities", ("name",)),
 }
 FLAT_SCHEMA = "child string, child_no int, parent_no int, parent_key string, child_key string, fields map<string,string>"
-_MAX_ENCODINGS = 3
+TABLE_SCHEMA = "path string, row_no int, parent_no int, place int, fields map<string,string>"
 #: Bytes of JSON indexed at once; an index takes some forty times its text.
 _INDEX_BYTES = 2_000_000
 
@@ -69,25 +70,28 @@ def _children(ix: JsonIndex) -> Iterator[tuple]:
 
 def flatten_batch(payloads: list[str | None], fields: bool = True) -> Iterator[tuple]:
     """(row, kind, child_no, parent_no, parent_key, child_key, fields) for each child of each complete payload."""
+    return _indexed(payloads, lambda ix, rows: _flatten(ix, rows, fields))
+
+
+def _indexed(payloads: list[str | None], use: Callable[[JsonIndex, list[int]], Iterator[tuple]]) -> Iterator[tuple]:
+    """What ``use`` makes of the index of each slice of bounded size, and of what is encoded in it."""
     rows, texts, size = [], [], 0
     for i, p in enumerate(payloads):
         if p is not None:
             t = decoded(p)
             if rows and size + len(t) > _INDEX_BYTES:
-                yield from _flatten_slice(rows, texts, fields)
+                yield from _slice(rows, texts, use)
                 rows, texts, size = [], [], 0
             rows.append(i)
             texts.append(t)
             size += len(t)
-    yield from _flatten_slice(rows, texts, fields)
+    yield from _slice(rows, texts, use)
 
 
-def _flatten_slice(rows: list[int], texts: list[bytes], fields: bool) -> Iterator[tuple]:
-    for _ in range(_MAX_ENCODINGS):
-        if not rows:
-            return
+def _slice(rows: list[int], texts: list[bytes], use: Callable) -> Iterator[tuple]:
+    while rows:  # each encoding taken off leaves a shorter text
         ix = JsonIndex(texts)
-        yield from _flatten(ix, rows, fields)
+        yield from use(ix, rows)
         again = np.flatnonzero(ix.only_string).tolist()
         rows, texts = [rows[i] for i in again], [decoded(json.loads(texts[i])) for i in again]
 
@@ -151,30 +155,77 @@ def flatten_records(df: DataFrame, payload: str = "payload", fields: bool = True
     region around it, null below the record itself), parent_key, child_key and, unless ``fields`` is
     off, the child's scalar members. Other columns are repeated; a column that has the name of an
     added one is dropped. Null, empty, cut-off or otherwise invalid payloads give no row; a leading
-    byte-order mark and payloads encoded twice are seen through; null entries are no children. Equal
+    byte-order mark and any number of encodings are seen through; null entries are no children. Equal
     rows each give their own children.
     """
-    added = [c.split()[0] for c in FLAT_SCHEMA.split(", ")]
-    keep = [c for c in df.columns if c not in added and c != payload]
-    df = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{payload}`").cast("string").alias("__payload"))
-    df = spread(df, "__payload")
-    out = df.select(*[F.col(f"`{c}`") for c in keep]).schema
-    for f in StructType.fromDDL(FLAT_SCHEMA):
-        if fields or f.name != "fields":
-            out = out.add(f)
+    schema = FLAT_SCHEMA if fields else FLAT_SCHEMA.split(", fields")[0]
+    return _with_rows(df, payload, schema, lambda p: flatten_batch(p, fields))
+
+
+def _with_rows(df: DataFrame, payload: str, schema: str, make: Callable[[list[str | None]], Iterator[tuple]]) -> DataFrame:
+    """The other columns of ``df`` with each row (number of the payload, columns of ``schema``) that is made of its payload."""
+    kinds = StructType.fromDDL(schema)
+    keep = [c for c in df.columns if c not in kinds.names and c != payload]
+    df = spread(df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{payload}`").cast("string").alias("__payload")), "__payload")
+    out = StructType([*df.select(*[F.col(f"`{c}`") for c in keep]).schema, *kinds])
+    arrow = [f.type for f in to_arrow_schema(kinds)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = list(flatten_batch(b.column(b.num_columns - 1).to_pylist(), fields))
+            got = list(make(b.column(b.num_columns - 1).to_pylist()))
             if not got:
                 continue
             row, *cols = zip(*got)
             take = pa.array(row, pa.int32())
             arrays = [b.column(i).take(take) for i in range(len(keep))]
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())]
-            for c, t in zip(cols[: None if fields else -1], kinds):
+            for c, t in zip(cols, arrow):
                 arrays.append(pa.array([None if x is None else list(x.items()) for x in c], t) if pa.types.is_map(t) else pa.array(c, t))
-            yield pa.RecordBatch.from_arrays(arrays, names=keep + added[: len(arrays) - len(keep)])
+            yield pa.RecordBatch.from_arrays(arrays, names=keep + kinds.names)
 
     return df.mapInArrow(run, out)
 
+
+def _tables(ix: JsonIndex, rows: list[int]) -> Iterator[tuple]:
+    """(row, path, row_no, parent_no, place, fields) of every object that is a record or stands in an array, and of every scalar in an array."""
+    v = np.flatnonzero(ix.value & ix.ok[ix.rec])
+    up, kind = ix.cont, ix.kind
+    listed = (up >= 0) & (kind[np.maximum(up, 0)] == ARR)
+    is_row = ((listed & (kind != ARR)) | ((up < 0) & (kind == OBJ))) & ix.value
+    near = up.copy()
+    while True:  # to the nearest row around each value
+        go = (near >= 0) & ~is_row[np.maximum(near, 0)]
+        if not go.any():
+            break
+        near[go] = up[near[go]]
+    path: dict[int, str] = {-1: ""}
+    made: dict[int, tuple] = {}
+    numbers = dict.fromkeys(range(len(rows)), 0)
+    places: dict[int, int] = {}
+    for t, c, k, row, own, r in zip(*(x[v].tolist() for x in (np.arange(kind.size), up, kind, is_row, near, ix.rec))):
+        name = ix.key_of[t]
+        path[t] = path[c] if name < 0 else (f"{path[c]}." if path[c] else "") + ix.text(int(name))
+        if listed[t]:
+            places[c] = places.get(c, -1) + 1
+        scalar = k not in (OBJ, ARR)
+        text = ix.text(t) if scalar else None
+        if row:
+            if scalar and text is None:  # a null entry
+                continue
+            made[t] = (rows[r], path[t], numbers[r], made[own][2] if own in made else None, places.get(c) if listed[t] else None, {"value": text} if scalar else {})
+            numbers[r] += 1
+        elif scalar and own in made:
+            skip = len(path[own]) + (path[own] != "")
+            made[own][5][path[t][skip:]] = text
+    yield from made.values()
+
+
+def flatten_tables(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """Records of any shape as related flat tables: one row for each record, each object in an array and each scalar in an array.
+
+    Adds path (the keys that lead there, arrays passed over; it names the table and is empty for the
+    record itself), row_no (number of the row in its payload), parent_no (that of the row around it),
+    place (its place in its array) and fields (scalar members, those of inner objects under dotted names;
+    ``value`` for a scalar). Lists of lists are one list; null entries are no rows; a repeated key has
+    its last value. Otherwise as ``flatten_records``.
+    """
+    return _with_rows(df, payload, TABLE_SCHEMA, lambda p: _indexed(p, _tables))

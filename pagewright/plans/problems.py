@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.operators.hierarchy import descendants, resolve_hierarchy
 from pagewright.operators.intervals import covered_and_gaps
-from pagewright.operators.nested import flatten_records
+from pagewright.operators.nested import flatten_records, flatten_tables
 from pagewright.runtime import table
 
 
@@ -22,6 +22,12 @@ def p1_records(spark: SparkSession, d: str) -> DataFrame:
     return flatten_records(raw).withColumn("fields", F.to_json("fields"))
 
 
+def p1_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Every raw record of any shape as related tables, with how many scalar members each row has."""
+    raw = table(spark, d, "raw_records").select("record_id", "payload").distinct()
+    return flatten_tables(raw).select("record_id", "path", "row_no", "parent_no", "place", F.size("fields").alias("members")).distinct()
+
+
 def p1_regions(spark: SparkSession, d: str) -> DataFrame:
     """Regions of the saved page sessions, one row each, with the session as parent."""
     s = table(spark, d, "region_sessions").selectExpr("session_id", "book_id", "file_name", "posexplode(regions) as (region_no, r)")
@@ -66,7 +72,7 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return descendants(_resolved(spark, d, True), "segment_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_regions, p1_spans, p1_entities, p3_found, p3_coverage, p5_found, p5_paths, p5_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_tables, p1_regions, p1_spans, p1_entities, p3_found, p3_coverage, p5_found, p5_paths, p5_descendants)}
 
 _P3 = """
 with s as (select distinct book_id, x.page as page, x.rect_id as rect_id, cast(x."start" as bigint) as a, cast(x."end" as bigint) as b
@@ -114,8 +120,20 @@ named as (select record_id, id, 'region' as child, k from region
   union all select e.record_id, e.id, 'entity', coalesce(n.v, m.v) from kids e left join member n on n.record_id = e.record_id and n.parent = e.id and n.key = 'name' left join member m on m.record_id = e.record_id and m.id = e.id and m.type = 'VARCHAR' where e.under = 'entities')
 select distinct n.record_id, n.child, coalesce(a.k, '') as parent_key, n.k as child_key from named n left join above a on a.record_id = n.record_id and a.id = n.id where n.k is not null
 """
+_P1_TABLES = _P1[: _P1.index("tree as")].replace("select record_id, cast(t as json) as j from opened", "select record_id, row_number() over () as k, cast(t as json) as j from opened") + r"""
+tree as (select record_id, k, n.id, n.parent, n.key, n.type, n.atom from docs, json_tree(docs.j) n),
+node as (select t.*, coalesce(p.type, '') as under, (t.parent is null and t.type = 'OBJECT') or (coalesce(p.type, '') = 'ARRAY' and t.type not in ('ARRAY', 'NULL')) as is_row,
+ case when coalesce(p.type, '') = 'ARRAY' then cast(row_number() over (partition by t.k, t.parent order by t.id) - 1 as int) end as place from tree t left join tree p on p.k = t.k and p.id = t.parent),
+walk as (select k, id, '' as path, cast(null as bigint) as own, is_row from node where parent is null
+  union all select c.k, c.id, case when c.under = 'ARRAY' then w.path when w.path = '' then c.key else w.path || '.' || c.key end, case when w.is_row then cast(w.id as bigint) else w.own end, c.is_row from walk w join node c on c.k = w.k and c.parent = w.id),
+numbered as (select n.record_id, n.k, n.id, n.type, w.path, w.own, n.place, cast(row_number() over (partition by n.k order by n.id) - 1 as int) as row_no from node n join walk w on w.k = n.k and w.id = n.id where n.is_row),
+held as (select w.k, w.own, count(distinct w.path) as members from node n join walk w on w.k = n.k and w.id = n.id where not n.is_row and n.type not in ('OBJECT', 'ARRAY') and n.under = 'OBJECT' and w.own is not null group by 1, 2)
+select distinct a.record_id, a.path, a.row_no, p.row_no as parent_no, a.place, cast(case when a.type <> 'OBJECT' then 1 else coalesce(h.members, 0) end as int) as members
+ from numbered a left join numbered p on p.k = a.k and p.id = a.own left join held h on h.k = a.k and h.own = a.id
+"""
 SQL = {
     "p1_found": _P1,
+    "p1_tables": _P1_TABLES,
     "p1_regions": """select distinct session_id, book_id, file_name, region_no, r.rectangle.rect_id as rect_id, r.rectangle.draw_order as draw_order,
  r.rectangle.x as x, r.rectangle.y as y, r.rectangle.width as width, r.rectangle.height as height, r.text as text, r.ocr_status as ocr_status, r.ocr_error as ocr_error
  from (select session_id, book_id, file_name, unnest(regions) as r, cast(generate_subscripts(regions, 1) - 1 as int) as region_no from region_sessions)""",

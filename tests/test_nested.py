@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pagewright.functions.jsonindex import JsonIndex, decoded
-from pagewright.operators.nested import flatten_batch, flatten_records
+from pagewright.operators.nested import flatten_batch, flatten_records, flatten_tables
 
 
 def found(payload):
@@ -70,3 +70,24 @@ def test_rows_keep_their_columns_and_parents(spark):
     assert [(r.id, r.child, r.child_no, r.parent_no, r.parent_key, r.child_key) for r in out] == [(1, "region", 0, None, "", "a")] * 2 + [(1, "region", 1, 0, "a", "b")] * 2
     assert out[0].fields == {"text": "t", "rect_id": "a", "x": "1"}
     assert flatten_records(df.limit(0)).count() == 0
+
+
+def test_any_number_of_encodings():
+    text = json.dumps({"entities": ["x"]})
+    for _ in range(6):
+        assert found(text) == [("entity", "", "x")]
+        text = json.dumps(text)
+
+
+def test_tables_of_any_shape(spark):
+    whole = {"id": 7, "box": {"at": {"x": 1}, "name": None}, "parts": [{"k": "a", "tags": ["p", None, "q"], "sub": [{"z": True}, [{"z": False}]]}, None, {"k": "b", "tags": []}], "path": "kept"}
+    rows = [(1, json.dumps(whole), "c"), (2, json.dumps([[{"k": 1}], 5]), "c"), (3, '{"a": [', "c"), (4, None, "c"), (5, "", "c"), (6, json.dumps(json.dumps({"a": 1})), "c"), (7, "3", "c")]
+    df = spark.createDataFrame(rows, "id int, payload string, path string")
+    got = {(r.id, r.row_no): (r.path, r.parent_no, r.place, r.fields) for r in flatten_tables(df).collect()}
+    assert got == {
+        (1, 0): ("", None, None, {"id": "7", "box.at.x": "1", "box.name": None, "path": "kept"}),
+        (1, 1): ("parts", 0, 0, {"k": "a"}), (1, 2): ("parts.tags", 1, 0, {"value": "p"}), (1, 3): ("parts.tags", 1, 2, {"value": "q"}),
+        (1, 4): ("parts.sub", 1, 0, {"z": "true"}), (1, 5): ("parts.sub", 1, 0, {"z": "false"}), (1, 6): ("parts", 0, 2, {"k": "b"}),
+        (2, 0): ("", None, 0, {"k": "1"}), (2, 1): ("", None, 1, {"value": "5"}), (6, 0): ("", None, None, {"a": "1"}),
+    }
+    assert flatten_tables(df.limit(0)).count() == 0 and flatten_tables(df).columns == ["id", "path", "row_no", "parent_no", "place", "fields"]
