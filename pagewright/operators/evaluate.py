@@ -13,6 +13,8 @@ from pagewright.operators.intervals import covered_and_gaps
 
 #: Query vectors that travel to every task at once; more are searched in further blocks.
 BLOCK = 4096
+#: Similarities computed at once.
+CELLS = 4_000_000
 
 
 def span_set(spans: Column) -> Column:
@@ -55,19 +57,26 @@ def nearest(queries: DataFrame, vectors: DataFrame, ident: str, vector: str, k:
     for ids, matrix in _blocks(queries.select(F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")):
 
         def best(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
-            kept = None
+            kept = pd.DataFrame({"query": np.zeros(0, int), "id": np.zeros(0, ids.dtype), "sim": np.zeros(0)})
+            floor = np.full(len(ids), -np.inf)  # of each query the similarity of its k-th best so far
+            step = max(1, CELLS // len(ids))
             for b in batches:
-                if not len(b):
-                    continue
-                m = np.stack(b["v"].to_numpy())
-                sim = np.round(_unit(m) @ matrix.T, 9)
-                own = b["id"].to_numpy()
-                rows = pd.DataFrame({"query_id": np.tile(ids, len(own)), "id": np.repeat(own, len(ids)), "sim": sim.ravel()})
-                rows = rows[rows["query_id"] != rows["id"]]
-                kept = rows if kept is None else pd.concat([kept, rows])
-                kept = kept.sort_values(["sim", "id"], ascending=[False, True]).groupby("query_id").head(k)
-            if kept is not None:
-                yield kept
+                for at in range(0, len(b), step):
+                    own = b["id"].to_numpy()[at : at + step]
+                    sim = np.round(_unit(np.stack(b["v"].to_numpy()[at : at + step])) @ matrix.T, 9)
+                    if len(own) > k + 1:  # the query itself may be among them
+                        floor_here = np.maximum(floor, -np.partition(-sim, k, axis=0)[k])
+                    else:
+                        floor_here = floor
+                    row, query = np.nonzero(sim >= floor_here)
+                    new = pd.DataFrame({"query": query, "id": own[row], "sim": sim[row, query]})
+                    kept = pd.concat([kept, new[new["id"].to_numpy() != ids[query]]])
+                    kept = kept.sort_values(["sim", "id"], ascending=[False, True]).groupby("query").head(k)
+                    full = kept.groupby("query")["sim"].agg(["size", "min"])
+                    full = full[full["size"] == k]
+                    floor[full.index.to_numpy()] = full["min"].to_numpy()
+            if len(kept):
+                yield pd.DataFrame({"query_id": ids[kept["query"].to_numpy(int)], "id": kept["id"], "sim": kept["sim"]})
 
         part = given.mapInPandas(best, f"query_id {kind}, id {kind}, sim double")
         out = part if out is None else out.unionByName(part)
@@ -97,13 +106,32 @@ def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def ranking_scores(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """Per query recall_at_k, reciprocal_rank and ndcg_at_k. ranked: (query_id, rank, item); relevant: (query_id, item).
 
-    A query without relevant items, or with no ranking, scores 0.
+    A query without relevant items is left out, one with no ranking scores 0.
     """
-    if k < 1:
-        raise ValueError("k must be 1 or more")
     rel = relevant.distinct()
     total = rel.groupBy("query_id").agg(F.count("item").alias("relevant"))
-    hits = ranked.where(F.col("rank") <= k).join(rel, ["query_id", "item"], "left_semi")
+    return _scores(_top(ranked, k).join(rel, ["query_id", "item"], "left_semi"), total, k)
+
+
+def label_scores(ranked: DataFrame, queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """The same where every other item of the query's label is relevant. queries: (query_id, label); items: (item, label).
+
+    Relevant items are counted per label and looked up for the ranked ones only, never listed.
+    """
+    size = items.groupBy("label").agg(F.count("*").alias("n"))
+    own = queries.where("label is not null").join(items.select(F.col("item").alias("query_id"), F.lit(1).alias("own")), "query_id", "left")
+    total = own.join(size, "label").select("query_id", (F.col("n") - F.coalesce("own", F.lit(0))).alias("relevant"))
+    labelled = _top(ranked, k).join(queries, "query_id").join(items.withColumnRenamed("label", "found"), "item")
+    return _scores(labelled.where("label = found and query_id <> item"), total, k)
+
+
+def _top(ranked: DataFrame, k: int) -> DataFrame:
+    if k < 1:
+        raise ValueError("k must be 1 or more")
+    return ranked.where(F.col("rank") <= k)
+
+
+def _scores(hits: DataFrame, total: DataFrame, k: int) -> DataFrame:
     gain = hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("relevant"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
     per = total.where("relevant > 0").join(gain, "query_id", "left")

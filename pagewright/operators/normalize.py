@@ -12,6 +12,8 @@ TABLE_SPACING = r"[ 　]{2,}"
 SHORT_LINE = 4
 JOIN_RULE = "ja-word-wrap-v1"
 _BREAK = r"\r\n|\r|\n"
+#: Lines whose offsets are added up in one go.
+PART_LINES = 256
 
 
 def physical_lines(text: Column) -> Column:
@@ -20,15 +22,31 @@ def physical_lines(text: Column) -> Column:
     breaks = F.regexp_extract_all(text, F.lit(f"({_BREAK})"), F.lit(1))
     pairs = F.zip_with(parts, breaks, lambda t, b: F.struct(t.alias("text"), F.coalesce(b, F.lit("")).alias("line_break")))
     pairs = F.filter(pairs, lambda p: (p["text"] != "") | (p["line_break"] != ""))
+    size = lambda p: F.length(p["text"]) + F.length(p["line_break"])
     kind = "array<struct<text:string,start:int,end:int,line_break:string>>"
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("lines"))
 
-    def step(done: Column, p: Column) -> Column:
-        end = done["at"] + F.length(p["text"])
-        line = F.struct(p["text"].alias("text"), done["at"].alias("start"), end.alias("end"), p["line_break"].alias("line_break"))
-        return F.struct((end + F.length(p["line_break"])).alias("at"), F.concat(done["lines"], F.array(line)).alias("lines"))
+    def placed(part: Column, start: Column) -> Column:
+        """The lines of a part that begins at ``start``: each step copies what is done, so parts are short."""
 
-    return F.aggregate(pairs, first, step, lambda done: done["lines"])
+        def step(done: Column, p: Column) -> Column:
+            end = done["at"] + F.length(p["text"])
+            line = F.struct(p["text"].alias("text"), done["at"].alias("start"), end.alias("end"), p["line_break"].alias("line_break"))
+            return F.struct((done["at"] + size(p)).alias("at"), F.concat(done["lines"], F.array(line)).alias("lines"))
+
+        return F.aggregate(part, F.struct(start.alias("at"), F.array().cast(kind).alias("lines")), step, lambda done: done["lines"])
+
+    def of_parts(cut: Column) -> Column:
+        chars = lambda part: F.aggregate(part, F.lit(0), lambda n, p: n + size(p))
+        starts = F.aggregate(cut, F.array(F.lit(0)), lambda at, part: F.concat(at, F.array(F.element_at(at, -1) + chars(part))))
+        return _bound(starts, lambda at: F.flatten(F.transform(cut, lambda part, i: placed(part, F.get(at, i)))))
+
+    numbers = lambda p: F.sequence(F.lit(0), F.greatest(F.ceil(F.size(p) / PART_LINES).cast("int") - 1, F.lit(0)))
+    return _bound(pairs, lambda p: _bound(F.transform(numbers(p), lambda k: F.slice(p, k * PART_LINES + 1, F.lit(PART_LINES))), of_parts))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def join_decision(left: Column, right: Column) -> Column:

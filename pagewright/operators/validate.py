@@ -32,11 +32,17 @@ def depth_runs(spans: DataFrame, regions: DataFrame) -> DataFrame:
     return runs.where("b is not null and b > a")
 
 
-def _islands(runs: DataFrame) -> DataFrame:
+def _islands(runs: DataFrame, *more: str) -> DataFrame:
     """Neighbouring stretches joined into maximal ones."""
-    w = Window.partitionBy(*KEYS).orderBy("a")
+    w = Window.partitionBy(*KEYS, *more).orderBy("a")
     marked = runs.withColumn("new", F.when(F.lag("b").over(w) == F.col("a"), 0).otherwise(1))
-    return marked.withColumn("i", F.sum("new").over(w)).groupBy(*KEYS, "i").agg(F.min("a").alias("start"), F.max("b").alias("end")).drop("i")
+    return marked.withColumn("i", F.sum("new").over(w)).groupBy(*KEYS, *more, "i").agg(F.min("a").alias("start"), F.max("b").alias("end")).drop("i")
+
+
+def flaws(runs: DataFrame) -> DataFrame:
+    """Gaps and overlaps at once, told apart by their code."""
+    code = F.when(F.col("depth") == 0, "source_gap").when(F.col("depth") >= 2, "source_overlap")
+    return _islands(runs.withColumn("code", code).where("code is not null"), "code")
 
 
 def gaps(runs: DataFrame) -> DataFrame:
@@ -88,11 +94,10 @@ def errors(segments: DataFrame, spans: DataFrame, regions: DataFrame) -> DataFra
     """All errors as rows: code, segment_id, page, rect_id, start, end. A gap or overlap is put to the first segment of its region."""
     runs = depth_runs(spans, regions)
     first = spans.groupBy(*KEYS).agg(F.min_by("segment_id", F.struct("start", "segment_id")).alias("segment_id"))
-    blank = lambda d, code, **k: d.select(F.lit(code).alias("code"), "segment_id", *[(k.get(c) if c in k else F.col(c)).cast(t).alias(c) for c, t in (("page", "int"), ("rect_id", "string"), ("start", "int"), ("end", "int"))])
+    blank = lambda d, code, **k: d.select((F.lit(code) if code else F.col("code")).alias("code"), "segment_id", *[(k.get(c) if c in k else F.col(c)).cast(t).alias(c) for c, t in (("page", "int"), ("rect_id", "string"), ("start", "int"), ("end", "int"))])
     none = F.lit(None)
     parts = [
-        blank(gaps(runs).join(first, KEYS, "left"), "source_gap"),
-        blank(overlaps(runs).join(first, KEYS, "left"), "source_overlap"),
+        blank(flaws(runs).join(first, KEYS, "left"), None),
         blank(invalid_references(spans, regions), "invalid_source_ref"),
         blank(reversals(segments), "source_order_reversal", start=none, end=none),
         blank(parent_cycles(segments), "parent_cycle", page=none, rect_id=none, start=none, end=none),
