@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.operators.pages import latest
@@ -46,19 +46,56 @@ def queue(segments: DataFrame, images: DataFrame) -> DataFrame:
     items = around.where("review_status = 'required'").join(images, ["book_id", "page"], "left")
     given = reasons(F.col("processing"))
     given = F.when(F.size(given) == 0, F.array(F.lit(NO_REASON))).otherwise(given)
-    return items.select(review_id().alias("review_id"), "segment_id", given.alias("reasons"), severity(given).alias("severity"), "page", "image_name", "raw_text", F.col("before").alias("context_before"), F.col("after").alias("context_after"))
+    of = lambda field: F.array_sort(F.array_distinct(F.filter(F.transform("source_spans", lambda x: x[field]), lambda v: v.isNotNull())))
+    return items.select(
+        review_id().alias("review_id"), "book_id", "segment_id", given.alias("reasons"), severity(given).alias("severity"), "page", "rect_id", "first_start", "image_name",
+        of("page").alias("pages"), of("rect_id").alias("rect_ids"), "review_status", "raw_text", "normalized_text", F.col("before").alias("context_before"), F.col("after").alias("context_after"),
+    )
+
+
+# The texts of a review list.
+QUEUE_TITLE, QUEUE_COUNT, QUEUE_EMPTY, NONE, UNKNOWN = "# レビューキュー", "件数", "対象項目はありません。", "(なし)", "(不明)"
+FIELD_NAMES = ["review_id", "segment_id", "危険度 (severity)", "理由 (reasons)", "書籍 (book_id)", "ページ (page)", "rect_id", "元画像名 (image_name)", "status"]
+TEXT_NAMES = ["原文 (raw_text)", "正規化案 (normalized_text)", "前文脈 (context_before)", "後文脈 (context_after)"]
+EXAMPLE_NAMES = {"approved": "承認時に記録する JSON 例", "rejected": "却下時に記録する JSON 例"}
+EXAMPLE = {"input_hash": "<source-sha256-or-input-hash>", "processing_version": "<pipeline-or-prompt-version>", "decided_by": "<reviewer-id>", "comment": ""}
+
+
+def decision_example(status: str) -> Column:
+    """What to record for a verdict on an item, as indented JSON."""
+    quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1)
+    members = {"review_id": F.col("review_id"), "segment_id": F.col("segment_id"), "status": F.lit(status)} | {k: F.lit(v) for k, v in EXAMPLE.items()}
+    return F.concat(F.lit("{\n"), F.concat_ws(",\n", *[F.concat(F.lit(f'  "{k}": '), quoted(v)) for k, v in members.items()]), F.lit("\n}"))
+
+
+def numbered(items: DataFrame, group: str, page: str, order: list[str], to: str) -> DataFrame:
+    """Adds the place of each row in its group, from 1, by page and order: numbers inside a page, and a running sum over pages."""
+    own = Window.partitionBy(group, page).orderBy(*order)
+    sizes = items.groupBy(group, page).agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = items.withColumn("__in", F.row_number().over(own)).alias("i").join(before.select(F.col(group).alias("__g"), F.col(page).alias("__p"), "__before"), F.col(group).eqNullSafe(F.col("__g")) & F.col(page).eqNullSafe(F.col("__p")))
+    return rows.withColumn(to, (F.col("__in") + F.col("__before")).cast("int")).drop("__in", "__before", "__g", "__p")
 
 
 def as_markdown(items: DataFrame) -> DataFrame:
-    """review_id and one Markdown section per item."""
-    quoted = lambda c: F.concat(F.lit("```text\n"), F.when(F.coalesce(c, F.lit("")) == "", "(なし)").otherwise(c), F.lit("\n```"))
-    decision = lambda status: F.to_json(F.struct("review_id", "segment_id", F.lit(status).alias("status"), F.lit("").alias("comment")), {"ignoreNullFields": "false"})
-    text = F.concat_ws(
-        "\n", F.concat(F.lit("## "), F.col("review_id")), F.concat(F.lit("- severity: "), F.col("severity")), F.concat(F.lit("- reasons: "), F.array_join("reasons", ", ")),
-        F.concat(F.lit("- page: "), F.coalesce(F.col("page").cast("string"), F.lit(""))), F.concat(F.lit("- image: "), F.coalesce("image_name", F.lit("(なし)"))),
-        quoted(F.col("raw_text")), quoted(F.col("context_before")), quoted(F.col("context_after")), decision("approved"), decision("rejected"),
-    )
-    return items.select("review_id", text.alias("markdown"))
+    """(book_id, item, markdown): per book a heading (item 0) and one numbered section per item of its queue, each ending in an empty line."""
+    fence = lambda kind, c: [F.lit(f"```{kind}"), c, F.lit("```"), F.lit("")]
+    code = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
+    book = book_of(F.col("review_id"))
+    values = [
+        code(F.col("review_id")), code(F.col("segment_id")), F.col("severity"), F.array_join("reasons", ", "), F.when(book == "", UNKNOWN).otherwise(book), F.array_join(F.col("pages").cast("array<string>"), ", "),
+        F.array_join("rect_ids", ", "), F.coalesce(F.nullif("image_name", F.lit("")), F.lit(NONE)), code(F.col("review_status")),
+    ]
+    given = [F.coalesce("raw_text", F.lit("")), F.coalesce("normalized_text", F.lit("")), *[F.coalesce(F.nullif(c, F.lit("")), F.lit(NONE)) for c in ("context_before", "context_after")]]
+    lines = [F.concat(F.lit("## "), F.col("item").cast("string"), F.lit(". "), F.col("review_id")), F.lit("")]
+    lines += [F.concat(F.lit(f"- **{name}**: "), v) for name, v in zip(FIELD_NAMES, values)] + [F.lit("")]
+    for name, v in zip(TEXT_NAMES, given):
+        lines += [F.lit(f"### {name}"), F.lit(""), *fence("text", v)]
+    for status, name in EXAMPLE_NAMES.items():
+        lines += [F.lit(f"### {name}"), F.lit(""), *fence("json", decision_example(status))]
+    sections = numbered(items, "book_id", "page", ["rect_id", "first_start", "segment_id"], "item").select("book_id", "item", F.concat_ws("\n", *lines).alias("markdown"))
+    head = F.concat(F.lit(f"{QUEUE_TITLE}\n\n{QUEUE_COUNT}: "), F.count("*").cast("string"), F.lit("\n"))
+    return items.groupBy("book_id").agg(F.lit(0).alias("item"), head.alias("markdown")).unionByName(sections)
 
 
 def source_hash() -> Column:

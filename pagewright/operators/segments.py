@@ -43,14 +43,26 @@ def windows(blocks: DataFrame) -> DataFrame:
     return joined.select("book_id", "page", F.col("ids").alias("allowed_block_ids"), context.alias("context_block_ids"))
 
 
-def window_keys(windows_: DataFrame, blocks: DataFrame, model: str, rule: str, contract: str, version: int) -> DataFrame:
-    """book_id, page, context_digest and cache_key of each window: hashes over all its context blocks in order."""
+def window_keys(windows_: DataFrame, blocks: DataFrame, model: str, rule: str, contract: str, version: int, outlines: DataFrame | None = None, manifests: DataFrame | None = None) -> DataFrame:
+    """book_id, page, context_digest and cache_key of each window.
+
+    The digest is over all its context blocks in order and the section of the book's outline (book_id,
+    start_page, end_page, title, default_content_type) that holds the page; the key is over the digest
+    and the manifest's own digest (book_id, manifest), so either may change it.
+    """
     line = F.concat_ws("|", "block_id", F.col("page").cast("string"), F.col("draw_order").cast("string"), "raw_text", "normalized_text", "inherited_audience")
     lines = blocks.select("book_id", F.col("block_id").alias("id"), line.alias("line"))
     spread = windows_.select("book_id", "page", F.posexplode("context_block_ids").alias("at", "id"))
     parts = spread.join(lines, ["book_id", "id"]).groupBy("book_id", "page").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("p"))
-    digest = F.sha2(F.array_join(F.transform("p", lambda x: x["line"]), "\n"), 256)
-    key = F.sha2(F.concat_ws("|", digest, F.concat(F.lit("sha256:"), F.sha2("book_id", 256)), F.lit(rule), F.lit(contract), F.lit(model), F.lit(str(version))), 256)
+    if outlines is None:
+        parts = parts.withColumn("section", F.lit(None).cast("string"))
+    else:
+        section = F.concat_ws("|", F.lit("outline"), "title", F.col("start_page").cast("string"), F.col("end_page").cast("string"), "default_content_type")
+        held = parts.select("book_id", "page").join(outlines, "book_id").where("page between start_page and end_page").groupBy("book_id", "page").agg(F.min(section).alias("section"))
+        parts = parts.join(held, ["book_id", "page"], "left")
+    parts = parts.withColumn("manifest", F.lit(None).cast("string")) if manifests is None else parts.join(manifests, "book_id", "left")
+    digest = F.sha2(F.concat_ws("\n", "section", F.array_join(F.transform("p", lambda x: x["line"]), "\n")), 256)
+    key = F.sha2(F.concat_ws("|", digest, F.concat(F.lit("sha256:"), F.coalesce("manifest", F.sha2("book_id", 256))), F.lit(rule), F.lit(contract), F.lit(model), F.lit(str(version))), 256)
     return parts.select("book_id", "page", digest.alias("context_digest"), key.alias("cache_key"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MARKDOWN_JOIN = "\n\n---\n\n"
@@ -20,6 +20,28 @@ def merge_regions(incoming: DataFrame, existing: DataFrame, keys: list[str]) ->
     return joined.select(*[F.when(keep, F.col(f"__old.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in incoming.columns], F.coalesce(keep, F.lit(False)).alias("kept"))
 
 
+def fold_saves(saves: DataFrame, keys: list[str], region: str, order: list[str]) -> DataFrame:
+    """The regions of each page's last save as they stand after all its saves, one after the other by merge_regions.
+
+    saves has a row per region of each save: ``keys`` of the page, ``region``, the ``order`` of saves, text,
+    ocr_status, ocr_error, ocr_completed_at. A region keeps the text of the first save that had it done,
+    of those since which no save lacks it; it has the geometry of the last. Adds kept: whether an earlier
+    save's text stands.
+    """
+    fields = ["text", "ocr_status", "ocr_error", "ocr_completed_at"]
+    numbers = saves.select(*keys, *order).distinct().withColumn("__no", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    last = numbers.groupBy(*keys).agg(F.max("__no").alias("__last"))
+    rows = saves.join(numbers, [*keys, *order]).join(last, keys)
+    since = Window.partitionBy(*keys, region).orderBy(F.desc("__no"))
+    run = rows.withColumn("__back", F.row_number().over(since)).where(F.col("__no") + F.col("__back") == F.col("__last") + 1)
+    done = F.col("ocr_status") == "done"
+    state = F.struct("__no", *fields)
+    whole = run.groupBy(*keys, region).agg(F.min(F.when(done, state)).alias("__done"), F.max(F.struct("__no", *[c for c in saves.columns if c not in (*keys, region, *order)])).alias("__now"))
+    kept = F.coalesce(F.col("__done.__no") < F.col("__now.__no"), F.lit(False))
+    rest = [c for c in saves.columns if c not in (*keys, region, *order)]
+    return whole.select(*keys, region, *[(F.when(kept, F.col(f"__done.{c}")).otherwise(F.col(f"__now.{c}")) if c in fields else F.col(f"__now.{c}")).alias(c) for c in rest], kept.alias("kept"))
+
+
 def upsert(existing: DataFrame, changes: DataFrame, keys: list[str], place: str = "draw_order") -> DataFrame:
     """existing rows with changed ones replaced in place; rows that are new are appended."""
     old = existing.join(changes.select(*keys), keys, "left_anti")

@@ -41,8 +41,10 @@ def test_queue_has_context_and_severity(spark):
     assert set(q) == {"b", "c"}
     assert (q["b"].reasons, q["b"].severity, q["b"].image_name, q["b"].context_before, q["b"].context_after) == (["source_gap", "x"], "high", "p1.png", "first", "third")
     assert (q["c"].reasons, q["c"].severity, q["c"].image_name, q["c"].context_after) == (["review_required"], "medium", None, "")
-    md = {r.review_id: r.markdown for r in review.as_markdown(review.queue(s, images)).collect()}
-    assert "severity: high" in md["b:b"] and '"status":"approved"' in md["b:b"]
+    md = {r.item: r.markdown for r in review.as_markdown(review.queue(s, images)).collect()}
+    assert set(md) == {0, 1, 2} and md[0] == "# レビューキュー\n\n件数: 2\n" and md[1].startswith("## 1. b:b\n\n- **review_id**: `b:b`\n") and md[2].startswith("## 2. b:c\n")
+    assert "- **危険度 (severity)**: high\n" in md[1] and '```json\n{\n  "review_id": "b:b",\n  "segment_id": "b",\n  "status": "approved",\n' in md[1] and md[1].endswith("```\n")
+    assert "### 後文脈 (context_after)\n\n```text\n(なし)\n```\n" in md[2] and "- **ページ (page)**: 1\n- **rect_id**: r\n" in md[1]
     assert spark.range(1).select(review.book_of(F.lit("b:x:y")), review.book_of(F.lit("none"))).first()[:] == ("b", "")
 
 
