@@ -9,10 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.runtime import cut, shipped_hashes, spread
+from pagewright.runtime import cut, discard, shipped_hashes, spread, stored
 
 MIN_CHARS = 10
 MIN_DOCS = 5
@@ -21,8 +21,13 @@ SIMILARITY = 0.8
 #: Characters in a shingle; lines of running Japanese have no word breaks.
 SHINGLE = 5
 BANDS, ROWS = 5, 4
-#: Masked lines of a bucket up to which all pairs are compared.
-PAIRED = 64
+#: Of the BANDS * ROWS smallest hashes those that must be equal, to three bits, before texts are compared; of two lines of
+#: similarity 0.8 two percent have fewer. Their lengths are as near, unless MOST_EQUAL are equal, as in lines of one repeated mark.
+LEAST_EQUAL, MOST_EQUAL, NEAR_LENGTH = 13, 18, 0.75
+#: Partitions the rows of one line go over, and masked lines of one bucket that go to one partition.
+SALTS, BUCKET_ROWS = 16, 5000
+#: Links, of 16 bytes each, that one task resolves.
+LAST_LINKS = 2_000_000
 #: Characters hashed at once.
 _SLICE_CHARS = 500_000
 _HIDDEN = re.compile(r"[\s­᠎​-‏‪-‮⁠-⁤︀-️﻿]+")
@@ -59,18 +64,23 @@ _SALTS = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E37
 
 def band_hashes(groups: list[str], texts: list[str]) -> np.ndarray:
     """(len(texts), BANDS) signed 64-bit band keys of MinHash signatures; equal keys only within a group."""
-    out, a = [np.zeros((0, BANDS), np.int64)], 0
+    return sketches(groups, texts)[:, :BANDS]
+
+
+def sketches(groups: list[str], texts: list[str]) -> np.ndarray:
+    """The band keys and, in one column more, three bits of each of the BANDS * ROWS smallest hashes."""
+    out, a = [np.zeros((0, BANDS + 1), np.int64)], 0
     while a < len(texts):  # in slices of bounded size; a single longer text is a slice of its own
         b, size = a + 1, len(texts[a])
         while b < len(texts) and size + len(texts[b]) <= _SLICE_CHARS:
             size += len(texts[b])
             b += 1
-        out.append(_band_hashes(groups[a:b], texts[a:b]))
+        out.append(_sketches(groups[a:b], texts[a:b]))
         a = b
     return np.concatenate(out)
 
 
-def _band_hashes(groups: list[str], texts: list[str]) -> np.ndarray:
+def _sketches(groups: list[str], texts: list[str]) -> np.ndarray:
     chars = np.frombuffer("".join(t.ljust(SHINGLE) for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lens = np.fromiter((max(len(t), SHINGLE) for t in texts), np.int64, len(texts))
     starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
@@ -86,13 +96,16 @@ def _band_hashes(groups: list[str], texts: list[str]) -> np.ndarray:
     h = np.where(over[:n], first[:n], h)
     seed = {g: np.uint64(_fold(g)) for g in set(groups)}
     group = np.array([seed[g] for g in groups], np.uint64)
-    out = np.empty((len(texts), BANDS), np.int64)
+    out = np.empty((len(texts), BANDS + 1), np.int64)
+    bits = np.zeros(len(texts), np.uint64)
     for b in range(BANDS):
         key = group + np.uint64(b + 1)
         for r in range(ROWS):
             low = np.minimum.reduceat(h * _SALTS[b * ROWS + r] >> np.uint64(1), starts)
             key = _mix(key ^ low)
+            bits = bits << np.uint64(3) | _mix(low) & np.uint64(7)
         out[:, b] = key.view(np.int64)
+    out[:, BANDS] = bits.view(np.int64)
     return out
 
 
@@ -119,6 +132,30 @@ def _within(sources: list[str], texts: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest((s + "\n" + t).encode("utf-8", "surrogatepass")) for s, t in zip(sources, texts)), np.uint64, len(texts)).view(np.int64)
 
 
+def _short(bands: np.ndarray) -> np.ndarray:
+    """Five bytes of each band key: enough to tell which are met again, as a false one only lets a line through."""
+    return bands >> 24
+
+
+_TABLE = (1 << 24) - 1
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    """The low bits that occur among hashes."""
+    table = np.zeros(_TABLE + 1, bool)
+    table[hashes & _TABLE] = True
+    return table
+
+
+def _among(values: np.ndarray, hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted hashes; most of the others the table tells."""
+    hit = table[values & _TABLE]
+    some = values[hit]
+    at = np.minimum(np.searchsorted(hashes, some), hashes.size - 1)
+    hit[hit] = hashes[at] == some if hashes.size else False
+    return hit
+
+
 def repeated_lines(df: DataFrame, doc: str, source: str, text: str) -> DataFrame:
     """Lines of clusters that stand in too many documents of their source.
 
@@ -129,12 +166,11 @@ def repeated_lines(df: DataFrame, doc: str, source: str, text: str) -> DataFrame
     don't count. Rows with a null document or source are ignored; repeated rows count once; an empty
     table gives an empty result.
 
-    Masked keys are hashed into MinHash bands per source. Buckets are counted first (partial sums
-    before the shuffle), so only lines of buckets with another line go further, as identities; the
+    Masked keys are hashed into MinHash bands per source. Buckets are looked at first (partial sums
+    before the shuffle), so only lines of buckets with two documents go further, as identities; the
     text of a masked line travels once. Masked lines of a bucket that are at least SIMILARITY alike
-    (Jaccard of SHINGLE-character shingles) are linked; linked lines are one cluster, over any number
-    of buckets. In buckets of more than PAIRED masked lines each is compared with the most frequent
-    one only.
+    (Jaccard of SHINGLE-character shingles) are linked, directly or through the bucket's most frequent
+    line; linked lines are one cluster, over any number of buckets.
     """
     base = df.select(F.col(f"`{doc}`").cast("string").alias("doc"), F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{text}`").cast("string").alias("t"))
     base = base.where("doc is not null and source is not null")
@@ -143,76 +179,177 @@ def repeated_lines(df: DataFrame, doc: str, source: str, text: str) -> DataFrame
 
     def bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            _, src, _, _, mask = _lines(b)
-            h, n = np.unique(band_hashes(src, mask).ravel(), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
-
-    buckets = texts.mapInArrow(bucket_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    big = cut(buckets.where(F.col("n") > 1).select("h"))  # MIN_DOCS holds for clusters, which may lie over several buckets
+            ids, src, _, _, mask = _lines(b)
+            bands = _short(band_hashes(src, mask)).ravel()
+            order = np.argsort(bands, kind="stable")
+            doc = np.fromiter((xxhash.xxh32_intdigest(i.encode("utf-8", "surrogatepass")) & 0xFFFF for i in ids), np.int32, len(ids)).repeat(BANDS)[order]
+            h, first = np.unique(bands[order], return_index=True)
+            low, high = (f.reduceat(doc, first) if h.size else doc for f in (np.minimum, np.maximum))
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(low), pa.array(high)], names=["h", "low", "high"])
+
+    buckets = texts.mapInArrow(bucket_counts, "h long, low int, high int").groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    big = cut(buckets.where("low <> high").select("h"))  # of two documents at least: MIN_DOCS holds for clusters, which may lie over several buckets
     ship = shipped_hashes(big, "h")
 
     def in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
+        table = None if ship is None else _bits(ship)
         for b in batches:
             ids, src, no, key, mask = _lines(b)
-            bands = band_hashes(src, mask)
-            hit = np.ones(bands.shape, bool) if ship is None else np.isin(bands, ship)
+            bands, bits = np.split(sketches(src, mask), [BANDS], axis=1)
+            hit = np.ones(bands.shape, bool) if ship is None else _among(_short(bands), ship, table)
             rows = np.flatnonzero(hit.any(axis=1)).tolist()
             pick = lambda c: [c[i] for i in rows]
             src, mask = pick(src), pick(mask)
             form = _within(src, mask)
             new = [f not in told and not told.add(f) for f in form.tolist()]
             found = [bands[i][hit[i]].tolist() if fresh else None for i, fresh in zip(rows, new)]
+            drawn = [int(bits[i, 0]) if fresh else None for i, fresh in zip(rows, new)]
             shown = [m if fresh else None for m, fresh in zip(mask, new)]
-            arrays = [pa.array(pick(ids), pa.string()), pa.array(src, pa.string()), pa.array(pick(no), pa.int32()), pa.array(_within(src, pick(key))), pa.array(form), pa.array(shown, pa.string()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "source", "line_no", "key", "form", "mask", "bands"])
+            arrays = [pa.array(pick(ids), pa.string()), pa.array(src, pa.string()), pa.array(pick(no), pa.int32()), pa.array(_within(src, pick(key))), pa.array(form), pa.array(shown, pa.string()), pa.array(drawn, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "source", "line_no", "key", "form", "mask", "bits", "bands"])
 
-    lines = cut(texts.mapInArrow(in_buckets, "doc string, source string, line_no int, key long, form long, mask string, bands array<bigint>"))
-    forms = lines.groupBy("form").agg(F.count("*").alias("n"), F.max("mask").alias("mask"), F.first("bands", ignorenulls=True).alias("bands"))
+    lines = stored(texts.mapInArrow(in_buckets, "doc string, source string, line_no int, key long, form long, mask string, bits long, bands array<bigint>"))
+    forms = lines.groupBy("form").agg(F.count("*").alias("n"), F.max("mask").alias("mask"), F.max("bits").alias("bits"), F.first("bands", ignorenulls=True).alias("bands"))
     if ship is None:  # all lines came along: keep the forms of large buckets only
-        wanted = forms.select("form", F.explode("bands").alias("h")).join(big, "h").groupBy("form").agg(F.collect_set("h").alias("h"))
-        forms = forms.join(wanted, "form").select("form", "n", "mask", F.col("h").alias("bands"))
-    forms = cut(forms)
-    placed = forms.select("form", "n", F.explode("bands").alias("h"))
-    # a bucket's representative: one row each, found with partial aggregation
-    heads = placed.groupBy("h").agg(F.max(F.struct("n", "form")).alias("top"), F.count("*").alias("size")).select("h", F.col("top.form").alias("head"), "size")
-    held = placed.select("h", "form").join(heads, "h")
-    large = held.where(F.col("size") > PAIRED).where("form <> head").select("form", "head")
-    few = held.where(F.col("size").between(2, PAIRED)).select("h", "form")
-    small = few.join(few.select("h", F.col("form").alias("head")), "h").where("form < head").select("form", "head")
-    near = large.unionByName(small).distinct()
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - SHINGLE + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(SHINGLE))))
-    near = near.join(forms.select("form", "mask", F.size(grams(F.col("mask"))).alias("size")), "form")
-    pairs = near.join(forms.select(F.col("form").alias("head"), F.col("mask").alias("head_mask"), F.size(grams(F.col("mask"))).alias("head_size")), "head")
-    pairs = pairs.where(F.least("size", "head_size") >= SIMILARITY * F.greatest("size", "head_size"))  # else no overlap can be large enough
-    both = F.size(F.array_intersect(grams(F.col("mask")), grams(F.col("head_mask"))))
-    like = pairs.where(both >= SIMILARITY * (F.col("size") + F.col("head_size") - both))
-    chosen = linked(cut(like.select("form", "head")))
-    slim = lines.select("form", "key", "source", F.xxhash64("doc").alias("doc"))
-    slim = slim.join(chosen, "form", "left").select("form", "key", "source", "doc", F.coalesce("head", "form").alias("cluster"))
+        short = F.shiftright("band", 24)
+        wanted = forms.select("form", F.explode("bands").alias("band")).join(big, short == F.col("h")).groupBy("form").agg(F.collect_set("band").alias("held"))
+        forms = forms.join(wanted, "form").select("form", "n", "mask", "bits", F.col("held").alias("bands"))
+    clusters = _clusters(stored(forms))
+    # a line may hold any share of its source's rows: its rows go over SALTS partitions at each join
+    salts = F.array(*[F.lit(i) for i in range(SALTS)])
+    slim = lines.select("form", "key", "source", F.xxhash64("doc").alias("doc")).withColumn("salt", F.pmod("doc", F.lit(SALTS)).cast("int"))
+    slim = slim.join(clusters.withColumn("salt", F.explode(salts)), ["form", "salt"])
     need = F.greatest(F.lit(MIN_DOCS), F.col("source_docs") * MIN_SHARE)
     docs = slim.groupBy("cluster", "source", "doc").agg(F.lit(1)).groupBy("cluster", "source").agg(F.count("*").alias("cluster_docs"))
     often = docs.join(sizes, "source").where(F.col("cluster_docs") >= need).select("cluster", "cluster_docs", "source_docs")
-    inside = slim.join(often, "cluster")
+    inside = slim.join(often.withColumn("salt", F.explode(salts)), ["cluster", "salt"])
     keys = inside.groupBy("form", "key", "doc").agg(F.first("cluster_docs").alias("cluster_docs"), F.first("source_docs").alias("source_docs"))
     keys = keys.groupBy("form", "key").agg(F.count("*").alias("key_docs"), F.first("cluster_docs").alias("cluster_docs"), F.first("source_docs").alias("source_docs"))
-    out = lines.select("doc", "source", "line_no", "key").join(keys.drop("form"), "key").distinct()
+    told = lines.select("doc", "source", "line_no", "key").withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+    out = told.join(keys.drop("form").withColumn("salt", F.explode(salts)), ["key", "salt"]).drop("salt").distinct()
     return out.select(F.col("doc").alias(doc), F.col("source").alias(source), "line_no", "key_docs", "cluster_docs", "source_docs")
 
 
+def _clusters(forms: DataFrame) -> DataFrame:
+    """(form, cluster) for the forms of clusters that may stand in MIN_DOCS documents. forms: form, n, mask, bits, bands; a stored table, used up.
+
+    Forms of a shared bucket whose sketches fit are brought together by their identities alone: groups
+    whose lines are fewer than MIN_DOCS hold no such cluster, and their texts are not compared.
+    """
+    held = stored(_held(forms))
+    fit = _fit("of", "head_of")
+    far = held.select("h", "form", "of", "rows", (~fit).alias("apart"), F.col("form").alias("label"))
+    group = linked(held.where(fit).select("form", "head").unionByName(_pairs(far)))
+    grouped = forms.select("form", "n").join(group, "form", "left").select("form", "n", F.coalesce("head", "form").alias("group"))
+    large = grouped.groupBy("group").agg(F.sum("n").alias("lines")).where(F.col("lines") >= MIN_DOCS).select("group")
+    kept = cut(grouped.join(large, "group").select("form"))
+    beside = stored(held.join(kept, "form", "left_semi"))
+    text = stored(forms.join(kept, "form", "left_semi").select("form", _grams(F.col("mask")).alias("grams")))
+    discard(forms, held)
+    near = linked(_links(beside, text))
+    discard(beside, text)
+    return cut(kept.join(near, "form", "left").select("form", F.coalesce("head", "form").alias("cluster")))
+
+
+def _grams(text: Column) -> Column:
+    """The different shingles of a line as hashes of four bytes."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - SHINGLE + 1, F.lit(1))), lambda i: F.hash(F.substring(text, i, F.lit(SHINGLE)))))
+
+
+def _held(forms: DataFrame) -> DataFrame:
+    """(h, form, of, head, head_of, rows): forms beside the most frequent form of each of their buckets, found with partial aggregation; of is (bits, chars)."""
+    placed = forms.select("form", "n", F.struct("bits", F.length("mask").alias("chars")).alias("of"), F.explode("bands").alias("h"))
+    heads = placed.groupBy("h").agg(F.max(F.struct("n", "form", "of")).alias("top"), F.count("*").alias("rows")).where("rows > 1")
+    return placed.select("h", "form", "of").join(heads.select("h", F.col("top.form").alias("head"), F.col("top.of").alias("head_of"), "rows"), "h").where("form <> head")
+
+
+def _fit(a: str, b: str) -> Column:
+    """Whether two forms may be alike: LEAST_EQUAL of their smallest hashes are equal and their lengths are near, or nearly all hashes are equal."""
+    a, b = F.col(a), F.col(b)
+    x = a["bits"].bitwiseXOR(b["bits"])
+    triples = sum(1 << 3 * k for k in range(BANDS * ROWS))
+    other = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(triples)))
+    near = F.least(a["chars"], b["chars"]) >= NEAR_LENGTH * F.greatest(a["chars"], b["chars"])
+    return (BANDS * ROWS - other >= LEAST_EQUAL) & (near | (BANDS * ROWS - other >= MOST_EQUAL))
+
+
+def _pairs(held: DataFrame) -> DataFrame:
+    """(form, head): each form that is ``apart`` from its bucket's head with the others of the bucket that fit and have another label.
+
+    held: h, form, of, rows, apart, label. Large buckets go over several partitions.
+    """
+    parts = F.ceil(F.col("rows") / BUCKET_ROWS)
+    apart = held.where("apart").select("h", "form", "of", "label", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    all_ = held.select("h", F.col("form").alias("other"), F.col("of").alias("other_of"), F.col("label").alias("other_label"), F.pmod(F.xxhash64("form"), parts).alias("part"))
+    pairs = apart.join(all_, ["h", "part"]).where((F.col("label") != F.col("other_label")) & _fit("of", "other_of"))
+    return pairs.select(F.least("form", "other").alias("form"), F.greatest("form", "other").alias("head")).distinct()
+
+
+def _links(held: DataFrame, text: DataFrame) -> DataFrame:
+    """(form, head): links between forms of a shared bucket, as many as it takes to connect all that are alike.
+
+    Each form is compared with the most frequent one of each of its buckets. Those like it are connected
+    through it and need no comparison with each other; every other form of the bucket is compared with
+    those of the bucket it is not yet connected with.
+    """
+    near = cut(_alike(held.where(_fit("of", "head_of")).select("form", "head").distinct(), text))
+    label = linked(near).withColumnRenamed("head", "label")
+    named = held.join(near.withColumn("near", F.lit(True)), ["form", "head"], "left").join(label, "form", "left")
+    named = stored(named.select("h", "form", "of", "rows", F.col("near").isNull().alias("apart"), F.coalesce("label", "form").alias("label")))
+    more = cut(_alike(_pairs(named), text))
+    discard(named)
+    return near.unionByName(more)
+
+
+def _alike(pairs: DataFrame, text: DataFrame) -> DataFrame:
+    """Pairs (form, head) whose masked lines share SIMILARITY of their shingles. text: form, grams."""
+    both = pairs.join(text.withColumnRenamed("grams", "a"), "form").join(text.select(F.col("form").alias("head"), F.col("grams").alias("b")), "head")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(shared >= SIMILARITY * (F.size("a") + F.size("b") - shared)).select("form", "head")
+
+
 def linked(edges: DataFrame) -> DataFrame:
-    """(form, head): of each form with a link the smallest form its links lead to, at any distance."""
-    ways = cut(edges.toDF("form", "to").unionByName(edges.select(F.col("head"), F.col("form")).toDF("form", "to")).distinct())
-    label = cut(ways.groupBy("form").agg(F.least(F.first("form"), F.min("to")).alias("head")))
-    while True:
-        # the least label beside each form, then the label of that label, so that distances double
-        beside = ways.join(label.select(F.col("form").alias("to"), "head"), "to").groupBy("form").agg(F.min("head").alias("beside"))
-        least = label.join(beside, "form").select("form", F.col("head").alias("old"), F.least("head", "beside").alias("near"))
-        far = label.select(F.col("form").alias("near"), F.col("head").alias("far"))
-        after = cut(least.join(far, "near", "left").select("form", "old", F.least("near", F.coalesce("far", "near")).alias("head")))
-        label = after.select("form", "head")
-        if after.where("head <> old").isEmpty():
-            return label
+    """(form, head): of each form with a link the smallest form its links lead to, at any distance.
+
+    While there are more than LAST_LINKS links, every form is put to the smallest form beside it and the
+    links are drawn between what forms were put to; each round leaves a fraction of them. The rest is
+    solved in one task.
+    """
+    links, put = cut(edges.toDF("form", "to").where("form <> to").distinct()), None
+    while links.count() > LAST_LINKS:
+        ways = links.unionByName(links.select(F.col("to").alias("form"), F.col("form").alias("to")))
+        near = cut(ways.groupBy("form").agg(F.least(F.first("form"), F.min("to")).alias("head")))
+        beyond = near.select(F.col("form").alias("head"), F.col("head").alias("next"))
+        near = cut(near.join(beyond, "head").select("form", F.col("next").alias("head")))
+        put = near if put is None else cut(_further(put, near))
+        ends = links.join(near.withColumnRenamed("head", "a"), "form").join(near.select(F.col("form").alias("to"), F.col("head").alias("b")), "to")
+        links = cut(ends.select(F.least("a", "b").alias("form"), F.greatest("a", "b").alias("to")).where("form <> to").distinct())
+    last = links.repartition(1).mapInArrow(_components, "form long, head long")
+    return cut(last if put is None else _further(put, cut(last)))
+
+
+def _further(put: DataFrame, near: DataFrame) -> DataFrame:
+    then = near.select(F.col("form").alias("head"), F.col("head").alias("next"))
+    return put.join(then, "head", "left").select("form", F.coalesce("next", "head").alias("head"))
+
+
+def _components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(form, head) of the links of one task: labels sink to the least one beside them, then to the label of their label."""
+    got = [np.stack([c.to_numpy() for c in b.columns]) for b in batches if b.num_rows]
+    if got:
+        names, at = np.unique(np.concatenate(got, axis=1), return_inverse=True)
+        a, b = at.reshape(2, -1)
+        label = np.arange(names.size)
+        while True:
+            least = np.minimum(label[a], label[b])
+            if (label[a] == label[b]).all():
+                break
+            np.minimum.at(label, label[a], least)
+            np.minimum.at(label, label[b], least)
+            while (label[label] != label).any():
+                label = label[label]
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[label])], names=["form", "head"])
 
 
 def exact(lines: DataFrame) -> DataFrame:

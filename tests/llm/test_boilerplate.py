@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pagewright.llm import boilerplate as bp
 
@@ -92,3 +93,43 @@ def test_chains_of_near_copies_are_one_cluster(spark):
         line[15 * k] = "あいうえおか"[k]
         rows.append((f"s{k}", "b", "".join(line)))
     assert found(spark, rows, exact=False) == {(f"s{k}", 0) for k in range(6)}
+
+
+def test_recall_of_near_copies_against_all_pairs(spark):
+    rng = random.Random(11)
+    letters = [chr(0x3042 + k) for k in range(80)]
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(letters) for _ in range(rng.randrange(40, 90))]
+        texts.append("".join(base))
+        for _ in range(6):  # one edit, or two, which leaves a similarity around the limit
+            copy = list(base)
+            for _ in range(rng.randrange(1, 3)):
+                copy[rng.randrange(len(copy))] = rng.choice(letters)
+            texts.append("".join(copy))
+    grams = [{t[k : k + bp.SHINGLE] for k in range(len(t) - bp.SHINGLE + 1)} for t in texts]
+    alike = lambda a, b: len(grams[a] & grams[b]) >= bp.SIMILARITY * len(grams[a] | grams[b])
+    home = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if alike(a, b) and home[a] != home[b]:
+                home = [home[b] if x == home[a] else x for x in home]
+    size = {x: home.count(x) for x in home}
+    want = {(f"s{k}", 0) for k, x in enumerate(home) if size[x] >= bp.MIN_DOCS}
+    got = found(spark, [(f"s{k}", "b", t) for k, t in enumerate(texts)], exact=False)
+    assert got <= want and len(want) > 100 and len(got) >= 0.9 * len(want)
+
+
+def test_large_buckets_lose_no_link(spark):
+    forms = spark.createDataFrame([(k, 9 - k, m, int(bp.sketches(["b"], [m])[0, bp.BANDS]), [7]) for k, m in enumerate(["あいうえおかきくけこ" * 3, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmn", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmo", "どれとも似ていない行がここにひとつある"])], "form long, n long, mask string, bits long, bands array<long>")
+    assert {tuple(r) for r in bp._links(bp._held(forms), forms.select("form", bp._grams(F.col("mask")).alias("grams"))).collect()} == {(1, 2)}
+
+
+def test_links_beyond_one_task(spark, monkeypatch):
+    monkeypatch.setattr(bp, "LAST_LINKS", 3)
+    rng = random.Random(2)
+    names = rng.sample(range(10_000), 300)
+    edges = [(names[k], names[k + 1]) for k in range(298) if k % 50 != 49]
+    want = {f: min(names[k - k % 50 : min(k - k % 50 + 50, 299)]) for k, f in enumerate(names[:299])}
+    got = {r.form: r.head for r in bp.linked(spark.createDataFrame(edges, "form long, head long")).collect()}
+    assert got == {f: h for f, h in want.items() if any(f in e for e in edges)}
