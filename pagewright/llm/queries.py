@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import boilerplate, canonical, leakage, ocrnoise, packing, truncation
+from pagewright.llm.sql import SQL
 from pagewright.runtime import table
 
 
@@ -132,7 +133,7 @@ def p9_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p2_segments, p4_found, p4_canonical, p4_classes, p6_found, p6_cleaned, p7_packed, p7_unused, p8_found, p8_alignments, p8_items, p8_short, p9_found, p9_marked, p9_rates, p9_reasons, p9_limits)}
-SQL: dict[str, str] = {
+SQL: dict[str, str] = SQL | {
     "p9_limits": """with t as (select source, 'text' as field, text as v from documents union all select source, 'title', title from documents),
  h as (select source, field, 'chars' as unit, cast(length(v) as int) as length, count(*) as n from t where v <> '' group by all
   union all select source, field, 'bytes', cast(strlen(v) as int), count(*) from t where v <> '' group by all),
