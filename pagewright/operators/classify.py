@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PROPOSAL = "seq int, block_ids array<string>, content_type string, section_path array<string>, audience string, entities array<string>, review_reasons array<string>"
@@ -48,6 +49,27 @@ def with_retries(call: Callable[[], Any], attempts: int = ATTEMPTS, first_wait:
             sleep(first_wait * 2**n)
 
 
+def decoded_answer(call: Callable[[], str], attempts: int = 2, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> Any:
+    """The JSON a call gives; one that can't be read is asked for again, ``attempts`` times in all."""
+    for n in range(attempts):
+        try:
+            return json.loads(call())
+        except ValueError:
+            if n == attempts - 1:
+                raise
+            sleep(wait)
+
+
+def is_rate_limit(code: Column) -> Column:
+    """Whether an error's code says that the service refuses for its rate."""
+    return F.coalesce(code == 429, F.lit(False))
+
+
+def missing_entities(entities: Column, text: Column) -> Column:
+    """Entities that don't stand verbatim in a text."""
+    return F.filter(F.coalesce(entities, F.array().cast("array<string>")), lambda e: e.isNotNull() & ~F.contains(F.coalesce(text, F.lit("")), e))
+
+
 def problem(window: dict[str, Any], proposals: list[dict[str, Any]]) -> str | None:
     """Why a whole answer is refused: blocks not of the page, named twice or out of order, entities that stand in none of their texts."""
     allowed = {b: i for i, b in enumerate(window["allowed_block_ids"])}

@@ -56,11 +56,16 @@ def blocks(regions: DataFrame) -> DataFrame:
     return done.withColumn("block_id", block_id()).withColumnRenamed("text", "raw_text")
 
 
-def refuse_unfinished(regions: DataFrame) -> DataFrame:
-    """Fails on a region that is not done, has no text or leaves its page; else gives the regions unchanged."""
-    problem = F.when(F.col("ocr_status") != "done", F.lit("region is not done")).when(F.col("text").isNull(), F.lit("region has no text"))
+def region_problem() -> Column:
+    """Why a region can't be taken: it is not done, has no text or leaves its page; null if it can."""
+    undone = F.coalesce(F.col("ocr_status") != "done", F.lit(True))
     outside = (F.col("x") + F.col("width") > F.col("image_width")) | (F.col("y") + F.col("height") > F.col("image_height"))
-    problem = problem.when(outside, F.lit("rectangle leaves the page"))
+    return F.when(undone, "region is not done").when(F.col("text").isNull(), "region has no text").when(outside, "rectangle leaves the page")
+
+
+def refuse_unfinished(regions: DataFrame) -> DataFrame:
+    """Fails on a region with a problem; else gives the regions unchanged."""
+    problem = region_problem()
     message = F.format_string("%s: page %d, %s", problem, F.col("page"), F.col("rect_id"))
     return regions.where(F.when(problem.isNotNull(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
 

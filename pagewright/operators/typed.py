@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # A lone dash in any of these forms is written as a hyphen.
 DASHES = ["一", "－", "ー", "−", "-", "–", "—", "―"]
@@ -151,6 +152,51 @@ def result_problem(result: object, schema: list[dict] | None = None) -> str | No
     return None
 
 
+def checked_results(df: DataFrame, result: str, schema: list[dict] | None = None) -> DataFrame:
+    """``df`` with problem: the first thing wrong with the JSON text of ``result``, `not JSON` if it is none, `none` if nothing is."""
+    import json
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    names, at = df.columns, df.columns.index(result)
+
+    def verdict(text: str | None) -> str:
+        try:
+            return result_problem(json.loads(text or ""), schema) or "none"
+        except ValueError:
+            return "not JSON"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen = {t: verdict(t) for t in set(b.column(at).to_pylist())}
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([seen[t] for t in b.column(at).to_pylist()], pa.string())], names=[*names, "problem"])
+
+    if "problem" in names:
+        return checked_results(df.drop("problem"), result, schema)
+    return df.mapInArrow(run, StructType([*df.schema, StructField("problem", StringType())]))
+
+
+def schema_sections(schema: DataFrame) -> DataFrame:
+    """type_name and its section of a request: a heading and a list of its fields."""
+    listed = F.array_join(F.transform("fields", lambda f: F.concat(F.lit("- "), f)), "\n")
+    return schema.select("type_name", F.concat(F.lit("### "), F.col("type_name"), F.lit("\n"), listed).alias("section"))
+
+
+def _canonical() -> Column:
+    """A type's declaration as JSON with its keys in order."""
+    return F.to_json(F.struct("fields", "type_name"))
+
+
+def schema_fingerprint() -> Column:
+    return F.sha2(_canonical(), 256)
+
+
+def prompt_fingerprint(prompt: Column) -> Column:
+    """Digest of a request over a type: its wording and the type's declaration."""
+    return F.sha2(F.concat_ws("\n", prompt, _canonical()), 256)
+
+
 def result_schema(schema: list[dict] | None = None) -> dict:
     """The JSON Schema of a typed result, open or over declared types."""
     text = {"type": "string"}

@@ -61,10 +61,10 @@ def coverage(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def invalid_references(spans: DataFrame, regions: DataFrame) -> DataFrame:
-    """Spans of no region, or beyond the text of theirs."""
+    """Spans of no region, beyond the text of theirs, or broken: without a place, of no length, starting below 0."""
     size = _size(regions)
     joined = spans.join(size, KEYS, "left")
-    return joined.where("n is null or start >= n or end > n").drop("n")
+    return joined.where("n is null or start is null or end is null or start < 0 or end <= start or start >= n or end > n").drop("n")
 
 
 def reversals(segments: DataFrame) -> DataFrame:
@@ -90,15 +90,18 @@ def visibility_errors(exported: DataFrame) -> DataFrame:
     return exported.withColumn("code", code).where("code is not null").select("segment_id", "code")
 
 
-def errors(segments: DataFrame, spans: DataFrame, regions: DataFrame) -> DataFrame:
-    """All errors as rows: code, segment_id, page, rect_id, start, end. A gap or overlap is put to the first segment of its region."""
+def errors(segments: DataFrame, spans: DataFrame, regions: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    """All errors as rows: code, segment_id, page, rect_id, start, end. A gap or overlap is put to the first segment of its region.
+
+    ``spans`` are the sound ones, ``given`` all there are, broken ones among them.
+    """
     runs = depth_runs(spans, regions)
     first = spans.groupBy(*KEYS).agg(F.min_by("segment_id", F.struct("start", "segment_id")).alias("segment_id"))
     blank = lambda d, code, **k: d.select((F.lit(code) if code else F.col("code")).alias("code"), "segment_id", *[(k.get(c) if c in k else F.col(c)).cast(t).alias(c) for c, t in (("page", "int"), ("rect_id", "string"), ("start", "int"), ("end", "int"))])
     none = F.lit(None)
     parts = [
         blank(flaws(runs).join(first, KEYS, "left"), None),
-        blank(invalid_references(spans, regions), "invalid_source_ref"),
+        blank(invalid_references(spans if given is None else given, regions), "invalid_source_ref"),
         blank(reversals(segments), "source_order_reversal", start=none, end=none),
         blank(parent_cycles(segments), "parent_cycle", page=none, rect_id=none, start=none, end=none),
     ]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import geometry
 from pagewright.operators import classify, evaluate, handoff, hierarchy, layout, normalize, pages, perf, review, segments, sessions, typed, validate, views
-from pagewright.runtime import cut, table
+from pagewright.runtime import cut, shared_folder, table
 from pagewright.sources import readers, sinks
 
 MODEL, RULE, CONTRACT, VERSION = "default-v1", normalize.JOIN_RULE, "proposal-v1", 1
@@ -42,9 +42,13 @@ def _first_span(df: DataFrame) -> DataFrame:
     return df.withColumns({"page": span["page"], "rect_id": span["rect_id"], "first_start": span["start"]})
 
 
+def _all_spans(s: SparkSession, d: str) -> DataFrame:
+    return _segments(s, d).select("segment_id", "book_id", F.inline("source_spans"))
+
+
 def _spans(s: SparkSession, d: str) -> DataFrame:
-    spans = _segments(s, d).select("segment_id", "book_id", F.inline("source_spans"))
-    return spans.where("page is not null and rect_id is not null and start is not null and end is not null and end > start and start >= 0")
+    """The sound ones."""
+    return _all_spans(s, d).where("page is not null and rect_id is not null and start is not null and end is not null and end > start and start >= 0")
 
 
 def _proposals(s: SparkSession, d: str) -> DataFrame:
@@ -100,7 +104,16 @@ def structure_windows(s, d):
 
 def window_cache_keys(s, d):
     b = cut(_normal(s, d))
-    return segments.window_keys(segments.windows(b), b, MODEL, RULE, CONTRACT, VERSION)
+    return segments.window_keys(segments.windows(b), b, MODEL, RULE, CONTRACT, VERSION, classify.fallback_outline(b), _manifests(s, d))
+
+
+def _manifests(s: SparkSession, d: str) -> DataFrame:
+    """book_id and the digest of the whole manifest, so that an edited one is no hit."""
+    b = pages.books(table(s, d, "books"))
+    parts = ["title", "input_glob", "page_pattern", "default_document_type", "default_audience"]
+    listed = lambda overrides, value: F.array_join(F.transform(overrides, lambda r: F.concat_ws(":", r["start_page"].cast("string"), r["end_page"].cast("string"), r[value])), ",")
+    ranges = [listed("audience_overrides", "audience"), listed("document_type_overrides", "document_type")]
+    return b.select("book_id", F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ["book_id", *parts]], *[F.coalesce(r, F.lit("")) for r in ranges]), 256).alias("manifest"))
 
 
 def page_chunks(s, d):
@@ -131,7 +144,7 @@ def assembly_reasons(s, d):
 def _answers(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     b = cut(_normal(s, d))
     w = segments.windows(b)
-    keyed = classify.with_texts(w.join(segments.window_keys(w, b, MODEL, RULE, CONTRACT, VERSION), ["book_id", "page"]), b)
+    keyed = classify.with_texts(w.join(segments.window_keys(w, b, MODEL, RULE, CONTRACT, VERSION, classify.fallback_outline(b), _manifests(s, d)), ["book_id", "page"]), b)
     first = cut(classify.classify(keyed.join(b.where("document_type = 'scenario'").select("book_id", "page").distinct(), ["book_id", "page"], "left_semi")))
     return classify.classify_or_reuse(keyed, first), b
 
@@ -178,11 +191,13 @@ def source_overlaps(s, d):
 
 
 def source_order_reversals(s, d):
-    return validate.reversals(_segments(s, d))
+    """Of the segments as they are, and of the same with their spans the other way round (under a marked id)."""
+    seg = _segments(s, d).select("segment_id", "source_spans")
+    return validate.reversals(seg.unionByName(seg.select(F.concat("segment_id", F.lit("~")).alias("segment_id"), F.reverse("source_spans").alias("source_spans"))))
 
 
 def invalid_references(s, d):
-    return validate.invalid_references(_spans(s, d), _sizes(s, d)).select("segment_id", "page", "rect_id", "start", "end")
+    return validate.invalid_references(_all_spans(s, d), _sizes(s, d)).select("segment_id", "page", "rect_id", "start", "end")
 
 
 def parent_cycles(s, d):
@@ -194,7 +209,7 @@ def player_visibility(s, d):
 
 
 def _errors(s: SparkSession, d: str) -> DataFrame:
-    return validate.errors(_segments(s, d), cut(_spans(s, d)), cut(_sizes(s, d)))
+    return validate.errors(_segments(s, d), cut(_spans(s, d)), cut(_sizes(s, d)), _all_spans(s, d))
 
 
 def validation_errors(s, d):
@@ -206,8 +221,8 @@ def exit_codes(s, d):
     checked = cut(segments.checked_proposals(_proposals(s, d), _blocks(s, d)))
     by_page = checked.groupBy("book_id", "page").agg(F.count_if(F.col("failure").isNull()).alias("ok"))
     per = by_page.groupBy("book_id").agg(F.count("*").alias("classified"), F.count_if(F.col("ok") == 0).alias("failed"))
-    runs = cut(_runs(s, d))
-    wrong = validate.gaps(runs).unionByName(validate.overlaps(runs)).groupBy("book_id").agg(F.count("*").alias("errors"))
+    runs = _runs(s, d)
+    wrong = validate.flaws(runs).groupBy("book_id").agg(F.count("*").alias("errors"))
     j = per.join(wrong, "book_id", "left").withColumn("errors", F.coalesce("errors", F.lit(0)))
     return j.select("book_id", "classified", "failed", "errors", validate.exit_code(F.lit(0), F.col("classified"), F.col("failed"), F.col("errors")).alias("exit_code"))
 
@@ -261,20 +276,19 @@ def structure_metrics(s, d):
     return evaluate.structure(gold, actual)
 
 
-def _ranked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _ranked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = table(s, d, "embeddings")
     q = e.where("vec_id % 100 = 0")
     near = evaluate.nearest(q, e.select("vec_id", "embedding"), "vec_id", "embedding", 10).withColumnRenamed("vec_id", "item")
-    rel = q.select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("item"), "label"), "label").where("query_id <> item").select("query_id", "item")
-    return near, rel
+    return near, q.select(F.col("vec_id").alias("query_id"), "label"), e.select(F.col("vec_id").alias("item"), "label")
 
 
 def ranking_scores(s, d):
-    return evaluate.ranking_scores(*_ranked(s, d), 10)
+    return evaluate.label_scores(*_ranked(s, d), 10)
 
 
 def ranking_metrics(s, d):
-    return evaluate.ranking_metrics(evaluate.ranking_scores(*_ranked(s, d), 10))
+    return evaluate.ranking_metrics(evaluate.label_scores(*_ranked(s, d), 10))
 
 
 # --- typed records
@@ -332,8 +346,9 @@ def resume_worklist(s, d):
 
 
 def stale_outputs(s, d):
-    """Pages that segments were made from and that no session has any more."""
-    now = pages.current_sessions(table(s, d, "region_sessions")).select("book_id", "page")
+    """Pages that segments were made from and that have no finished session now."""
+    undone = F.exists("regions", lambda r: F.coalesce(r["ocr_status"] != "done", F.lit(True)))
+    now = pages.current_sessions(table(s, d, "region_sessions")).where(~F.coalesce(undone, F.lit(True))).select("book_id", "page")
     return _spans(s, d).select("book_id", "page").distinct().join(now, ["book_id", "page"], "left_anti")
 
 
@@ -345,17 +360,16 @@ def stem_collisions(s, d):
 # --- sessions
 
 
-def _saves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Regions of the last and of the first save of each page that was saved more than once."""
+def _saves(s: SparkSession, d: str) -> DataFrame:
+    """Regions of every save of each page."""
     x = table(s, d, "region_sessions").withColumn("page", pages.page_number(F.col("file_name")))
-    flat = lambda df: df.select("book_id", "page", F.explode("regions").alias("r")).select("book_id", "page", "r.rectangle.*", "r.text", "r.ocr_status", "r.ocr_error", "r.ocr_completed_at")
-    last = pages.latest(x, ["book_id", "page"], [F.desc("saved_at"), F.desc("session_id")])
-    first = pages.latest(x, ["book_id", "page"], [F.asc("saved_at"), F.asc("session_id")])
-    return flat(last), flat(first)
+    flat = x.select("book_id", "page", "saved_at", "session_id", F.explode("regions").alias("r"))
+    return flat.select("book_id", "page", "saved_at", "session_id", "r.rectangle.*", "r.text", "r.ocr_status", "r.ocr_error", "r.ocr_completed_at").where("page is not null and rect_id is not null")
 
 
 def session_merge(s, d):
-    return sessions.merge_regions(*_saves(s, d), ["book_id", "page", "rect_id"]).select("book_id", "page", "rect_id", "draw_order", "x", "y", "text", "ocr_status", "kept")
+    out = sessions.fold_saves(_saves(s, d), ["book_id", "page"], "rect_id", ["saved_at", "session_id"])
+    return out.select("book_id", "page", "rect_id", "draw_order", "x", "y", "text", "ocr_status", "kept")
 
 
 def undone_regions(s, d):
@@ -488,7 +502,10 @@ def hit_test(s, d):
 
 
 def iou_pairs(s, d):
-    p = _page_boxes(s, d).select("book_id", "page", "box", F.explode("all").alias("o")).where("box.rect_id < o.rect_id")
+    """Boxes of a page that overlap once they have room around them, and how much."""
+    p = _page_boxes(s, d).select("book_id", "page", "image_width", "image_height", "box", F.explode("all").alias("o")).where("box.rect_id < o.rect_id")
+    p = p.withColumns({c: F.struct(F.col(f"{c}.rect_id"), geometry.padded(F.col(c), 40, F.col("image_width"), F.col("image_height")).alias("p")) for c in ("box", "o")})
+    p = p.withColumns({c: F.struct(F.col(f"{c}.rect_id"), *[F.col(f"{c}.p")[e].alias(e) for e in ("left", "top", "right", "bottom")]) for c in ("box", "o")})
     return p.where(geometry.intersection(F.col("box"), F.col("o")) > 0).select("book_id", "page", F.col("box.rect_id").alias("rect_1"), F.col("o.rect_id").alias("rect_2"), F.round(geometry.iou(F.col("box"), F.col("o")), 6).alias("iou"))
 
 
@@ -496,6 +513,14 @@ def rect_dedupe(s, d):
     return layout.page_rects(_regions(s, d), ["book_id", "page"])
 
 
+def page_columns(s, d):
+    return layout.page_columns(_regions(s, d), ["book_id", "page"])
+
+
+def block_outlines(s, d):
+    return layout.page_outlines(_regions(s, d), ["book_id", "page"])
+
+
 def card_clusters(s, d):
     return layout.page_clusters(_regions(s, d), ["book_id", "page"])
 
@@ -525,8 +550,7 @@ def batch_event_stream(s, d):
     from pagewright.streaming import batches
 
     schema = table(s, d, "events").schema
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/pagewright-checkpoints"
-    work = os.path.join(base, f"stream-{uuid.uuid4().hex}")
+    work = os.path.join(shared_folder(s), f"stream-{uuid.uuid4().hex}")
     stream = batches.table_stream(s, f"{d}/events.parquet*", schema, 4)
     batches.run_available(batches.user_activity(stream), f"{work}/out", f"{work}/state")
     out = s.read.schema("window struct<start: timestamp, end: timestamp>, user_id bigint, events bigint, failures bigint, elapsed double").parquet(f"{work}/out")
@@ -539,7 +563,7 @@ _ALL = [
     player_visibility, validation_errors, exit_codes, review_queue, review_markdown, apply_review_decisions, flagged_segments, source_hashes, retrieval_view, topic_view, structure_metrics,
     ranking_scores, ranking_metrics, schema_union, gamedata_pivot, typed_rows_routed, json_lines, cache_outcomes, cache_summary, resume_worklist, stale_outputs, stem_collisions, session_merge,
     undone_regions, region_markdown, next_draw_order, perf_by_step, perf_by_file, perf_waits, redact_secrets, handoff_summary, handoff_reports, handoff_tasks, rect_clamp, card_area_filter,
-    card_boxes, perimeter_filter, noise_filter, y_gap_bands, hit_test, iou_pairs, rect_dedupe, card_clusters, vertical_blocks, horizontal_blocks, flatten_rules, batch_event_stream,
+    card_boxes, perimeter_filter, noise_filter, y_gap_bands, hit_test, iou_pairs, rect_dedupe, page_columns, block_outlines, card_clusters, vertical_blocks, horizontal_blocks, flatten_rules, batch_event_stream,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
 

@@ -115,7 +115,8 @@ _CYCLE = """e as (select segment_id as id, max(parent_segment_id) as p from segm
  reach as (select id, p as a from cy union select r.id, cy.p from reach r join cy on r.a = cy.id),
  ring as (select r.id as segment_id, min(r.a) as root_id from reach r where r.id in (select id from reach where id = a) group by 1)"""
 _ERR = """, first_seg as (select book_id, page, rect_id, arg_min(segment_id, (a, segment_id)) as segment_id from spans group by 1, 2, 3),
- inv as (select s.segment_id, s.page, s.rect_id, s.a, s.b from spans s left join size z on z.book_id = s.book_id and z.page = s.page and z.rect_id = s.rect_id where z.n is null or s.a >= z.n or s.b > z.n),
+ inv as (select s.segment_id, s.page, s.rect_id, s.a, s.b from (select segment_id, book_id, s.page as page, s.rect_id as rect_id, s."start" as a, s."end" as b from (select segment_id, book_id, unnest(source_spans) as s from seg)) s
+  left join size z on z.book_id = s.book_id and z.page = s.page and z.rect_id = s.rect_id where z.n is null or s.a is null or s.b is null or s.a < 0 or s.b <= s.a or s.a >= z.n or s.b > z.n),
  rev0 as (select segment_id, i, s.page as page, s.rect_id as rect_id, s."start" as a, p.page as pp, p.rect_id as pr, p."start" as pa from (select segment_id, i, source_spans[i] as s, source_spans[i - 1] as p
   from (select segment_id, source_spans, unnest(range(2, len(source_spans) + 1)) as i from seg))),
  rev as (select segment_id, arg_min(page, i) as page, arg_min(rect_id, i) as rect_id, cast(min(i) - 1 as int) as "at" from rev0 where page < pp or (page = pp and rect_id = pr and a < pa) group by 1),
@@ -132,7 +133,50 @@ _NEAR = """seq as (select *, row_number() over (partition by book_id order by pa
  rq as (select *, case when list_has_any(reasons, ['audience_downgrade_candidate', 'gm_audience_visible', 'unknown_audience_visible', 'unknown_block_id', 'duplicate_block_ref', 'non_contiguous_block_ids', 'parent_cycle', 'source_gap', 'source_overlap',
   'invalid_source_ref', 'source_order_reversal']) then 'high' else 'medium' end as severity from item)"""
 
+_RECTS = (
+    _REG
+    + """, okr as (select book_id, page, x, y, width, height, image_width as pw, image_height as ph from reg where book_id is not null and page is not null and x is not null and y is not null and width is not null and height is not null
+  and image_width is not null and image_height is not null),
+ cl as (select *, greatest(least(x, pw), 0) as l, greatest(least(y, ph), 0) as t, greatest(least(x + width, pw), 0) as r, greatest(least(y + height, ph), 0) as b from okr),
+ big as (select *, row_number() over (partition by book_id, page order by (r - l) * (b - t) desc, y, x, height, width) as rn from cl where r - l >= 1 and b - t >= 1),
+ keep as (select distinct book_id, page, cast(0 as bigint) as rn, cast([] as struct(l int, t int, r int, b int, y int, x int, h int, w int)[]) as kept from big
+  union all select k.book_id, k.page, n.rn, case when len(list_filter(k.kept, lambda o: greatest(least(o.r, n.r) - greatest(o.l, n.l), 0) * greatest(least(o.b, n.b) - greatest(o.t, n.t), 0) >= 0.9 * ((n.r - n.l) * (n.b - n.t)))) > 0 then k.kept
+   else list_append(k.kept, {'l': n.l, 't': n.t, 'r': n.r, 'b': n.b, 'y': n.y, 'x': n.x, 'h': n.height, 'w': n.width}) end
+  from keep k join big n on n.book_id = k.book_id and n.page = k.page and n.rn = k.rn + 1),
+ whole as (select book_id, page, unnest(arg_max(kept, rn)) as o from keep group by book_id, page),
+ size as (select book_id, page, any_value(pw) as pw, any_value(ph) as ph from okr group by 1, 2),
+ rect as (select book_id, page, pw, ph, o.l as l, o.t as t, o.r as r, o.b as b, row_number() over (partition by book_id, page order by o.t, o.l, o.y, o.x, o.h, o.w) - 1 as k from whole join size using (book_id, page))"""
+)
+_COLUMNS = """, cin as (select *, row_number() over (partition by book_id, page order by l, t, k) as n, pw * 0.015 as e from rect),
+ col as (select distinct book_id, page, cast(0 as bigint) as n, cast([] as struct(ls int[], rs int[], l int, t int, r int, b int)[]) as cs from cin
+  union all select c.book_id, c.page, i.n, (select case when h = 0 then list_append(c.cs, {'ls': [i.l], 'rs': [i.r], 'l': i.l, 't': i.t, 'r': i.r, 'b': i.b})
+   else list_transform(c.cs, lambda g, j: case when j = h then {'ls': list_sort(list_append(g.ls, i.l)), 'rs': list_sort(list_append(g.rs, i.r)), 'l': least(g.l, i.l), 't': least(g.t, i.t), 'r': greatest(g.r, i.r), 'b': greatest(g.b, i.b)} else g end) end
+   from (select coalesce(list_position(list_transform(c.cs, lambda g: g.rs[len(g.rs) // 2 + 1] > g.ls[len(g.ls) // 2 + 1] and (abs(i.l - g.ls[len(g.ls) // 2 + 1]) <= i.e or abs(i.r - g.rs[len(g.rs) // 2 + 1]) <= i.e
+    or (least(i.r, g.rs[len(g.rs) // 2 + 1]) > greatest(i.l, g.ls[len(g.ls) // 2 + 1]) and ((i.l >= g.ls[len(g.ls) // 2 + 1] - i.e and i.r <= g.rs[len(g.rs) // 2 + 1] + i.e and i.r - i.l <= (g.rs[len(g.rs) // 2 + 1] - g.ls[len(g.ls) // 2 + 1]) * 1.05)
+     or (least(i.r, g.rs[len(g.rs) // 2 + 1]) - greatest(i.l, g.ls[len(g.ls) // 2 + 1]) >= 0.35 * greatest(i.r - i.l, g.rs[len(g.rs) // 2 + 1] - g.ls[len(g.ls) // 2 + 1])
+      and abs(i.l + i.r - g.ls[len(g.ls) // 2 + 1] - g.rs[len(g.rs) // 2 + 1]) / 2 <= i.e * 3))))), true), 0) as h))
+  from col c join cin i on i.book_id = c.book_id and i.page = c.page and i.n = c.n + 1),
+ cols as (select book_id, page, unnest(arg_max(cs, n)) as g from col group by book_id, page)"""
+_CARDS = """, okr as (select book_id, page, x, y, width, height, x as l, y as t, x + width as r, y + height as b, image_height as ph, row_number() over (partition by book_id, page order by y, x, height, width) as n from reg
+  where book_id is not null and page is not null and x is not null and y is not null and width is not null and height is not null and image_width is not null and image_height is not null),
+ card as (select distinct book_id, page, cast(0 as bigint) as n, cast([] as struct(l int, t int, r int, b int, m int)[]) as cs from okr
+  union all select c.book_id, c.page, i.n, (select case when h = 0 then list_append(c.cs, {'l': i.l, 't': i.t, 'r': i.r, 'b': i.b, 'm': 1})
+   else list_transform(c.cs, lambda g, j: case when j = h then {'l': least(g.l, i.l), 't': least(g.t, i.t), 'r': greatest(g.r, i.r), 'b': greatest(g.b, i.b), 'm': g.m + 1} else g end) end
+   from (select coalesce(list_position(list_transform(c.cs, lambda g: i.t - g.b <= cast(trunc(i.ph * 0.02) as int) and i.r > i.l and least(g.r, i.r) - greatest(g.l, i.l) > 0.3 * (i.r - i.l)), true), 0) as h))
+  from card c join okr i on i.book_id = c.book_id and i.page = c.page and i.n = c.n + 1),
+ cards as (select book_id, page, arg_max(cs, n) as cs from card group by book_id, page)"""
+
 SQL: dict[str, str] = {
+    "rect_dedupe": f"with recursive {_RECTS} select book_id, page, cast(k as int) as block_no, l as x, t as y, r - l as width, b - t as height from rect",
+    "page_columns": f"""with recursive {_RECTS}{_COLUMNS} select book_id, page, cast(row_number() over (partition by book_id, page order by g.l, g.t) - 1 as int) as block_no, g.l as x, g.t as y, g.r - g.l as width, g.b - g.t as height, cast(len(g.ls) as int) as members from cols""",
+    "block_outlines": f"""with recursive {_RECTS}, e as (select *, case when r - l <= pw * 0.2 and b - t <= ph * 0.05 then least(r - l, b - t) * 0.03 else 0.0 end as extra from rect),
+ lim as (select a.book_id, a.page, a.k, max(case when o.r <= a.l and least(a.b, o.b) > greatest(a.t, o.t) then (o.r + a.l) / 2 end) as lo_x, min(case when o.l >= a.r and least(a.b, o.b) > greatest(a.t, o.t) then (o.l + a.r) / 2 end) as hi_x,
+  max(case when o.b <= a.t and least(a.r, o.r) > greatest(a.l, o.l) then (o.b + a.t) / 2 end) as lo_y, min(case when o.t >= a.b and least(a.r, o.r) > greatest(a.l, o.l) then (o.t + a.b) / 2 end) as hi_y
+  from e a left join e o on o.book_id = a.book_id and o.page = a.page and o.k <> a.k group by 1, 2, 3),
+ q as (select e.*, greatest(round_even(greatest(l - pw * 0.006 - extra, coalesce(lo_x, -1e18)), 0), 0) as x0, greatest(round_even(greatest(t - ph * 0.006 - extra, coalesce(lo_y, -1e18)), 0), 0) as y0,
+  least(round_even(least(r + pw * 0.006 + extra, coalesce(hi_x, 1e18)), 0), pw) as x1, least(round_even(least(b + ph * 0.006 + extra, coalesce(hi_y, 1e18)), 0), ph) as y1 from e join lim using (book_id, page, k))
+ select book_id, page, cast(k as int) as block_no, cast(x0 as int) as x, cast(y0 as int) as y, cast(greatest(x1 - x0, 1) as int) as width, cast(greatest(y1 - y0, 1) as int) as height from q""",
+    "card_clusters": f"""with recursive {_REG}{_CARDS} select book_id, page, cast(j - 1 as int) as block_no, cs[j].l as x, cs[j].t as y, cs[j].r - cs[j].l as width, cs[j].b - cs[j].t as height, cs[j].m as members from (select *, unnest(range(1, len(cs) + 1)) as j from cards)""",
     "doc_physical_lines": f"with {_lines('documents', 'doc_id', 'text')} select doc_id, cast(row_number() over (partition by doc_id order by i) - 1 as int) as line_no, t as text, a as line_start, z as line_end from lines",
     "line_join_decisions": f"with {_BLK}, {_lines('blk', 'block_id', 'raw_text')}{_DECIDE} select block_id, cast(row_number() over (partition by block_id order by i) - 1 as int) as line_no, should_join, case when should_join then 'ja-word-wrap-v1' end as rule_id, review_reason from ruled where r is not null",
     "normalized_blocks": f"with {_NORM} select block_id, book_id, page, draw_order, normalized_text, joins, reasons as review_reasons from norm",
@@ -147,8 +191,13 @@ SQL: dict[str, str] = {
  c as (select k.book_id, k.page, list_concat(case when p.ids is null then [] else [p.ids[-1]] end, k.ids, case when n.ids is null then [] else [n.ids[1]] end) as ids
   from k left join k p on p.book_id = k.book_id and p.page = k.page - 1 left join k n on n.book_id = k.book_id and n.page = k.page + 1),
  u as (select book_id, page, ids[i] as block_id, i from (select *, unnest(range(1, len(ids) + 1)) as i from c)),
- dg as (select u.book_id, u.page, sha256(string_agg(concat_ws('|', n.block_id, n.page, n.draw_order, n.raw_text, n.normalized_text, n.inherited_audience), chr(10) order by u.i)) as context_digest from u join norm n on n.block_id = u.block_id and n.book_id = u.book_id group by 1, 2)
- select book_id, page, context_digest, sha256(concat_ws('|', context_digest, 'sha256:' || sha256(book_id), 'ja-word-wrap-v1', 'proposal-v1', 'default-v1', '1')) as cache_key from dg""",
+ ol as (select book_id, 'outline|unknown|' || min(page) || '|' || max(page) || '|unknown' as section from norm group by 1),
+ mf as (select book_id, sha256(concat_ws('|', book_id, coalesce(any_value(title), ''), coalesce(any_value(input_glob), ''), coalesce(any_value(page_pattern), ''), coalesce(any_value(default_document_type), ''), coalesce(any_value(default_audience), ''),
+  coalesce(array_to_string(list_transform(any_value(audience_overrides), lambda o: o.start_page || ':' || o.end_page || ':' || o.audience), ','), ''),
+  coalesce(array_to_string(list_transform(any_value(document_type_overrides), lambda o: o.start_page || ':' || o.end_page || ':' || o.document_type), ','), ''))) as m from books group by 1),
+ dg as (select u.book_id, u.page, sha256(any_value(ol.section) || chr(10) || string_agg(concat_ws('|', n.block_id, n.page, n.draw_order, n.raw_text, n.normalized_text, n.inherited_audience), chr(10) order by u.i)) as context_digest
+  from u join norm n on n.block_id = u.block_id and n.book_id = u.book_id join ol on ol.book_id = u.book_id group by 1, 2)
+ select book_id, page, context_digest, sha256(concat_ws('|', context_digest, 'sha256:' || coalesce(mf.m, sha256(book_id)), 'ja-word-wrap-v1', 'proposal-v1', 'default-v1', '1')) as cache_key from dg left join mf using (book_id)""",
     "page_chunks": f"with {_SESS} select book_id, cast(floor((page - 1) / 15) as int) as chunk, count(*) as pages, min(page) as first_page, max(page) as last_page from sess group by 1, 2",
     "proposal_validity": f"{_PAIRS} select book_id, page, segment_id, coalesce(failure, 'valid') as verdict from claim",
     "assembled_segments": f"with recursive {_NORM}, {_SEG}{_PROP}{_ASM} select segment_id, book_id, page, first_order, content_type, audience, inherited_audience, document_type, blocks, normalized_text, joins, case when len(rl) > 0 then 'required' else 'not_required' end as review_status from asm",
@@ -161,7 +210,8 @@ SQL: dict[str, str] = {
     "source_coverage": f"with {_BLK}, {_SEG}, {_SPAN}{_RUNS} select book_id, cast(coalesce(sum(case when depth > 0 then b - a end), 0) as bigint) as covered, cast(sum(b - a) as bigint) as total, round(coalesce(sum(case when depth > 0 then b - a end), 0) / sum(b - a), 6) as ratio from runs group by 1",
     "source_gaps": f"with {_BLK}, {_SEG}, {_SPAN}{_RUNS}{_GAPS} select * from gaps",
     "source_overlaps": f"with {_BLK}, {_SEG}, {_SPAN}{_RUNS}{_OVER} select * from overs",
-    "source_order_reversals": f"{_ALLERR} select segment_id, page, rect_id, \"at\" from rev",
+    "source_order_reversals": f"""with recursive seg as (select * from (select segment_id, source_spans from (select * from segments qualify row_number() over (partition by segment_id order by loaded_at desc) = 1)) union all
+ select segment_id || '~', list_reverse(source_spans) from (select * from segments qualify row_number() over (partition by segment_id order by loaded_at desc) = 1)), {_ERR[_ERR.index("rev0 as") : _ERR.index(",\n errs as")]} select segment_id, page, rect_id, "at" from rev""",
     "invalid_references": f'{_ALLERR} select segment_id, page, rect_id, a as "start", b as "end" from inv',
     "parent_cycles": f"with recursive {_CYCLE} select segment_id, root_id from ring",
     "player_visibility": f"with {_SEG} select segment_id, audience || '_audience_visible' as code from seg where review_status <> 'rejected' and audience in ('gm', 'unknown')",
@@ -170,11 +220,16 @@ SQL: dict[str, str] = {
  per as (select book_id, count(*) as classified, count(*) filter (ok = 0) as failed from bp group by 1), er as (select book_id, count(*) as errors from (select book_id from gaps union all select book_id from overs) group by 1)
  select book_id, classified, failed, coalesce(errors, 0) as errors, cast(case when failed > 0 and failed >= classified then 3 when coalesce(errors, 0) > 0 then 4 else 0 end as int) as exit_code from per left join er using (book_id)""",
     "review_queue": f"with {_SESS}, {_SEG}, {_NEAR} select book_id || ':' || segment_id as review_id, segment_id, array_to_string(reasons, ',') as reasons, severity, page, image_name, sha256(before || '|' || after) as context from rq",
-    "review_markdown": f"""with {_SESS}, {_SEG}, {_NEAR}, md as (select *, book_id || ':' || segment_id as review_id from rq)
- select review_id, concat_ws(chr(10), '## ' || review_id, '- severity: ' || severity, '- reasons: ' || array_to_string(reasons, ', '), '- page: ' || coalesce(cast(page as varchar), ''), '- image: ' || coalesce(image_name, '(なし)'),
-  '```text' || chr(10) || case when coalesce(raw_text, '') = '' then '(なし)' else raw_text end || chr(10) || '```', '```text' || chr(10) || case when before = '' then '(なし)' else before end || chr(10) || '```',
-  '```text' || chr(10) || case when after = '' then '(なし)' else after end || chr(10) || '```', '{{"review_id":"' || review_id || '","segment_id":"' || segment_id || '","status":"approved","comment":""}}',
-  '{{"review_id":"' || review_id || '","segment_id":"' || segment_id || '","status":"rejected","comment":""}}') as markdown from md""",
+    "review_markdown": f"""with {_SESS}, {_SEG}, {_NEAR}, md as (select *, book_id || ':' || segment_id as review_id, row_number() over (partition by book_id order by page nulls first, rect_id nulls first, first_start nulls first, segment_id) as item from rq),
+ ex as (select *, '",' || chr(10) || '  "input_hash": "<source-sha256-or-input-hash>",' || chr(10) || '  "processing_version": "<pipeline-or-prompt-version>",' || chr(10) || '  "decided_by": "<reviewer-id>",' || chr(10) || '  "comment": ""' || chr(10) || '}}' as rest,
+  '{{' || chr(10) || '  "review_id": ' || cast(to_json(review_id) as varchar) || ',' || chr(10) || '  "segment_id": ' || cast(to_json(segment_id) as varchar) || ',' || chr(10) || '  "status": "' as open from md)
+ select book_id, cast(0 as int) as item, '# レビューキュー' || chr(10) || chr(10) || '件数: ' || count(*) || chr(10) as markdown from md group by book_id
+ union all select book_id, cast(item as int), concat_ws(chr(10), '## ' || item || '. ' || review_id, '', '- **review_id**: `' || review_id || '`', '- **segment_id**: `' || segment_id || '`', '- **危険度 (severity)**: ' || severity, '- **理由 (reasons)**: ' || array_to_string(reasons, ', '),
+  '- **書籍 (book_id)**: ' || book_id, '- **ページ (page)**: ' || coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(source_spans, lambda x: x.page), lambda v: v is not null))), ', '), ''),
+  '- **rect_id**: ' || coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(source_spans, lambda x: x.rect_id), lambda v: v is not null))), ', '), ''), '- **元画像名 (image_name)**: ' || coalesce(nullif(image_name, ''), '(なし)'), '- **status**: `' || review_status || '`', '',
+  '### 原文 (raw_text)', '', '```text', coalesce(raw_text, ''), '```', '', '### 正規化案 (normalized_text)', '', '```text', coalesce(normalized_text, ''), '```', '',
+  '### 前文脈 (context_before)', '', '```text', coalesce(nullif(before, ''), '(なし)'), '```', '', '### 後文脈 (context_after)', '', '```text', coalesce(nullif(after, ''), '(なし)'), '```', '',
+  '### 承認時に記録する JSON 例', '', '```json', open || 'approved' || rest, '```', '', '### 却下時に記録する JSON 例', '', '```json', open || 'rejected' || rest, '```', '') from ex""",
     "apply_review_decisions": f"with {_SEG}, {_DECISION} select segment_id, outcome, new_status as review_status, array_to_string(new_rs, ',') as reasons from decided",
     "flagged_segments": f"""{_ALLERR}, {_DECISION}, codes as (select segment_id, list(distinct code order by code) as codes from errs where segment_id is not null group by 1)
  select segment_id, case when codes is not null then 'required' else new_status end as review_status, array_to_string(list_concat(new_rs, list_filter(coalesce(codes, []), lambda c: not list_contains(new_rs, c))), ',') as reasons from decided left join codes using (segment_id)""",
@@ -208,13 +263,16 @@ SQL: dict[str, str] = {
     "cache_summary": f"""with {_SEG}, {_CACHE} select outcome, count(*) as n, cast(list_position(['hit', 'missing', 'corrupted', 'cache_version_mismatch', 'schema_mismatch', 'prompt_mismatch', 'model_mismatch', 'extractor_mismatch', 'result_schema_mismatch', 'validator_mismatch',
  'source_mismatch', 'invalid_shape'], outcome) as int) as place from oc group by 1""",
     "resume_worklist": f"with {_BLK}, {_SEG}, {_SPAN} select block_id from blk where (book_id, page, rect_id) not in (select (book_id, page, rect_id) from spans)",
-    "stale_outputs": f"with {_SESS}, {_SEG}, {_SPAN} select distinct book_id, page from spans where (book_id, page) not in (select (book_id, page) from sess where page is not null)",
+    "stale_outputs": f"with {_SESS}, {_SEG}, {_SPAN} select distinct book_id, page from spans where (book_id, page) not in (select (book_id, page) from sess where page is not null and len(list_filter(regions, lambda r: r.ocr_status is distinct from 'done')) = 0)",
     "stem_collisions": r"""select stem, cast(count(*) as int) as n, string_agg(book_id, ',' order by book_id) as members from (select distinct regexp_replace(file_name, '\..*$', '') as stem, book_id from region_sessions) group by 1 having count(*) > 1""",
-    "session_merge": f"""with x as (select *, {_PAGE} as page from region_sessions), l as (select book_id, page, unnest(regions) as r from x qualify dense_rank() over (partition by book_id, page order by saved_at desc, session_id desc) = 1),
- f as (select book_id, page, unnest(regions) as r from x qualify dense_rank() over (partition by book_id, page order by saved_at, session_id) = 1),
- o as (select book_id, page, r.rectangle.rect_id as rect_id, r.text as text, r.ocr_status as st from f)
- select l.book_id, l.page, l.r.rectangle.rect_id as rect_id, l.r.rectangle.draw_order as draw_order, l.r.rectangle.x as x, l.r.rectangle.y as y, case when o.st = 'done' then o.text else l.r.text end as text,
-  case when o.st = 'done' then o.st else l.r.ocr_status end as ocr_status, coalesce(o.st = 'done', false) as kept from l left join o on o.book_id = l.book_id and o.page = l.page and o.rect_id = l.r.rectangle.rect_id""",
+    "session_merge": f"""with x as (select *, {_PAGE} as page, dense_rank() over (partition by book_id, {_PAGE} order by saved_at, session_id) as no from region_sessions),
+ r as (select book_id, page, no, u.rectangle.rect_id as rect_id, u.rectangle.draw_order as draw_order, u.rectangle.x as x, u.rectangle.y as y, u.text as text, u.ocr_status as st, max(no) over (partition by book_id, page) as last
+  from (select book_id, page, no, unnest(regions) as u from x where page is not null)),
+ b as (select *, row_number() over (partition by book_id, page, rect_id order by no desc) as back from r where rect_id is not null),
+ k as (select * from b where no + back = last + 1),
+ d as (select book_id, page, rect_id, min(no) as first from k where st = 'done' group by all)
+ select n.book_id, n.page, n.rect_id, n.draw_order, n.x, n.y, case when d.first < n.no then o.text else n.text end as text, case when d.first < n.no then o.st else n.st end as ocr_status, coalesce(d.first < n.no, false) as kept
+  from k n left join d using (book_id, page, rect_id) left join k o on o.book_id = n.book_id and o.page = n.page and o.rect_id = n.rect_id and o.no = d.first where n.no = n.last""",
     "undone_regions": f"""with {_REG}, c as (select image_name from (select distinct image_name, book_id || '/' || file_name as m from region_sessions where image_name is not null) group by 1 having count(*) > 1)
  select image_name, rect_id, draw_order, ocr_status from reg where ocr_status in ('pending', 'error') and image_name is not null and image_name not in (select image_name from c)""",
     "region_markdown": f"with {_REG} select book_id, page, string_agg(coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) order by draw_order, rect_id) as markdown from reg where ocr_status = 'done' group by 1, 2",
@@ -224,7 +282,7 @@ SQL: dict[str, str] = {
     "perf_by_file": f"""with {_TIME} select file_key, round(sum(elapsed), 4) as real_total, round(coalesce(sum(elapsed) filter (kind = 'step' and outcome = 'success'), 0.0), 4) as success_total, round(coalesce(sum(elapsed) filter (kind = 'wait'), 0.0), 4) as waited,
  count(*) filter (kind = 'step') as attempts, count(*) filter (outcome = 'error') as failures, arg_max(step_name, seq) filter (outcome = 'error') as last_failure from t group by 1""",
     "perf_waits": f"with {_TIME} select round(coalesce(sum(elapsed), 0.0), 4) as total, round(coalesce(avg(elapsed), 0.0), 4) as mean, count(*) as n from t where kind = 'wait'",
-    "redact_secrets": """select doc_id, regexp_replace(text, '(?i)\\b([A-Z0-9_]*(?:SECRET|TOKEN|CREDENTIAL|PASSWORD|API_KEY)[A-Z0-9_]*\\s*=)\\s*("(?:[^"\\\\]|\\\\.)*"|''(?:[^''\\\\]|\\\\.)*''|[^\\s`"'']+)', '\\1[REDACTED]', 'g') as text from documents""",
+    "redact_secrets": """select doc_id, regexp_replace(text, '(?is)(\\b\\w*(?:SECRET|TOKEN|CREDENTIAL|PASSWORD|API_KEY)\\w*\\s*=)\\s*(?:"(?:\\\\.|[^"\\\\])*"|''(?:\\\\.|[^''\\\\])*''|[^\\s"''`]+)', '\\1[REDACTED]', 'g') as text from documents""",
     "handoff_summary": f"""with {_LOG}, o as (select session, value, min((decided_at, processing_version, input_hash)) as p from log where coalesce(value, '') <> '' group by 1, 2), d as (select session, string_agg(value, ',' order by p, value) as deciders from o group by 1)
  select session, arg_max(value, (decided_at, processing_version, input_hash)) filter (type = 'approved' and value is not null) as last_approver, arg_max(value, (decided_at, processing_version, input_hash)) filter (type = 'rejected' and value is not null) as last_rejecter, any_value(deciders) as deciders
  from log left join d using (session) group by 1""",
@@ -246,7 +304,7 @@ SQL: dict[str, str] = {
     "y_gap_bands": f"""with {_BOX}, a as (select *, max(bottom) over (partition by book_id, page order by top, "left", rect_id rows between unbounded preceding and 1 preceding) as above from box),
  n as (select *, case when top - above >= image_height * 0.016 then 1 else 0 end as new from a) select book_id, page, rect_id, cast(sum(new) over (partition by book_id, page order by top, "left", rect_id) as bigint) as band from n""",
     "hit_test": f"""with {_BOX} select book_id, page, arg_min(rect_id, (("right" - "left") * (bottom - top), draw_order, rect_id)) as rect_id from box where image_width // 2 >= "left" and image_width // 2 < "right" and image_height // 2 >= top and image_height // 2 < bottom group by 1, 2""",
-    "iou_pairs": f"""with {_BOX}, p as (select a.book_id, a.page, a.rect_id as rect_1, b.rect_id as rect_2, greatest(least(a."right", b."right") - greatest(a."left", b."left"), 0) * greatest(least(a.bottom, b.bottom) - greatest(a.top, b.top), 0) as i,
+    "iou_pairs": f"""with {_BOX.replace("box as (select * from (", "tight as (select * from (")}, box as (select book_id, page, rect_id, greatest("left" - 40, 0) as "left", greatest(top - 40, 0) as top, least("right" + 40, image_width) as "right", least(bottom + 40, image_height) as bottom from tight), p as (select a.book_id, a.page, a.rect_id as rect_1, b.rect_id as rect_2, greatest(least(a."right", b."right") - greatest(a."left", b."left"), 0) * greatest(least(a.bottom, b.bottom) - greatest(a.top, b.top), 0) as i,
   (a."right" - a."left") * (a.bottom - a.top) as x, (b."right" - b."left") * (b.bottom - b.top) as y from box a join box b on a.book_id = b.book_id and a.page = b.page and a.rect_id < b.rect_id)
  select book_id, page, rect_1, rect_2, round(i / (x + y - i), 6) as iou from p where i > 0""",
     "flatten_rules": f"with recursive {_CYCLE} select id, root_id as root, depth, cast(row_number() over (partition by root_id order by path) as int) as place from up",

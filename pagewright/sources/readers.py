@@ -24,6 +24,9 @@ SEGMENT = (
 )
 DECISION = "review_id string, segment_id string, status string, input_hash string, processing_version string, decided_by string, comment string"
 GOLD_QUERY = "query_id string, text string, relevant_ids array<string>, query_type string"
+GOLD_SEGMENTS = "gold-segments.jsonl"
+#: What recognition always gets wrong, and how it is spelled.
+CORRECTIONS = {"NOVA": "N◎VA"}
 IMAGE_ENDINGS = (".png", ".jpg", ".jpeg", ".webp", ".gif", ".tif", ".tiff", ".pdf")
 #: Pages of one external text recognition request.
 PAGES_PER_REQUEST = 15
@@ -38,6 +41,11 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return json_records(spark, path, MANIFEST, lines=False)
 
 
+def gold_segments(spark: SparkSession, path: str) -> DataFrame:
+    """Gold segments from a file of lines, or from the file of that name in a folder."""
+    return json_records(spark, path if path.rstrip("/").endswith(".jsonl") else f"{path.rstrip('/')}/{GOLD_SEGMENTS}", SEGMENT)
+
+
 def tolerant_lines(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """JSON lines in file order: path, line_no and the parsed object; lines that are no object are left out, their numbers are kept."""
     kind = schema.simpleString() if isinstance(schema, StructType) else schema
@@ -50,11 +58,16 @@ def tolerant_lines(spark: SparkSession, path: str, schema: str | StructType) ->
 
 def page_sessions(spark: SparkSession, folder: str, glob: str, pattern: str, book_id: str) -> DataFrame:
     """One row per session file: book_id, page, source_sha256 and the session's fields; a file name without page or two files of one page fail."""
-    java, group = java_pattern(pattern)
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    return parsed_sessions(files.select(F.lit(book_id).alias("book_id"), "path", "content"), pattern)
+
+
+def parsed_sessions(files: DataFrame, pattern: str) -> DataFrame:
+    """The same from files at hand: book_id, path, content."""
+    java, group = java_pattern(pattern)
     name = F.element_at(F.split("path", "/"), -1)
-    rows = files.select(F.lit(book_id).alias("book_id"), name.alias("file_name"), page_number(name, java, group).alias("page"), F.sha2("content", 256).alias("source_sha256"), F.from_json(F.col("content").cast("string"), SESSION, {"mode": "FAILFAST"}).alias("s"))
-    count = F.count("*").over(Window.partitionBy("page"))
+    rows = files.select("book_id", name.alias("file_name"), page_number(name, java, group).alias("page"), F.sha2("content", 256).alias("source_sha256"), F.from_json(F.col("content").cast("string"), SESSION, {"mode": "FAILFAST"}).alias("s"))
+    count = F.count("*").over(Window.partitionBy("book_id", "page"))
     problem = F.when(F.col("page").isNull(), F.concat(F.lit("no page number in "), F.col("file_name"))).when(count > 1, F.concat(F.lit("several files for page "), F.col("page").cast("string")))
     rows = rows.withColumn("problem", problem)
     checked = rows.where(F.when(F.col("problem").isNotNull(), F.raise_error(F.col("problem")).cast("boolean")).otherwise(F.lit(True)))
@@ -86,10 +99,14 @@ def proposed_schema(blocks: DataFrame) -> DataFrame:
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
     """path, name and stem of the image files of a folder, by name; contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(folder).select("path")
+    return image_names(spark.read.format("binaryFile").option("pathGlobFilter", "*").load(folder).select("path")).orderBy("name")
+
+
+def image_names(files: DataFrame) -> DataFrame:
+    """The images among files (path): path, name and stem."""
     name = F.element_at(F.split("path", "/"), -1)
     named = files.select("path", name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"))
-    return named.where(F.lower("name").rlike("(" + "|".join(e.replace(".", r"\.") for e in IMAGE_ENDINGS) + ")$")).orderBy("name")
+    return named.where(F.lower("name").rlike("(" + "|".join(e.replace(".", r"\.") for e in IMAGE_ENDINGS) + ")$"))
 
 
 def safe_name(name: str) -> str:
@@ -118,6 +135,14 @@ def select_session(lines: DataFrame, path: str, timestamp: str, session: str, wa
     return hits.where("hit").orderBy(F.desc("timestamp"), path).select(path, "timestamp").limit(1)
 
 
+def newest_logs(lines: DataFrame, path: str, timestamp: str, session: str) -> DataFrame:
+    """For every session the newest log whose records name it (of equally new ones the last by path): session, path, timestamp."""
+    times = lines.groupBy(path).agg(F.max(timestamp).alias("timestamp"))
+    named = lines.where(F.col(session).isNotNull()).select(session, path).distinct().join(times, path)
+    best = named.groupBy(session).agg(F.max(F.struct(F.coalesce("timestamp", F.lit("")).alias("at"), path, "timestamp")).alias("b"))
+    return best.select(session, f"b.{path}", "b.timestamp")
+
+
 def sessions_or_empty(images_: DataFrame, sessions: DataFrame, name: str = "image_name") -> DataFrame:
     """Every image with its session's regions, none where it has no session yet."""
     return images_.join(sessions.select(name, "regions"), name, "left").withColumn("regions", F.coalesce("regions", F.array().cast(sessions.schema["regions"].dataType)))
@@ -125,21 +150,27 @@ def sessions_or_empty(images_: DataFrame, sessions: DataFrame, name: str = "imag
 
 def cached_blocks(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """Stored detections that still fit: unreadable files and those of another image name count as missing. wanted: (stem, image_name)."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/.]+)[^/]*$", 1).alias("stem"), "value")
+    return fitting_blocks(files, wanted)
+
+
+def fitting_blocks(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The same from files at hand: stem, value."""
     kind = "image_name string, image_width int, image_height int, blocks array<struct<x: int, y: int, width: int, height: int>>, detected_at timestamp"
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/.]+)[^/]*$", 1).alias("stem"), F.from_json("value", kind, {"mode": "PERMISSIVE"}).alias("c"))
+    files = files.select("stem", F.from_json("value", kind, {"mode": "PERMISSIVE"}).alias("c"))
     return wanted.join(files.where("c.image_name is not null and c.blocks is not null"), "stem").where("c.image_name = image_name").select("stem", "image_name", "c.image_width", "c.image_height", "c.blocks")
 
 
-def block_regions(df: DataFrame) -> DataFrame:
+def block_regions(df: DataFrame, *keys: str) -> DataFrame:
     """Recognised blocks as page regions: corners 1 and 3 of the normalised outline in whole pixels, the first 100 characters of their text.
 
     df: page_width, page_height, text, blocks array<struct<vertices: array<struct<x, y>>, segments: array<struct<start, end>>, confidence>>;
     blocks with under four corners are left out.
     """
-    rows = df.select("page_width", "page_height", "text", F.posexplode("blocks").alias("block_no", "b")).where("size(b.vertices) >= 4")
+    rows = df.select(*keys, "page_width", "page_height", "text", F.posexplode("blocks").alias("block_no", "b")).where("size(b.vertices) >= 4")
     at = lambda k, axis, size: (F.get("b.vertices", F.lit(k))[axis] * F.col(size)).cast("int")
     words = F.array_join(F.transform("b.segments", lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])), "")
-    return rows.select("block_no", at(0, "x", "page_width").alias("left"), at(0, "y", "page_height").alias("top"), at(2, "x", "page_width").alias("right"), at(2, "y", "page_height").alias("bottom"), F.col("b.confidence").alias("confidence"), F.substring(words, 1, 100).alias("snippet"))
+    return rows.select(*keys, "block_no", at(0, "x", "page_width").alias("left"), at(0, "y", "page_height").alias("top"), at(2, "x", "page_width").alias("right"), at(2, "y", "page_height").alias("bottom"), F.col("b.confidence").alias("confidence"), F.substring(words, 1, 100).alias("snippet"))
 
 
 def joined_recognition(chunks: DataFrame, keys: list[str], replacements: dict[str, str]) -> DataFrame:

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
 from collections.abc import Callable
-from pathlib import Path
+from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,60 +29,103 @@ def upsert_by_key(new: DataFrame, old: DataFrame | None, keys: list[str]) -> Dat
     return new if old is None else old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
-def publish(folder: str, writers: dict[str, Callable[[str], None]], manifest: str = "manifest.json") -> list[str]:
+class _Folder:
+    """A folder of any file system the cluster knows."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.root, self._jvm = root.rstrip("/"), spark.sparkContext._jvm
+        self._fs = self.path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self.path(name))
+
+    def remove(self, name: str) -> None:
+        self._fs.delete(self.path(name), True)
+
+    def make(self, name: str) -> None:
+        self._fs.mkdirs(self.path(name))
+
+    def move(self, name: str, to: str) -> None:
+        if not self._fs.rename(self.path(name), self.path(to)):
+            raise OSError(f"{name} can't be moved to {to}")
+
+    def read(self, name: str) -> str | None:
+        if not self.exists(name):
+            return None
+        stream = self._fs.open(self.path(name))
+        try:
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        stream = self._fs.create(self.path(name), True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
+
+def publish(spark: SparkSession, folder: str, writers: dict[str, Callable[[str], None]], manifest: str = "manifest.json") -> list[str]:
     """Writes several outputs beside the old ones and puts them in place together; after an error all old ones are back.
 
     ``writers`` maps an output's name to what writes it to a path. Outputs the last manifest names and
-    this call does not are removed. For local and mounted folders; returns the removed names.
+    this call does not are removed. Works on any file system Spark can write; returns the removed names.
     """
-    root = Path(folder)
-    root.mkdir(parents=True, exist_ok=True)
-    stage, backup = root / ".stage", root / ".backup"
+    at = _Folder(spark, folder)
+    stage, backup = ".stage", ".backup"
     for d in (stage, backup):
-        shutil.rmtree(d, ignore_errors=True)
-        d.mkdir()
-    last = root / manifest
-    before = managed(last)
+        at.remove(d)
+        at.make(d)
+    stale = sorted(set(managed(at.read(manifest))) - set(writers))
+    moved: list[str] = []
+    fresh: list[str] = []
     try:
         for name, write in writers.items():
-            write(str(stage / name))
+            write(f"{at.root}/{stage}/{name}")
+        at.write(f"{stage}/{manifest}", json.dumps({"version": 1, "files": sorted(writers)}, ensure_ascii=False))
+        for name in [*writers, *stale, manifest]:
+            if at.exists(name):
+                at.move(name, f"{backup}/{name}")
+                moved.append(name)
+        for name in [*writers, manifest]:
+            at.move(f"{stage}/{name}", name)
+            fresh.append(name)
     except BaseException:
-        for d in (stage, backup):
-            shutil.rmtree(d, ignore_errors=True)
-        raise
-    moved: list[tuple[Path, Path]] = []
-    fresh: list[Path] = []
-    stale = sorted(set(before) - set(writers))
-    try:
-        for name in [*writers, *stale]:
-            if (root / name).exists():
-                os.replace(root / name, backup / name)
-                moved.append((backup / name, root / name))
-        for name in writers:
-            os.replace(stage / name, root / name)
-            fresh.append(root / name)
-        temp = stage / manifest
-        temp.write_text(json.dumps({"version": 1, "files": sorted(writers)}, ensure_ascii=False))
-        os.replace(temp, last)
-    except BaseException:
-        for p in fresh:
-            shutil.rmtree(p) if p.is_dir() else p.unlink()
-        for kept, home in moved:
-            os.replace(kept, home)
+        for name in fresh:
+            at.remove(name)
+        for name in moved:
+            at.move(f"{backup}/{name}", name)
         raise
     finally:
-        shutil.rmtree(stage, ignore_errors=True)
-        shutil.rmtree(backup, ignore_errors=True)
+        at.remove(stage)
+        at.remove(backup)
     return stale
 
 
-def managed(manifest: Path) -> list[str]:
-    """Names the manifest lists; none if it is missing, unreadable or names a path outside its folder."""
+def managed(manifest: str | None) -> list[str]:
+    """Names a manifest lists; none if it is missing, unreadable or names a path outside its folder."""
     try:
-        names = json.loads(manifest.read_text())["files"]
-    except (OSError, ValueError, KeyError, TypeError):
+        names = json.loads(manifest or "")["files"]
+    except (ValueError, KeyError, TypeError):
         return []
-    return names if all(isinstance(n, str) and not Path(n).is_absolute() and ".." not in Path(n).parts for n in names) else []
+    return names if all(isinstance(n, str) and not PurePosixPath(n).is_absolute() and ".." not in PurePosixPath(n).parts for n in names) else []
+
+
+#: Endings of the outputs of other modes, and folders of work in progress.
+RESERVED_ENDINGS = (".docai.tsv", ".gamedata.tsv", ".structured.tsv", ".schema.tsv")
+WORK_FOLDERS = (".stage", ".backup", ".cache")
+
+
+def is_legacy_output(name: Column) -> Column:
+    """Whether a file that no manifest names is taken for an output of an older version: tab-separated text of no other mode and of no work folder."""
+    own = name.endswith(".tsv")
+    for e in RESERVED_ENDINGS:
+        own = own & ~name.endswith(e)
+    return own & ~F.substring_index(name, "/", 1).isin(*WORK_FOLDERS)
 
 
 #: The sections of a structured page and their fields, in order; lone dashes become hyphens in those marked.
@@ -153,10 +194,3 @@ def handoff_markdown(sessions: DataFrame) -> DataFrame:
     table = F.concat_ws("\n", F.lit("| id | subject | status |"), F.lit("| --- | --- | --- |"), F.array_join(rows, "\n"))
     text = F.concat_ws("\n\n", F.concat(F.lit("# "), F.coalesce("title", "session")), F.lit("## Tasks"), table, F.lit("## Next"), bullets(F.col("next_work")), F.lit("## Reports"), F.array_join("reports", "\n\n"))
     return sessions.select("session", text.alias("markdown"))
-
-
-def legacy_outputs(folder: str, reserved: tuple[str, ...], skip: tuple[str, ...] = (".stage", ".backup")) -> list[str]:
-    """Tab-separated files below a folder that no manifest names: those of no other mode and of no work folder."""
-    root = Path(folder)
-    found = (p.relative_to(root) for p in root.rglob("*.tsv") if p.is_file())
-    return sorted(str(p) for p in found if p.parts[0] not in skip and not p.name.endswith(reserved))

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagewright.operators import pages
 from pagewright.sources import readers, sinks
@@ -78,21 +79,24 @@ def test_listing_and_names(spark, tmp_path):
     assert [(r.path, r.timestamp) for r in readers.session_times(logs, "path", "line_no", "ts").collect()] == [("b", "5"), ("a", "1")]
 
 
-def test_publishing_several_outputs(tmp_path):
+def test_publishing_several_outputs(spark, tmp_path):
     put = lambda text: lambda path: open(path, "w").write(text)
     root = tmp_path / "out"
-    assert sinks.publish(str(root), {"a.tsv": put("1"), "b.tsv": put("2")}) == []
+    names = lambda: sorted(p.name for p in root.iterdir() if not p.name.startswith("."))
+    assert sinks.publish(spark, str(root), {"a.tsv": put("1"), "b.tsv": put("2")}) == []
 
     def fail(path):
         raise RuntimeError("no")
 
     with pytest.raises(RuntimeError):
-        sinks.publish(str(root), {"a.tsv": put("9"), "c.tsv": fail})
-    assert sorted(p.name for p in root.iterdir()) == ["a.tsv", "b.tsv", "manifest.json"] and (root / "a.tsv").read_text() == "1"
-    assert sinks.publish(str(root), {"a.tsv": put("3")}) == ["b.tsv"]
-    assert sorted(p.name for p in root.iterdir()) == ["a.tsv", "manifest.json"] and (root / "a.tsv").read_text() == "3"
-    (root / "manifest.json").write_text('{"files": ["../x"]}')
-    assert sinks.managed(root / "manifest.json") == []
+        sinks.publish(spark, str(root), {"a.tsv": put("9"), "c.tsv": fail})
+    assert names() == ["a.tsv", "b.tsv", "manifest.json"] and (root / "a.tsv").read_text() == "1"
+    with pytest.raises(OSError):
+        sinks.publish(spark, str(root), {"a.tsv": put("9"), "c.tsv": lambda path: None})  # writes nothing
+    assert names() == ["a.tsv", "b.tsv", "manifest.json"] and (root / "a.tsv").read_text() == "1"
+    assert sinks.publish(spark, str(root), {"a.tsv": put("3")}) == ["b.tsv"]
+    assert names() == ["a.tsv", "manifest.json"] and (root / "a.tsv").read_text() == "3"
+    assert sinks.managed('{"files": ["../x"]}') == sinks.managed(None) == sinks.managed("[") == [] and sinks.managed('{"files": ["x"]}') == ["x"]
 
 
 def test_stream_drops_results_of_changed_regions(spark, tmp_path):
@@ -144,8 +148,16 @@ def test_texts_of_structured_pages(spark):
     assert "| 1 | a\\|b | open |" in sinks.handoff_markdown(page).first().markdown
 
 
-def test_outputs_no_manifest_names(tmp_path):
-    for n in ("a.tsv", "x.docai.tsv", ".stage/b.tsv", "sub/c.tsv", "note.txt"):
-        (tmp_path / n).parent.mkdir(exist_ok=True)
-        (tmp_path / n).write_text("x")
-    assert sinks.legacy_outputs(str(tmp_path), (".docai.tsv",)) == ["a.tsv", "sub/c.tsv"]
+def test_outputs_no_manifest_names(spark):
+    names = ["a.tsv", "x.docai.tsv", ".stage/b.tsv", "sub/c.tsv", "note.txt"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    assert [r.name for r in df.where(sinks.is_legacy_output(F.col("name"))).collect()] == ["a.tsv", "sub/c.tsv"]
+
+
+def test_answers_are_asked_for_again():
+    from pagewright.operators import classify
+
+    waits = []
+    assert classify.decoded_answer(iter(["{", "[1]"]).__next__, sleep=waits.append) == [1] and waits == [1.0]
+    with pytest.raises(ValueError):
+        classify.decoded_answer(lambda: "{", sleep=waits.append)
