@@ -216,18 +216,17 @@ def repeated_lines(df: DataFrame, doc: str, source: str, text: str) -> DataFrame
         wanted = forms.select("form", F.explode("bands").alias("band")).join(big, short == F.col("h")).groupBy("form").agg(F.collect_set("band").alias("held"))
         forms = forms.join(wanted, "form").select("form", "n", "mask", "bits", F.col("held").alias("bands"))
     clusters = _clusters(stored(forms))
-    # a line may hold any share of its source's rows: its rows go over SALTS partitions at each join
+    # a line, and a source, may hold any share of all rows: they go over SALTS partitions at each join
     salts = F.array(*[F.lit(i) for i in range(SALTS)])
-    slim = lines.select("form", "key", "source", F.xxhash64("doc").alias("doc")).withColumn("salt", F.pmod("doc", F.lit(SALTS)).cast("int"))
-    slim = slim.join(clusters.withColumn("salt", F.explode(salts)), ["form", "salt"])
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+    slim = lines.select("form", "key", "source", F.xxhash64("doc").alias("doc")).withColumn("salt", salt("doc")).join(clusters.withColumn("salt", F.explode(salts)), ["form", "salt"])
+    held = cut(slim.groupBy("form", "key", "cluster", "source", "doc").agg(F.lit(1).alias("one")).drop("one"))
+    docs = held.groupBy("cluster", "source", "doc").agg(F.lit(1)).groupBy("cluster", "source").agg(F.count("*").alias("cluster_docs")).withColumn("salt", salt("cluster"))
     need = F.greatest(F.lit(MIN_DOCS), F.col("source_docs") * MIN_SHARE)
-    docs = slim.groupBy("cluster", "source", "doc").agg(F.lit(1)).groupBy("cluster", "source").agg(F.count("*").alias("cluster_docs"))
-    often = docs.join(sizes, "source").where(F.col("cluster_docs") >= need).select("cluster", "cluster_docs", "source_docs")
-    inside = slim.join(often.withColumn("salt", F.explode(salts)), ["cluster", "salt"])
-    keys = inside.groupBy("form", "key", "doc").agg(F.first("cluster_docs").alias("cluster_docs"), F.first("source_docs").alias("source_docs"))
-    keys = keys.groupBy("form", "key").agg(F.count("*").alias("key_docs"), F.first("cluster_docs").alias("cluster_docs"), F.first("source_docs").alias("source_docs"))
-    told = lines.select("doc", "source", "line_no", "key").withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
-    out = told.join(keys.drop("form").withColumn("salt", F.explode(salts)), ["key", "salt"]).drop("salt").distinct()
+    often = docs.join(sizes.withColumn("salt", F.explode(salts)), ["source", "salt"]).where(F.col("cluster_docs") >= need).select("cluster", "cluster_docs", "source_docs")
+    keys = held.groupBy("form", "key", "cluster").agg(F.count("*").alias("key_docs")).join(often, "cluster").select("key", "key_docs", "cluster_docs", "source_docs")
+    told = lines.select("doc", "source", "line_no", "key").withColumn("salt", salt("doc"))
+    out = told.join(keys.withColumn("salt", F.explode(salts)), ["key", "salt"]).drop("salt").distinct()
     return out.select(F.col("doc").alias(doc), F.col("source").alias(source), "line_no", "key_docs", "cluster_docs", "source_docs")
 
 
