@@ -49,7 +49,7 @@ class _Folder:
         self._fs.mkdirs(self.path(name))
 
     def move(self, name: str, to: str) -> None:
-        if not self._fs.rename(self.path(name), self.path(to)):
+        if not self.exists(name) or not self._fs.rename(self.path(name), self.path(to)):
             raise OSError(f"{name} can't be moved to {to}")
 
     def read(self, name: str) -> str | None:
