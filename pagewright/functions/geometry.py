@@ -40,6 +40,22 @@ def iou(a: Column, b: Column) -> Column:
     return both / (area(a) + area(b) - both)
 
 
+def greedy_matches(pairs: Column) -> Column:
+    """Of pairs array<struct<share, one, two>> the best ones, each side used once: by share from the largest, of equal ones by names.
+
+    A page is bounded, so the fold runs inside its row.
+    """
+    ordered = F.array_sort(F.transform(pairs, lambda p: F.struct((-p["share"]).alias("less"), p["one"].alias("one"), p["two"].alias("two"))))
+    names, kept = F.array().cast("array<string>"), F.array().cast("array<struct<one:string,two:string,share:double>>")
+
+    def step(done: Column, p: Column) -> Column:
+        free = ~F.array_contains(done["ones"], p["one"]) & ~F.array_contains(done["twos"], p["two"])
+        grown = lambda c, v: F.when(free, F.concat(done[c], F.array(v))).otherwise(done[c]).alias(c)
+        return F.struct(grown("ones", p["one"]), grown("twos", p["two"]), grown("kept", F.struct(p["one"].alias("one"), p["two"].alias("two"), (-p["less"]).alias("share"))))
+
+    return F.aggregate(ordered, F.struct(names.alias("ones"), names.alias("twos"), kept.alias("kept")), step)["kept"]
+
+
 def from_polygon(points: Column, page_w: Column, page_h: Column) -> Column:
     """The upright rectangle around polygon points struct<x, y>, inside the page; null if degenerate or of under four points."""
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import geometry
 from pagewright.operators import classify, evaluate, handoff, hierarchy, layout, normalize, pages, perf, review, segments, sessions, typed, validate, views
-from pagewright.runtime import cut, shared_folder, table
+from pagewright.runtime import cut, own_folder, table
 from pagewright.sources import readers, sinks
 
 MODEL, RULE, CONTRACT, VERSION = "default-v1", normalize.JOIN_RULE, "proposal-v1", 1
@@ -509,6 +509,16 @@ def iou_pairs(s, d):
     return p.where(geometry.intersection(F.col("box"), F.col("o")) > 0).select("book_id", "page", F.col("box.rect_id").alias("rect_1"), F.col("o.rect_id").alias("rect_2"), F.round(geometry.iou(F.col("box"), F.col("o")), 6).alias("iou"))
 
 
+def box_matches(s, d):
+    """Boxes with room around them as detections of the boxes themselves: the best pairs of each page, each box used once."""
+    p = _page_boxes(s, d).select("book_id", "page", "image_width", "image_height", "box", F.explode("all").alias("o"))
+    wide = geometry.padded(F.col("box"), 40, F.col("image_width"), F.col("image_height"))
+    share = F.round(geometry.iou(wide, F.col("o")), 9)
+    pairs = p.select("book_id", "page", F.struct(share.alias("share"), F.col("box.rect_id").alias("one"), F.col("o.rect_id").alias("two")).alias("x")).where("x.share > 0")
+    best = pairs.groupBy("book_id", "page").agg(F.collect_list("x").alias("x")).select("book_id", "page", F.inline(geometry.greedy_matches(F.col("x"))))
+    return best.select("book_id", "page", F.col("one").alias("detected"), F.col("two").alias("expected"), F.round("share", 6).alias("iou"))
+
+
 def rect_dedupe(s, d):
     return layout.page_rects(_regions(s, d), ["book_id", "page"])
 
@@ -544,13 +554,12 @@ def flatten_rules(s, d):
 
 def batch_event_stream(s, d):
     """The events as a stream: per user and day events, failures and elapsed time, closed windows only."""
-    import os
     import uuid
 
     from pagewright.streaming import batches
 
     schema = table(s, d, "events").schema
-    work = os.path.join(shared_folder(s), f"stream-{uuid.uuid4().hex}")
+    work = f"{own_folder(s)}/stream-{uuid.uuid4().hex}"
     stream = batches.table_stream(s, f"{d}/events.parquet*", schema, 4)
     batches.run_available(batches.user_activity(stream), f"{work}/out", f"{work}/state")
     out = s.read.schema("window struct<start: timestamp, end: timestamp>, user_id bigint, events bigint, failures bigint, elapsed double").parquet(f"{work}/out")
@@ -563,7 +572,7 @@ _ALL = [
     player_visibility, validation_errors, exit_codes, review_queue, review_markdown, apply_review_decisions, flagged_segments, source_hashes, retrieval_view, topic_view, structure_metrics,
     ranking_scores, ranking_metrics, schema_union, gamedata_pivot, typed_rows_routed, json_lines, cache_outcomes, cache_summary, resume_worklist, stale_outputs, stem_collisions, session_merge,
     undone_regions, region_markdown, next_draw_order, perf_by_step, perf_by_file, perf_waits, redact_secrets, handoff_summary, handoff_reports, handoff_tasks, rect_clamp, card_area_filter,
-    card_boxes, perimeter_filter, noise_filter, y_gap_bands, hit_test, iou_pairs, rect_dedupe, page_columns, block_outlines, card_clusters, vertical_blocks, horizontal_blocks, flatten_rules, batch_event_stream,
+    card_boxes, perimeter_filter, noise_filter, y_gap_bands, hit_test, iou_pairs, box_matches, rect_dedupe, page_columns, block_outlines, card_clusters, vertical_blocks, horizontal_blocks, flatten_rules, batch_event_stream,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
 

@@ -307,6 +307,14 @@ SQL: dict[str, str] = {
     "iou_pairs": f"""with {_BOX.replace("box as (select * from (", "tight as (select * from (")}, box as (select book_id, page, rect_id, greatest("left" - 40, 0) as "left", greatest(top - 40, 0) as top, least("right" + 40, image_width) as "right", least(bottom + 40, image_height) as bottom from tight), p as (select a.book_id, a.page, a.rect_id as rect_1, b.rect_id as rect_2, greatest(least(a."right", b."right") - greatest(a."left", b."left"), 0) * greatest(least(a.bottom, b.bottom) - greatest(a.top, b.top), 0) as i,
   (a."right" - a."left") * (a.bottom - a.top) as x, (b."right" - b."left") * (b.bottom - b.top) as y from box a join box b on a.book_id = b.book_id and a.page = b.page and a.rect_id < b.rect_id)
  select book_id, page, rect_1, rect_2, round(i / (x + y - i), 6) as iou from p where i > 0""",
+    "box_matches": f"""with recursive {_BOX}, w as (select *, greatest("left" - 40, 0) as wl, greatest(top - 40, 0) as wt, least("right" + 40, image_width) as wr, least(bottom + 40, image_height) as wb from box),
+ pi as (select a.book_id, a.page, a.rect_id as one, b.rect_id as two, greatest(least(a.wr, b."right") - greatest(a.wl, b."left"), 0) * greatest(least(a.wb, b.bottom) - greatest(a.wt, b.top), 0) as i,
+  (a.wr - a.wl) * (a.wb - a.wt) as x, (b."right" - b."left") * (b.bottom - b.top) as y from w a join w b on a.book_id = b.book_id and a.page = b.page),
+ ps as (select book_id, page, one, two, round(i / (x + y - i), 9) as share from pi where i > 0), pr as (select *, row_number() over (partition by book_id, page order by share desc, one, two) as n from ps where share > 0),
+ gm as (select distinct book_id, page, cast(0 as bigint) as n, cast([] as varchar[]) as ones, cast([] as varchar[]) as twos, cast(null as varchar) as one, cast(null as varchar) as two, cast(null as double) as share from pr
+  union all select g.book_id, g.page, p.n, case when ok then list_append(g.ones, p.one) else g.ones end, case when ok then list_append(g.twos, p.two) else g.twos end, case when ok then p.one end, case when ok then p.two end, p.share
+  from gm g join pr p on p.book_id = g.book_id and p.page = g.page and p.n = g.n + 1, lateral (select not list_contains(g.ones, p.one) and not list_contains(g.twos, p.two) as ok))
+ select book_id, page, one as detected, two as expected, round(share, 6) as iou from gm where one is not null""",
     "flatten_rules": f"with recursive {_CYCLE} select id, root_id as root, depth, cast(row_number() over (partition by root_id order by path) as int) as place from up",
     "batch_event_stream": """select cast(date_trunc('day', ts) as timestamp) as day, user_id, count(*) as events, count(*) filter (event_type = 'error') as failures, round(sum(value), 4) as elapsed from events group by 1, 2
  having date_trunc('day', any_value(ts)) + interval 1 day <= (select max(ts) - interval 1 hour from events)""",

@@ -13,13 +13,13 @@ from pagewright.functions import geometry
 from pagewright.operators import classify, handoff, pages, perf, sessions, typed
 from pagewright.plans import catalog
 from pagewright.plans.catalog_sql import _BLK, _LOG, _PAGE, _REG, _SEG, _SESS, _TYPED
-from pagewright.runtime import cut, shared_folder, table
+from pagewright.runtime import cut, own_folder, table
 from pagewright.sources import readers, sinks
 
 
 def _work(s: SparkSession) -> str:
     """A fresh folder all executors share."""
-    return f"{shared_folder(s).rstrip('/')}/files-{uuid.uuid4().hex}"
+    return f"{own_folder(s)}/{uuid.uuid4().hex}"
 
 
 def _sessions(s: SparkSession, d: str) -> DataFrame:

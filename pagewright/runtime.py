@@ -34,16 +34,22 @@ def cut(df: DataFrame, keep_layout: bool = False) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False), spark)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a compressed table in the shared folder, where a checkpoint would be large; removed when the session ends."""
-    spark = df.sparkSession
+def own_folder(spark: SparkSession) -> str:
+    """A folder in the shared one that is removed when the session ends."""
     folder = f"{shared_folder(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}"
     if folder not in _FOLDERS:
         _FOLDERS.add(folder)
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    name = f"{folder}/{uuid.uuid4().hex}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the shared folder, where a checkpoint would be large; removed when the session ends."""
+    spark = df.sparkSession
+    name = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(name)
     out = spark.read.schema(df.schema).parquet(name)
     out._stored_at = name

@@ -32,3 +32,14 @@ def test_all_kinds_of_breaks_and_wide_characters(spark):
 def test_reasons_in_order_once(spark):
     text = "長い行の終わりに\n・項目\n・項目二\n数値  と表\n長い行の終わりに"
     assert one(spark, text).review_reasons == ["bullet_list_structure", "table_like_spacing"]
+
+
+def test_offsets_over_many_lines(spark):
+    from pyspark.sql import functions as F
+
+    from pagewright.operators import normalize
+
+    text = "".join(f"line {i}" + ("\r\n" if i % 3 else "\n") for i in range(2000))
+    lines = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(normalize.physical_lines(F.col("t")).alias("l")).collect()
+    assert [text[x.start : x.end] for x in lines[0].l] == [x.text for x in lines[0].l] == [f"line {i}" for i in range(2000)]
+    assert lines[1].l == [] and not lines[2].l

@@ -63,3 +63,24 @@ def test_log_folds(spark):
     now = handoff.task_states(tasks, updates, "session", ["line_no"])
     assert {x.task_id: x.status for x in now.collect()} == {"1": "done", "2": "open", "3": "open"}
     assert handoff.next_work(now, "session").first().next_work == ["b"]
+
+
+def test_all_saves_of_a_page_are_folded(spark):
+    rows = [
+        (1, 1, "a", 1, "first", "done"), (1, 1, "b", 1, None, "pending"), (1, 1, "c", 1, "old", "done"),
+        (1, 2, "a", 2, None, "pending"), (1, 2, "b", 2, "middle", "done"),
+        (1, 3, "a", 3, "late", "done"), (1, 3, "b", 3, None, "error"), (1, 3, "c", 3, None, "pending"), (1, 3, "d", 3, "new", "done"),
+        (2, 9, "a", 7, "only", "done"),
+    ]
+    df = spark.createDataFrame([(*r, None, None) for r in rows], "page int, at int, rect_id string, x int, text string, ocr_status string, ocr_error string, ocr_completed_at int")
+    got = {(r.page, r.rect_id): (r.x, r.text, r.ocr_status, r.kept) for r in sessions.fold_saves(df, ["page"], "rect_id", ["at"]).collect()}
+    assert got == {
+        (1, "a"): (3, "first", "done", True), (1, "b"): (3, "middle", "done", True), (1, "c"): (3, None, "pending", False),  # c was missing in between
+        (1, "d"): (3, "new", "done", False), (2, "a"): (7, "only", "done", False),
+    }
+
+
+def test_secrets_in_quotes_and_bare(spark):
+    text = "export MY_TOKEN = \"a \\\" b\" x; api_key='q r' y API_KEYS=abc`d tokens: no PASSWORD=\nz"
+    got = spark.createDataFrame([(text,)], "t string").select(handoff.redact(F.col("t"))).first()[0]
+    assert got == "export MY_TOKEN =[REDACTED] x; api_key=[REDACTED] y API_KEYS=[REDACTED]`d tokens: no PASSWORD=[REDACTED]"

@@ -45,3 +45,16 @@ def test_exit_codes(spark):
     df = spark.createDataFrame([(1, 1, 1, 1), (0, 2, 2, 1), (0, 2, 1, 1), (0, 0, 0, 0)], "i int, c int, f int, e int")
     got = [r[0] for r in df.select(v.exit_code(F.col("i"), F.col("c"), F.col("f"), F.col("e"))).collect()]
     assert got == [2, 3, 4, 0]
+
+
+def test_one_hot_key_in_a_join(spark):
+    from pyspark.sql import functions as F
+
+    from pagewright.runtime import skew_join
+
+    many = spark.range(1000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") < 900, "hot").otherwise(F.col("id").cast("string")).alias("up"))
+    one = spark.createDataFrame([("hot", 1), ("950", 2), ("x", 3)], "name string, v int")
+    for part in (10, 10_000):
+        got = skew_join(many, "up", one, "name", "id", 1000, "left", part)
+        assert got.columns == ["id", "up", "name", "v"] and got.count() == 1000 and got.agg(F.sum("v")).first()[0] == 902
+        assert skew_join(many, "up", one, "name", "id", 1000, part=part).count() == 901
