@@ -147,16 +147,38 @@ _RECTS = (
  size as (select book_id, page, any_value(pw) as pw, any_value(ph) as ph from okr group by 1, 2),
  rect as (select book_id, page, pw, ph, o.l as l, o.t as t, o.r as r, o.b as b, row_number() over (partition by book_id, page order by o.t, o.l, o.y, o.x, o.h, o.w) - 1 as k from whole join size using (book_id, page))"""
 )
-_COLUMNS = """, cin as (select *, row_number() over (partition by book_id, page order by l, t, k) as n, pw * 0.015 as e from rect),
- col as (select distinct book_id, page, cast(0 as bigint) as n, cast([] as struct(ls int[], rs int[], l int, t int, r int, b int)[]) as cs from cin
-  union all select c.book_id, c.page, i.n, (select case when h = 0 then list_append(c.cs, {'ls': [i.l], 'rs': [i.r], 'l': i.l, 't': i.t, 'r': i.r, 'b': i.b})
-   else list_transform(c.cs, lambda g, j: case when j = h then {'ls': list_sort(list_append(g.ls, i.l)), 'rs': list_sort(list_append(g.rs, i.r)), 'l': least(g.l, i.l), 't': least(g.t, i.t), 'r': greatest(g.r, i.r), 'b': greatest(g.b, i.b)} else g end) end
-   from (select coalesce(list_position(list_transform(c.cs, lambda g: g.rs[len(g.rs) // 2 + 1] > g.ls[len(g.ls) // 2 + 1] and (abs(i.l - g.ls[len(g.ls) // 2 + 1]) <= i.e or abs(i.r - g.rs[len(g.rs) // 2 + 1]) <= i.e
-    or (least(i.r, g.rs[len(g.rs) // 2 + 1]) > greatest(i.l, g.ls[len(g.ls) // 2 + 1]) and ((i.l >= g.ls[len(g.ls) // 2 + 1] - i.e and i.r <= g.rs[len(g.rs) // 2 + 1] + i.e and i.r - i.l <= (g.rs[len(g.rs) // 2 + 1] - g.ls[len(g.ls) // 2 + 1]) * 1.05)
-     or (least(i.r, g.rs[len(g.rs) // 2 + 1]) - greatest(i.l, g.ls[len(g.ls) // 2 + 1]) >= 0.35 * greatest(i.r - i.l, g.rs[len(g.rs) // 2 + 1] - g.ls[len(g.ls) // 2 + 1])
-      and abs(i.l + i.r - g.ls[len(g.ls) // 2 + 1] - g.rs[len(g.rs) // 2 + 1]) / 2 <= i.e * 3))))), true), 0) as h))
-  from col c join cin i on i.book_id = c.book_id and i.page = c.page and i.n = c.n + 1),
- cols as (select book_id, page, unnest(arg_max(cs, n)) as g from col group by book_id, page)"""
+
+
+def _columns(source: str, name: str, by: str = "book_id, page") -> str:
+    """The columns of the boxes of a source (by, k, l, t, r, b, pw): each box with the first column whose upper median edges it fits. Result: by, n, g (its edges, ks and hull)."""
+    same = " and ".join(f"i.{c.strip()} = c.{c.strip()}" for c in by.split(","))
+    left, right = "g.ls[len(g.ls) // 2 + 1]", "g.rs[len(g.rs) // 2 + 1]"
+    fits = f"""{right} > {left} and (abs(i.l - {left}) <= i.e or abs(i.r - {right}) <= i.e or (least(i.r, {right}) > greatest(i.l, {left}) and ((i.l >= {left} - i.e and i.r <= {right} + i.e and i.r - i.l <= ({right} - {left}) * 1.05)
+     or (least(i.r, {right}) - greatest(i.l, {left}) >= 0.35 * greatest(i.r - i.l, {right} - {left}) and abs(i.l + i.r - {left} - {right}) / 2 <= i.e * 3))))"""
+    return f""", {name}_in as (select *, row_number() over (partition by {by} order by l, t, k) as n, pw * 0.015 as e from {source}),
+ {name}_fold as (select distinct {", ".join("c." + c.strip() for c in by.split(","))}, cast(0 as bigint) as n, cast([] as struct(ls int[], rs int[], ks bigint[], l int, t int, r int, b int)[]) as cs from {name}_in c
+  union all select {", ".join("c." + c.strip() for c in by.split(","))}, i.n, (select case when h = 0 then list_append(c.cs, {{'ls': [i.l], 'rs': [i.r], 'ks': [i.k], 'l': i.l, 't': i.t, 'r': i.r, 'b': i.b}})
+   else list_transform(c.cs, lambda g, j: case when j = h then {{'ls': list_sort(list_append(g.ls, i.l)), 'rs': list_sort(list_append(g.rs, i.r)), 'ks': list_append(g.ks, i.k), 'l': least(g.l, i.l), 't': least(g.t, i.t), 'r': greatest(g.r, i.r), 'b': greatest(g.b, i.b)}} else g end) end
+   from (select coalesce(list_position(list_transform(c.cs, lambda g: {fits}), true), 0) as h))
+  from {name}_fold c join {name}_in i on {same} and i.n = c.n + 1),
+ {name}_all as (select {by}, unnest(arg_max(cs, n)) as g from {name}_fold group by {by}),
+ {name} as (select {by}, g, cast(row_number() over (partition by {by} order by g.l, g.t) - 1 as int) as n from {name}_all)"""
+
+
+_COLUMNS = _columns("rect", "cols")
+_BANDS = (
+    """, body as (select book_id, page, max(r) - min(l) as w from rect group by 1, 2), slim as (select rect.* from rect join body using (book_id, page) where r - l < 0.6 * w)"""
+    + _columns("slim", "pcol")
+    + """, several as (select book_id, page, count(*) >= 2 as many from pcol group by 1, 2),
+ cutm as (select *, max(b) over (partition by book_id, page order by t, l, k rows between unbounded preceding and 1 preceding) as low from rect),
+ strip as (select c.*, case when coalesce(many, false) then sum(case when t - low >= ph * 0.016 then 1 else 0 end) over (partition by book_id, page order by t, l, k) else 0 end as s from cutm c left join several using (book_id, page)),
+ sbody as (select book_id, page, s, max(r) - min(l) as w, count(*) as m from strip group by 1, 2, 3), sslim as (select strip.* from strip join sbody using (book_id, page, s) where r - l < 0.6 * w)"""
+    + _columns("sslim", "scol", "book_id, page, s")
+    + """, span as (select x.book_id, x.page, x.s, x.k, x.t, x.b from strip x join sbody y using (book_id, page, s) join scol c using (book_id, page, s)
+  where y.m > 1 and x.r - x.l >= 0.6 * y.w and c.g.r > c.g.l and least(x.r, c.g.r) - greatest(x.l, c.g.l) >= 0.5 * (c.g.r - c.g.l) group by all having count(*) >= 2),
+ sord as (select *, row_number() over (partition by book_id, page, s order by t, k) as o from span),
+ place as (select x.book_id, x.page, x.s, x.k, coalesce(max(2 * o.o - 1) filter (o.k = x.k), 2 * count(*) filter (o.k is not null and o.t + o.b <= x.t + x.b)) as p from strip x left join sord o on o.book_id = x.book_id and o.page = x.page and o.s = x.s group by 1, 2, 3, 4)"""
+)
 _CARDS = """, okr as (select book_id, page, x, y, width, height, x as l, y as t, x + width as r, y + height as b, image_height as ph, row_number() over (partition by book_id, page order by y, x, height, width) as n from reg
   where book_id is not null and page is not null and x is not null and y is not null and width is not null and height is not null and image_width is not null and image_height is not null),
  card as (select distinct book_id, page, cast(0 as bigint) as n, cast([] as struct(l int, t int, r int, b int, m int)[]) as cs from okr
@@ -168,7 +190,19 @@ _CARDS = """, okr as (select book_id, page, x, y, width, height, x as l, y as t,
 
 SQL: dict[str, str] = {
     "rect_dedupe": f"with recursive {_RECTS} select book_id, page, cast(k as int) as block_no, l as x, t as y, r - l as width, b - t as height from rect",
-    "page_columns": f"""with recursive {_RECTS}{_COLUMNS} select book_id, page, cast(row_number() over (partition by book_id, page order by g.l, g.t) - 1 as int) as block_no, g.l as x, g.t as y, g.r - g.l as width, g.b - g.t as height, cast(len(g.ls) as int) as members from cols""",
+    "page_columns": f"""with recursive {_RECTS}{_COLUMNS} select book_id, page, n as block_no, g.l as x, g.t as y, g.r - g.l as width, g.b - g.t as height, cast(len(g.ls) as int) as members from cols""",
+    "column_cover": f"""with recursive {_RECTS}{_COLUMNS} select book_id, page, cast(k as int) as block_no, cast(count(*) filter (g.r > g.l and least(r, g.r) - greatest(l, g.l) >= 0.5 * (g.r - g.l)) as int) as columns from rect join cols using (book_id, page) group by book_id, page, k""",
+    "undone_columns": f"""with recursive {_RECTS}{_COLUMNS}, un as (select a.book_id, a.page, a.n, a.g, len(a.g.ks) > 1 and (select count(*) from cols o where o.book_id = a.book_id and o.page = a.page and o.n <> a.n and o.g.r > o.g.l
+  and least(a.g.r, o.g.r) - greatest(a.g.l, o.g.l) >= 0.5 * (o.g.r - o.g.l) and least(a.g.b, o.g.b) > greatest(a.g.t, o.g.t)) >= 2 as apart from cols a),
+ parts as (select book_id, page, n, 0 as j, g.l as l, g.t as t, g.r as r, g.b as b, len(g.ks) as m from un where not apart
+  union all select u.book_id, u.page, u.n, u.j, x.l, x.t, x.r, x.b, 1 from (select book_id, page, n, unnest(g.ks) as k, unnest(range(1, len(g.ks) + 1)) as j from un where apart) u join rect x on x.book_id = u.book_id and x.page = u.page and x.k = u.k)
+ select book_id, page, cast(row_number() over (partition by book_id, page order by n, j) - 1 as int) as block_no, l as x, t as y, r - l as width, b - t as height, cast(m as int) as members from parts""",
+    "first_joins": f"""with recursive {_RECTS.replace("okr as (select book_id, page, x, y, width, height, image_width as pw, image_height as ph", "okr as (select book_id, page, y as x, x as y, height as width, width as height, image_height as pw, image_width as ph")}{_COLUMNS}, pr as (select a.book_id, a.page, a.n as i, b.n as j, a.g as p, b.g as q, s.pw as pw, s.ph as ph, greatest(a.g.l - b.g.r, b.g.l - a.g.r, 0) as far from cols a join cols b on a.book_id = b.book_id and a.page = b.page and a.n <> b.n join size s on s.book_id = a.book_id and s.page = a.page),
+ fr as (select *, q.b - q.t as tall from pr where p.r - p.l <= pw * 0.1 and far <= pw * 0.08 and abs(p.t - q.t) <= ph * 0.03 and p.b - p.t <= (q.b - q.t) * 0.5)
+ select book_id, page, 'fragment' as kind, j as into, i as gone from fr qualify row_number() over (partition by book_id, page order by i, far, tall desc, j) = 1
+ union all select book_id, page, 'profile', i, j from pr where i < j and abs(p.t - q.t) <= ph * 0.03 and ((abs(p.b - q.b) <= ph * 0.03 and far <= pw * 0.25) or (far <= pw * 0.08 and greatest(p.b - p.t, q.b - q.t) > 0
+  and least(p.b - p.t, q.b - q.t) >= 0.88 * greatest(p.b - p.t, q.b - q.t))) qualify row_number() over (partition by book_id, page order by i, j) = 1""",
+    "page_bands": f"""with recursive {_RECTS}{_BANDS} select book_id, page, cast(k as int) as block_no, cast(dense_rank() over (partition by book_id, page order by s, p) - 1 as int) as band from place""",
     "block_outlines": f"""with recursive {_RECTS}, e as (select *, case when r - l <= pw * 0.2 and b - t <= ph * 0.05 then least(r - l, b - t) * 0.03 else 0.0 end as extra from rect),
  lim as (select a.book_id, a.page, a.k, max(case when o.r <= a.l and least(a.b, o.b) > greatest(a.t, o.t) then (o.r + a.l) / 2 end) as lo_x, min(case when o.l >= a.r and least(a.b, o.b) > greatest(a.t, o.t) then (o.l + a.r) / 2 end) as hi_x,
   max(case when o.b <= a.t and least(a.r, o.r) > greatest(a.l, o.l) then (o.b + a.t) / 2 end) as lo_y, min(case when o.t >= a.b and least(a.r, o.r) > greatest(a.l, o.l) then (o.t + a.b) / 2 end) as hi_y
