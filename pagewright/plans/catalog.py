@@ -535,6 +535,14 @@ def undone_columns(s, d):
     return layout.undone_columns(_regions(s, d), ["book_id", "page"])
 
 
+def stacked_columns(s, d):
+    return layout.stacked_columns(_regions(s, d), ["book_id", "page"])
+
+
+def rejoined_columns(s, d):
+    return layout.rejoined_columns(_regions(s, d), ["book_id", "page"])
+
+
 def first_joins(s, d):
     """Over pages laid on their side, where boxes stand beside each other as in vertical writing."""
     turned = {"x": F.col("y"), "y": F.col("x"), "width": F.col("height"), "height": F.col("width"), "image_width": F.col("image_height"), "image_height": F.col("image_width")}
@@ -590,7 +598,7 @@ _ALL = [
     player_visibility, validation_errors, exit_codes, review_queue, review_markdown, apply_review_decisions, flagged_segments, source_hashes, retrieval_view, topic_view, structure_metrics,
     ranking_scores, ranking_metrics, schema_union, gamedata_pivot, typed_rows_routed, json_lines, cache_outcomes, cache_summary, resume_worklist, stale_outputs, stem_collisions, session_merge,
     undone_regions, region_markdown, next_draw_order, perf_by_step, perf_by_file, perf_waits, redact_secrets, handoff_summary, handoff_reports, handoff_tasks, rect_clamp, card_area_filter,
-    card_boxes, perimeter_filter, noise_filter, y_gap_bands, hit_test, iou_pairs, box_matches, rect_dedupe, page_columns, column_cover, undone_columns, first_joins, page_bands, block_outlines, card_clusters, vertical_blocks, horizontal_blocks, flatten_rules, batch_event_stream,
+    card_boxes, perimeter_filter, noise_filter, y_gap_bands, hit_test, iou_pairs, box_matches, rect_dedupe, page_columns, column_cover, undone_columns, stacked_columns, rejoined_columns, first_joins, page_bands, block_outlines, card_clusters, vertical_blocks, horizontal_blocks, flatten_rules, batch_event_stream,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
 

@@ -166,6 +166,18 @@ def _columns(source: str, name: str, by: str = "book_id, page") -> str:
 
 
 _COLUMNS = _columns("rect", "cols")
+_PARTS = f"""{_RECTS}{_COLUMNS}, own as (select c.book_id, c.page, c.n as c, unnest(c.g.ks) as k from cols c),
+ rest as (select distinct o.c, r.* from (select distinct book_id, page, c from own) o join rect r on r.book_id = o.book_id and r.page = o.page where not exists (select 1 from own w where w.book_id = o.book_id and w.page = o.page and w.c = o.c and w.k = r.k)){_columns("rest", "ocol", "book_id, page, c")},
+ line as (select o.c, r.*, row_number() over w as o, max(r.b) over (w rows between unbounded preceding and 1 preceding) as low, lag(r.r - r.l) over w as bw, lag(r.l + r.r) over w as bm, max(r.r) over (partition by o.book_id, o.page, o.c) - min(r.l) over (partition by o.book_id, o.page, o.c) as cw
+  from own o join rect r on r.book_id = o.book_id and r.page = o.page and r.k = o.k window w as (partition by o.book_id, o.page, o.c order by r.t, r.l, r.k)),
+ hole as (select *, greatest(r - l, bw) > 0 and (abs(r - l - bw) >= 0.45 * greatest(r - l, bw) or abs(l + r - bm) / 2 >= 0.25 * greatest(r - l, bw)) as unlike from line where o > 1 and t - low >= ph * 0.02 and cw > pw * 0.25),
+ met as (select h.book_id, h.page, h.c, h.o, q.n, bool_or(least(x.b, h.t) - greatest(x.t, h.low) > greatest(h.t - h.low, 1) * 0.25) as filled, bool_or(abs(x.t - h.t) <= h.ph * 0.012) as tops, bool_or(abs(x.b - h.low) <= h.ph * 0.012) as lows
+  from hole h join (select book_id, page, c, n, g.r - g.l as w, unnest(g.ks) as k from ocol) q on q.book_id = h.book_id and q.page = h.page and q.c = h.c and q.w > h.pw * 0.25 join rect x on x.book_id = q.book_id and x.page = q.page and x.k = q.k group by 1, 2, 3, 4, 5),
+ ends as (select distinct book_id, page, c, o from met where not filled and tops and lows),
+ cutat as (select book_id, page, c, o, false as s from line where o = 1
+  union all select i.book_id, i.page, i.c, i.o, h.o is not null and (e.o is not null or (h.unlike and (i.o = 2 or p.s))) from cutat p join line i on i.book_id = p.book_id and i.page = p.page and i.c = p.c and i.o = p.o + 1
+   left join hole h on h.book_id = i.book_id and h.page = i.page and h.c = i.c and h.o = i.o left join ends e on e.book_id = i.book_id and e.page = i.page and e.c = i.c and e.o = i.o),
+ part as (select l.*, sum(case when s then 1 else 0 end) over (partition by l.book_id, l.page, l.c order by l.o) as part from line l join cutat s using (book_id, page, c, o))"""
 _BANDS = (
     """, body as (select book_id, page, max(r) - min(l) as w from rect group by 1, 2), slim as (select rect.* from rect join body using (book_id, page) where r - l < 0.6 * w)"""
     + _columns("slim", "pcol")
@@ -197,6 +209,20 @@ SQL: dict[str, str] = {
  parts as (select book_id, page, n, 0 as j, g.l as l, g.t as t, g.r as r, g.b as b, len(g.ks) as m from un where not apart
   union all select u.book_id, u.page, u.n, u.j, x.l, x.t, x.r, x.b, 1 from (select book_id, page, n, unnest(g.ks) as k, unnest(range(1, len(g.ks) + 1)) as j from un where apart) u join rect x on x.book_id = u.book_id and x.page = u.page and x.k = u.k)
  select book_id, page, cast(row_number() over (partition by book_id, page order by n, j) - 1 as int) as block_no, l as x, t as y, r - l as width, b - t as height, cast(m as int) as members from parts""",
+    "stacked_columns": f"""with recursive {_PARTS}
+ select book_id, page, cast(c as int) as column_no, cast(part as int) as part, min(l) as x, min(t) as y, max(r) - min(l) as width, max(b) - min(t) as height, cast(count(*) as int) as members from part group by book_id, page, c, part""",
+    "rejoined_columns": f"""with recursive {_PARTS}, blk2 as (select book_id, page, cast(row_number() over (partition by book_id, page order by c, part) - 1 as int) as i, min(l) as l, min(t) as t, max(r) as r, max(b) as b, count(*) as m, any_value(pw) as pw, any_value(ph) as ph from part group by book_id, page, c, part),
+ pair as (select a.book_id, a.page, a.i, b.i as j, case when a.b <= b.t then a.b else b.b end as low, case when a.b <= b.t then b.t else a.t end as top, case when a.b <= b.t then a.l else b.l end as ul, case when a.b <= b.t then a.r else b.r end as ur,
+  case when a.b <= b.t then b.l else a.l end as ll, case when a.b <= b.t then b.r else a.r end as lr, a.pw, a.ph from blk2 a join blk2 b on a.book_id = b.book_id and a.page = b.page and a.i < b.i
+  where least(a.r - a.l, b.r - b.l) >= a.pw * 0.25 and least(a.b - a.t, b.b - b.t) >= a.ph * 0.08 and abs((a.r - a.l) - (b.r - b.l)) <= 0.25 * greatest(a.r - a.l, b.r - b.l) and least(a.b, b.b) - greatest(a.t, b.t) <= 0
+   and abs(a.l - b.l) <= a.pw * 0.015 * 2 and least(a.r, b.r) - greatest(a.l, b.l) >= 0.6 * least(a.r - a.l, b.r - b.l)),
+ mid as (select p.book_id, p.page, p.i, p.j, p.top - p.low <= p.ph * 0.05 as near, h.r - h.l >= p.pw * 0.35 and h.b - h.t <= p.ph * 0.05 as heading, least(h.r, p.ur) - greatest(h.l, p.ul) > 0.2 * (p.ur - p.ul) as wall,
+  p.ur > p.ul and least(h.r, p.ur) - greatest(h.l, p.ul) >= 0.5 * (p.ur - p.ul) and p.lr > p.ll and least(h.r, p.lr) - greatest(h.l, p.ll) >= 0.5 * (p.lr - p.ll) as spans
+  from pair p join blk2 h on h.book_id = p.book_id and h.page = p.page and h.i <> p.i and h.i <> p.j and ((h.t < p.top and h.b > p.low) or (h.t >= p.low - 2 and h.b <= p.top + 2))),
+ ok as (select book_id, page, i, j from mid group by 1, 2, 3, 4 having case when bool_or(wall) then bool_or(heading and spans) and not bool_or(wall and not (heading and spans)) else bool_or(near and heading) end),
+ way as (select book_id, page, i as a, j as b from ok union select book_id, page, j, i from ok), lead_ as (select book_id, page, i as a, i as x from blk2 union select l.book_id, l.page, l.a, w.b from lead_ l join way w on w.book_id = l.book_id and w.page = l.page and w.a = l.x),
+ home as (select book_id, page, a as i, min(x) as h from lead_ group by 1, 2, 3)
+ select book_id, page, h as block_no, min(l) as x, min(t) as y, max(r) - min(l) as width, max(b) - min(t) as height, cast(sum(m) as int) as members from blk2 join home using (book_id, page, i) group by book_id, page, h""",
     "first_joins": f"""with recursive {_RECTS.replace("okr as (select book_id, page, x, y, width, height, image_width as pw, image_height as ph", "okr as (select book_id, page, y as x, x as y, height as width, width as height, image_height as pw, image_width as ph")}{_COLUMNS}, pr as (select a.book_id, a.page, a.n as i, b.n as j, a.g as p, b.g as q, s.pw as pw, s.ph as ph, greatest(a.g.l - b.g.r, b.g.l - a.g.r, 0) as far from cols a join cols b on a.book_id = b.book_id and a.page = b.page and a.n <> b.n join size s on s.book_id = a.book_id and s.page = a.page),
  fr as (select *, q.b - q.t as tall from pr where p.r - p.l <= pw * 0.1 and far <= pw * 0.08 and abs(p.t - q.t) <= ph * 0.03 and p.b - p.t <= (q.b - q.t) * 0.5)
  select book_id, page, 'fragment' as kind, j as into, i as gone from fr qualify row_number() over (partition by book_id, page order by i, far, tall desc, j) = 1
