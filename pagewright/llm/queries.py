@@ -31,9 +31,15 @@ def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_segments(spark: SparkSession, d: str) -> DataFrame:
-    """raw_text (repaired) and normalized_text (repaired_normalized) of every segment, as continuous paragraphs."""
+    """raw_text (repaired) and normalized_text (repaired_normalized) of every segment, as continuous paragraphs.
+
+    Where the two differ in blanks and line breaks alone, one repair is that of both: it closes the
+    breaks anyway, and only raw_text still has the lines of the page, by which titles, page numbers and
+    divided words are known.
+    """
+    bare = "translate({}, ' \t\r\n\u3000', '')".format
+    same = f"{bare('normalized_text')} <=> {bare('raw_text')}"
     s = table(spark, d, "segments").selectExpr("segment_id", "book_id", "source_spans.page as page", "raw_text", "normalized_text").distinct()
-    same = "normalized_text <=> raw_text"  # repaired once
     both = s.selectExpr("segment_id", "'raw' as field", "book_id", "page", "raw_text as text").unionByName(
         s.where(f"not ({same})").selectExpr("segment_id", "'normalized' as field", "book_id", "page", "normalized_text as text")
     )

@@ -129,10 +129,10 @@ def test_both_texts_of_segments(spark, tmp_path):
     from pagewright.llm.queries import p2_segments
 
     span = "array<struct<page int, rect_id string, start int, end int>>"
-    rows = [("s1", "b", ["鉄の章"], [(1, "r", 0, 9), (2, "r", 0, 9)], "夜の\n- 2 -\n砦", "夜の\n2\n砦に"), ("s2", "b", None, None, "朝", "朝"), ("s3", "b", None, None, "朝", None)]
+    rows = [("s1", "b", ["鉄の章"], [(1, "r", 0, 9), (2, "r", 0, 9)], "夜の\n- 2 -\n砦", "夜の\n2\n砦に"), ("s2", "b", None, None, "朝", "朝"), ("s3", "b", None, None, "朝", None), ("s4", "b", ["鉄の章"], [(3, "r", 0, 9)], "夜の\n3\n砦で\n休む", "夜の3\n砦で　休む")]
     spark.createDataFrame(rows, f"segment_id string, book_id string, section_path array<string>, source_spans {span}, raw_text string, normalized_text string").write.parquet(f"{tmp_path}/segments.parquet")
     spark.createDataFrame([("b", "本")], "book_id string, title string").write.parquet(f"{tmp_path}/books.parquet")
-    assert {tuple(r) for r in p2_segments(spark, str(tmp_path)).collect()} == {("s1", "夜の砦", "夜の砦に"), ("s2", "朝", "朝"), ("s3", "朝", None)}
+    assert {tuple(r) for r in p2_segments(spark, str(tmp_path)).collect()} == {("s1", "夜の砦", "夜の砦に"), ("s2", "朝", "朝"), ("s3", "朝", None), ("s4", "夜の砦で休む", "夜の砦で休む")}
 
 
 def test_the_word_before_chooses_with_and_without_shipped_pairs(spark, monkeypatch):
