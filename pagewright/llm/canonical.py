@@ -135,7 +135,7 @@ def _forms(texts: DataFrame) -> DataFrame:
             for k, t in enumerate(b.column(2).to_pylist()):
                 if form := on_the_page(t):
                     at.append(k)
-                    keys.append(hashlib.blake2b(form.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                    keys.append(hashlib.sha256(form.encode("utf-8", "surrogatepass")).digest()[:16])
                     raws.append(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest())
             take = pa.array(at, pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(keys, pa.binary()), pa.array(raws, pa.binary())], names=["id", "field", "form", "raw"])
